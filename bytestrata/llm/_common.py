@@ -27,12 +27,11 @@ def words_of(text: Column) -> Column:
     return F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE + "+"))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for what is written between steps: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir. Only a local session may go without that setting.
+    Only a local session may go without that setting; it gets a folder of its own.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = sc.getConf().get("spark.checkpoint.dir")
@@ -41,4 +40,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
