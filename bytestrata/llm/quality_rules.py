@@ -127,7 +127,10 @@ def judge(docs: DataFrame, ratios: list[float], text_col: str = "text", threshol
     failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEAT_PERCENT * q["n_words"])
     scored = counted.withColumn("__score", _score(q["grams"], ratios))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    found = F.struct(*[q[x].alias(x) for x in names], failed.alias("base_failed"), (~failed & (F.col("__score") >= threshold)).alias("kept"), F.col("__score").alias("score"))
+    # the partition id is never negative; as it isn't deterministic, a filter on the verdict stays above this projection
+    # instead of repeating all of it, again for each reference, in its condition
+    kept = ~failed & (F.col("__score") >= threshold) & (F.spark_partition_id() >= 0)
+    found = F.struct(*[q[x].alias(x) for x in names], failed.alias("base_failed"), kept.alias("kept"), F.col("__score").alias("score"))
     return scored.withColumn("__q", found).drop("__score")
 
 
