@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, exact_dedup, html_text, mixing, near_join, quality_knn, quality_rules, sharding
+from . import bpe, chat_format, exact_dedup, html_text, line_dedup, mixing, near_join, quality_knn, quality_rules, sharding
 from ._common import read
 
 #: The conversation that holds the template's own control strings.
@@ -40,6 +40,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.annotate(read(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.annotate(read(spark, sf_dir, "documents"))
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages"))
 
@@ -55,7 +59,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_quality_knn, op3_sharding, op4_bpe, op5_near_join, op6_mixing, op8_html_text, op9_quality_rules, op10_chat_format)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_quality_knn, op3_sharding, op4_bpe, op5_near_join, op6_mixing, op7_line_dedup, op8_html_text, op9_quality_rules, op10_chat_format)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
