@@ -5,15 +5,210 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .operators import intervals, summaries
+from .plans import candidates as plan
+
+Query = Callable[[SparkSession, str], DataFrame]
+_FOUND: dict[str, tuple[Query, str | None]] = {}
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _FOUND[f.__name__] = (f, sql)
+        return f
+
+    return add
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
 
+def queries() -> dict[str, Query]:
+    from . import blob_queries  # noqa: F401  registers its own
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: f for k, (f, _) in _FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import blob_queries  # noqa: F401
+
+    return {k: sql for k, (_, sql) in _FOUND.items() if sql}
+
+
+_ORDER = "offset_, confidence DESC, size_, type_, (endian = 'big'), category"
+_C = f"c AS ({plan.SQL}), o AS (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY {_ORDER}) AS place FROM c)"
+
+
+def _fold(rescue: str) -> str:
+    """Greedy ownership row by row: state is the owner, its end, and the last kept row."""
+    owns = "(o.confidence >= 60 AND o.size_ > 0)"
+    inside = f"(o.offset_ = f.last OR (o.offset_ < f.end_ AND NOT ({rescue})))"
+    return f"""{_C},
+    f AS (
+        SELECT o.*, true AS kept, CASE WHEN {owns} THEN offset_ + size_ ELSE -1 END AS end_, CASE WHEN {owns} THEN place ELSE -1 END AS owner, offset_ AS last, place AS last_place, CAST(-1 AS BIGINT) AS lost_to
+        FROM o WHERE place = 1
+        UNION ALL
+        SELECT o.*, NOT {inside}, CASE WHEN NOT {inside} AND {owns} THEN o.offset_ + o.size_ ELSE f.end_ END, CASE WHEN NOT {inside} AND {owns} THEN o.place ELSE f.owner END,
+               CASE WHEN {inside} THEN f.last ELSE o.offset_ END, CASE WHEN {inside} THEN f.last_place ELSE o.place END,
+               CASE WHEN o.offset_ = f.last THEN f.last_place WHEN {inside} THEN f.owner ELSE -1 END
+        FROM f JOIN o ON o.blob_id = f.blob_id AND o.place = f.place + 1
+    ),
+    k AS (
+        SELECT f.blob_id, f.place, f.offset_, f.size_, f.type_, f.category, f.confidence, f.endian, (SELECT count(*) FROM f g WHERE g.blob_id = f.blob_id AND g.lost_to = f.place) AS also
+        FROM f WHERE kept
+    )"""
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.candidates(spark, sf_dir)
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.sized(intervals.owned(_candidates(spark, sf_dir)), F.lit(plan.LENGTH))
+
+
+_FINDINGS = f"""{_fold('false')},
+    s AS (SELECT blob_id, offset_, CASE WHEN size_ = 0 THEN coalesce(lead(offset_) OVER (PARTITION BY blob_id ORDER BY place), {plan.LENGTH}) - offset_ ELSE size_ END AS size_, type_, category, confidence, endian, also FROM k),
+    r AS (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY {_ORDER}) AS place FROM s)"""
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve_findings(spark, sf_dir)
+
+
+@_query(f"WITH {_C} SELECT blob_id, offset_, size_, type_, confidence, endian, place FROM o")
+def finding_total_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = intervals.Window.partitionBy("blob_id").orderBy(*intervals.total_order(), "category")
+    return _candidates(spark, sf_dir).withColumn("place", F.row_number().over(w)).select("blob_id", "offset_", "size_", "type_", "confidence", "endian", "place")
+
+
+@_query(f"""WITH {_C}, n AS (SELECT *, row_number() OVER (PARTITION BY blob_id, offset_ ORDER BY place) AS nth, count(*) OVER (PARTITION BY blob_id, offset_) - 1 AS also FROM o)
+    SELECT blob_id, offset_, size_, type_, confidence, also FROM n WHERE nth = 1""")
+def same_offset_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.same_offset_winners(_candidates(spark, sf_dir)).select("blob_id", "offset_", "size_", "type_", "confidence", "also")
+
+
+@_query(f"WITH RECURSIVE {_fold('false')} SELECT blob_id, offset_, size_, type_, confidence, endian, also FROM k")
+def greedy_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.owned(_candidates(spark, sf_dir)).select("blob_id", "offset_", "size_", "type_", "confidence", "endian", "also")
+
+
+@_query(f"WITH RECURSIVE {_fold('o.offset_ % 256 = 0')} SELECT blob_id, offset_, size_, type_, confidence, endian, also FROM k")
+def partition_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows at a multiple of 256 stand for partition starts."""
+    return intervals.owned(_candidates(spark, sf_dir), F.col("offset_") % 256 == 0).select("blob_id", "offset_", "size_", "type_", "confidence", "endian", "also")
+
+
+@_query(f"WITH RECURSIVE {_fold('false')} SELECT blob_id, CAST(sum(also) AS BIGINT) AS also_matched, count(*) AS kept FROM k GROUP BY blob_id")
+def also_matched_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.owned(_candidates(spark, sf_dir)).groupBy("blob_id").agg(F.sum("also").alias("also_matched"), F.count(F.lit(1)).alias("kept"))
+
+
+@_query(f"WITH RECURSIVE {_FINDINGS} SELECT blob_id, offset_, size_, type_, category, confidence, endian, also FROM r")
+def resolve_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The resolved findings with inferred sizes."""
+    return _findings(spark, sf_dir).select("blob_id", "offset_", "size_", "type_", "category", "confidence", "endian", "also")
+
+
+def _islands_sql(table: str, gap: int) -> str:
+    return f"""w AS (SELECT *, max(offset_ + size_) OVER (PARTITION BY blob_id ORDER BY offset_, size_, type_, confidence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {table}),
+    i AS (SELECT *, sum(CASE WHEN reach IS NULL OR offset_ > reach + {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY blob_id ORDER BY offset_, size_, type_, confidence) AS isle FROM w),
+    g AS (SELECT blob_id, min(offset_) AS offset_, max(offset_ + size_) - min(offset_) AS size_, count(*) AS merged FROM i GROUP BY blob_id, isle)"""
+
+
+@_query(f"WITH {_C}, t AS (SELECT * FROM c WHERE type_ IN ('t0', 't1', 't2', 't3')), {_islands_sql('t', 64)} SELECT * FROM g")
+def coalesce_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.islands(_candidates(spark, sf_dir).where(F.col("type_").isin("t0", "t1", "t2", "t3")), 64)
+
+
+@_query(f"WITH {_C}, t AS (SELECT * FROM c WHERE category IN ('filesystem', 'container')), {_islands_sql('t', 128)} SELECT * FROM g")
+def container_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.islands(_candidates(spark, sf_dir).where(F.col("category").isin(*intervals.CONTAINERS)), 128)
+
+
+@_query(f"""WITH {_C}, w AS (SELECT blob_id, offset_, coalesce(max(offset_ + size_) OVER (PARTITION BY blob_id ORDER BY offset_, size_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM c),
+    g AS (SELECT blob_id, reach AS gap_offset, offset_ - reach AS gap_size FROM w
+          UNION ALL SELECT blob_id, max(offset_ + size_), {plan.LENGTH} - max(offset_ + size_) FROM c GROUP BY blob_id)
+    SELECT blob_id, CAST(gap_offset AS BIGINT) AS gap_offset, CAST(gap_size AS BIGINT) AS gap_size FROM g WHERE gap_size >= 64""")
+def unidentified_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.gaps(_candidates(spark, sf_dir), plan.LENGTH, 64)
+
+
+@_query(f"""WITH RECURSIVE {_FINDINGS} SELECT blob_id, offset_, size_, type_, category FROM r f WHERE NOT EXISTS (
+    SELECT 1 FROM r g WHERE g.blob_id = f.blob_id AND g.category IN ('filesystem', 'container', 'archive') AND g.size_ > 0
+    AND g.offset_ <= f.offset_ AND f.offset_ + greatest(f.size_, 1) <= g.offset_ + g.size_ AND (g.offset_ < f.offset_ OR f.offset_ + greatest(f.size_, 1) < g.offset_ + g.size_))""")
+def suppress_interior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.suppressed(_findings(spark, sf_dir)).select("blob_id", "offset_", "size_", "type_", "category")
+
+
+_PARENT = """p AS (SELECT a.blob_id, a.place, arg_min(b.place, (b.size_, b.place)) AS parent_place, arg_min(b.type_, (b.size_, b.place)) AS parent_type
+    FROM o a JOIN o b ON a.blob_id = b.blob_id AND b.category IN ('filesystem', 'container') AND b.size_ > 0 AND b.offset_ <= a.offset_ AND a.offset_ + a.size_ <= b.offset_ + b.size_ AND b.size_ > a.size_ GROUP BY 1, 2)"""
+
+
+@_query(f"WITH {_C}, {_PARENT} SELECT o.blob_id, o.offset_, o.size_, o.type_, o.place, parent_place, parent_type FROM o LEFT JOIN p ON p.blob_id = o.blob_id AND p.place = o.place")
+def tightest_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.parents(_placed(spark, sf_dir)).select("blob_id", "offset_", "size_", "type_", "place", "parent_place", "parent_type")
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = intervals.Window.partitionBy("blob_id").orderBy(*intervals.total_order(), "category")
+    return _candidates(spark, sf_dir).withColumn("place", F.row_number().over(w))
+
+
+
+
+@_query(f"WITH {_C} SELECT blob_id, type_, count(*) AS n, CAST(sum(size_) AS BIGINT) AS bytes FROM o GROUP BY blob_id, type_ HAVING count(*) > 2")
+def swarm_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _candidates(spark, sf_dir).withColumn("parent_place", F.lit(0))
+    return intervals.swarms(rows, 2).select("blob_id", "type_", "n", "bytes")
+
+
+_PRIMARY = "p AS (SELECT blob_id, arg_min(type_, (offset_ <> 0, -confidence, place)) AS primary_type FROM o GROUP BY blob_id)"
+
+
+@_query(f"WITH {_C}, {_PRIMARY} SELECT * FROM p")
+def primary_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.primary_types(_placed(spark, sf_dir))
+
+
+@_query(f"WITH {_C}, {_PRIMARY} SELECT primary_type, count(*) AS files FROM p GROUP BY 1")
+def by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.by_type(summaries.primary_types(_placed(spark, sf_dir)))
+
+
+@_query(f"WITH {_C} SELECT count(DISTINCT blob_id) AS file_count, count(DISTINCT blob_id) * {plan.LENGTH} AS bytes, count(*) AS finding_count, CAST(sum(CASE WHEN category = 'crypto' THEN 1 ELSE 0 END) AS BIGINT) AS crypto_count FROM c")
+def tree_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.totals(_candidates(spark, sf_dir), plan.LENGTH)
+
+
+@_query(f"WITH {_C} SELECT blob_id, offset_, type_, category FROM c WHERE category IN ('filesystem', 'container', 'executable', 'bootloader', 'dtb', 'crypto', 'encrypted')")
+def notable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(spark, sf_dir).where(F.col("category").isin(*summaries.NOTABLE)).select("blob_id", "offset_", "type_", "category")
+
+
+@_query(f"""WITH {_C}, t AS (SELECT blob_id, type_, min(place) AS first, count(*) AS n FROM o GROUP BY 1, 2)
+    SELECT blob_id, string_agg(CASE WHEN n > 1 THEN type_ || ' x' || n ELSE type_ END, ', ' ORDER BY first) AS summary FROM t GROUP BY 1""")
+def file_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.summary(_placed(spark, sf_dir))
+
+
+@_query(f"""WITH {_C}, {_PRIMARY}, n AS (SELECT primary_type, count(*) AS files FROM p GROUP BY 1), t AS (SELECT * FROM n ORDER BY files DESC, primary_type LIMIT 5)
+    SELECT (SELECT sum(files) FROM n) || ' files: ' || string_agg(files || ' ' || primary_type, ', ' ORDER BY files DESC, primary_type) AS assessment FROM t""")
+def assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.tree_assessment(summaries.primary_types(_placed(spark, sf_dir)))
+
+
+@_query(f"WITH {_C} SELECT blob_id, CAST(sum(size_) AS BIGINT) AS covered FROM c GROUP BY 1")
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(spark, sf_dir).groupBy("blob_id").agg(F.sum("size_").alias("covered"))
+
+
+@_query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts FROM events GROUP BY user_id")
+def newest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.newest(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "ts", "event_id").select("user_id", "event_id", "ts")
+
+
+@_query("""WITH n AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k, count(*) OVER (PARTITION BY l_orderkey) > 3 AS members_truncated FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_partkey, members_truncated FROM n WHERE k <= 3""")
+def member_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return summaries.truncated(rows, "l_orderkey", [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_extendedprice")], 3).select("l_orderkey", "l_linenumber", "l_partkey", "members_truncated")
