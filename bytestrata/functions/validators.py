@@ -486,3 +486,130 @@ def sxverity(data, f, fields):
 def cab(data, f, fields):
     """VAL-2."""
     return _set(f, VERIFIED if f.offset + fields["cb_cabinet"] == len(data) else CONSISTENT) if f.offset + fields["coff_files"] < len(data) else False
+
+
+@_validator
+def esp32_partition_table(data, f, fields):
+    """VAL-9: 32-byte entries up to a digest or erased flash; partitions as members."""
+    if f.offset % 4096:
+        return False
+    at, known = f.offset, 0
+    while len(f.members) < 95 and data[at : at + 2] == b"\xaa\x50":
+        kind, start, size = data[at + 2], _u(data, at + 4, 4), _u(data, at + 8, 4)
+        name = data[at + 12 : at + 28].split(b"\0")[0]
+        if not size or not re.fullmatch(rb"[\x20-\x7e]*", name):
+            return False
+        known += kind in (0, 1)
+        f.members.append((name.decode(), start, size))
+        at += 32
+    rest = sorted(f.members, key=lambda m: m[1])
+    apart = all(a[1] + a[2] <= b[1] for a, b in builtins.zip(rest, rest[1:]))
+    ended = data[at : at + 2] in (b"\xeb\xeb", b"\xff\xff") or at >= len(data)
+    ok = ended and apart and len(rest) >= 2 and known >= 2 and any(m[1] < len(data) for m in rest)
+    return ok and _set(f, CONSISTENT, at - f.offset + 32 * (data[at : at + 2] == b"\xeb\xeb"))
+
+
+@_validator
+def esp32_nvs(data, f, fields):
+    """VAL-8: pages whose header and written entries all have the right CRC."""
+    pages, at = 0, f.offset
+    while data[at : at + 4] in (b"\xfe\xff\xff\xff", b"\xfc\xff\xff\xff", b"\xf8\xff\xff\xff") and at + 4096 <= len(data):
+        if checksums.crc32_nvs(data[at + 4 : at + 28]) != _u(data, at + 28, 4):
+            break
+        states, entry, good = _u(data, at + 32, 32), 0, True
+        while entry < 126 and good:
+            span = 1
+            if states >> 2 * entry & 3 == 2:
+                e = data[at + 64 + 32 * entry : at + 96 + 32 * entry]
+                good = checksums.crc32_nvs(e[:4] + e[8:]) == _u(e, 4, 4)
+                span = max(1, e[2])
+            entry += span
+        if not good:
+            break
+        pages, at = pages + 1, at + 4096
+    while pages and data[at : at + 4096] == b"\xff" * 4096:
+        at += 4096
+    return pages > 0 and _set(f, VERIFIED, at - f.offset)
+
+
+@_validator
+def littlefs(data, f, fields):
+    """VAL-21: the commit of the superblock, tag by tag, up to its CRC."""
+    at, before, block, count = f.offset + 4, 0xFFFFFFFF, 0, 0
+    while at < f.offset + 4096:
+        tag = _u(data, at, 4, "big") ^ before
+        kind, size = tag >> 20 & 0x7FF, tag & 0x3FF
+        size = 0 if size == 0x3FF else size
+        if kind & 0x700 == 0x500:
+            good = checksums.crc32_ubi(data[f.offset : at + 4]) == _u(data, at + 4, 4)
+            return good and block > 0 and _set(f, VERIFIED, min(block * count, len(data) - f.offset))
+        if kind == 0x201 and size >= 12:
+            version, block, count = _u(data, at + 4, 4), _u(data, at + 8, 4), _u(data, at + 12, 4)
+            f.version = f"{version >> 16}.{version & 0xFFFF}"
+        before, at = tag, at + 4 + size
+    return False
+
+
+#: Sizes that an environment block may have.
+_ENV_SIZES = tuple(1 << k for k in range(10, 20))
+
+
+@_validator
+def uboot_env(data, f, fields):
+    """VAL-36: from an entry inside the list back to its header, then the CRC over the sizes that are in use."""
+    start = f.offset
+    while start > 0 and (data[start - 1] == 0 or 0x20 <= data[start - 1] < 0x7F or data[start - 1] in b"\t\n\r") and data[start - 1 : start + 1] != b"\0\0" and f.offset - start < 1 << 18:
+        start -= 1
+    end = data.find(b"\0\0", f.offset + 1)
+    end = len(data) if end < 0 else end
+    for head in (4, 5):
+        for first in range(start, min(start + 6, f.offset + 1)):
+            base = first - head
+            if base < 0:
+                continue
+            want = _u(data, base, 4)
+            for size in _ENV_SIZES:
+                if base + size <= len(data) and checksums.crc32(data[first : base + size]) == want:
+                    entries = data[first:end].split(b"\0")
+                    return sum(b"=" in e for e in entries) >= 1 and _set(f, VERIFIED, size, offset=base)
+    entries = [e for e in data[start:end].split(b"\0") if re.match(rb"[\w.-]+=", e)]
+    if len(entries) < 4:
+        return False
+    f.diagnostics.append(("warning", "uboot-env-crc-unverified"))
+    return _set(f, STRUCTURAL, end - start, offset=start)
+
+
+@_validator
+def vbf(data, f, fields):
+    """VAL-40: the text header, then blocks of address, length, bytes and CRC-16."""
+    depth, at = 0, data.find(b"{", f.offset)
+    if not 0 <= at - f.offset <= 4096:
+        return False
+    while True:
+        depth += (data[at] == ord("{")) - (data[at] == ord("}"))
+        at += 1
+        if not depth:
+            break
+        if at - f.offset > 1 << 20:
+            return False
+    blocks, good = 0, True
+    while at + 10 <= len(data):
+        size = _u(data, at + 4, 4, "big")
+        if at + 10 + size > len(data):
+            break
+        good &= checksums.crc16_ccitt(data[at + 8 : at + 8 + size]) == _u(data, at + 8 + size, 2, "big")
+        blocks, at = blocks + 1, at + 10 + size
+    return _set(f, VERIFIED if blocks and good else CONSISTENT if blocks else STRUCTURAL, at - f.offset if blocks else None)
+
+
+@_validator
+def upx(data, f, fields):
+    """VAL-39: the pack header's own checksum."""
+    version, kind, method = data[f.offset + 4], data[f.offset + 5], data[f.offset + 6]
+    if not 1 <= version <= 14 or not kind or not 2 <= method <= 15:
+        return False
+    if version >= 10 and kind not in (1, 2, 3, 7):
+        head = data[f.offset : f.offset + 32]
+        if len(head) == 32 and sum(head[4:31]) % 251 == head[31]:
+            return _set(f, VERIFIED, 32, version=str(version))
+    return _set(f, MAGIC, version=str(version))
