@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import lzma
+import struct
 import tarfile
 import zipfile
 import zlib
@@ -228,8 +229,13 @@ def _ihex(data: bytes) -> Iterator[File]:
         yield f"0x{start:08x}.bin", "file", bytes(body)
 
 
+def _register() -> None:
+    from . import filesystems  # noqa: F401  adds its extractors
+
+
 def unpack(data: bytes, type_: str) -> tuple[list[File], str]:
     """The files of a finding and a status: ok, partial, unsupported or an error."""
+    _register()
     if type_ not in KNOWN:
         return [], "unsupported"
     files, total = [], 0
@@ -241,7 +247,7 @@ def unpack(data: bytes, type_: str) -> tuple[list[File], str]:
             files.append((path, kind, content))
     except Stop as e:
         return files, str(e) if not files else "partial"
-    except (ValueError, IndexError, EOFError, OSError, KeyError, zlib.error, lzma.LZMAError, zstandard.ZstdError, tarfile.TarError, zipfile.BadZipFile, NotImplementedError, RuntimeError) as e:
+    except (ValueError, IndexError, EOFError, OSError, KeyError, zlib.error, lzma.LZMAError, zstandard.ZstdError, tarfile.TarError, zipfile.BadZipFile, NotImplementedError, RuntimeError, struct.error) as e:
         return files, "partial" if files else f"error:{type(e).__name__}"
     return files, "ok"
 
@@ -252,6 +258,7 @@ SCHEMA = "parent_id long, offset_ long, type_ string, status string, path string
 def _level(batches: Iterator[pa.RecordBatch], documents: list[str]) -> Iterator[pa.RecordBatch]:
     from ..sources import catalog
 
+    _register()
     matcher = ident.Matcher(catalog.without_redundant([s for k, t in enumerate(documents) for s in catalog.load_text(t, priority=k)[0]]))
     schema = pa.schema([("parent_id", pa.int64()), ("offset_", pa.int64()), ("type_", pa.string()), ("status", pa.string()), ("path", pa.string()), ("kind", pa.string()), ("content", pa.binary())])
     for batch in batches:
