@@ -1,5 +1,7 @@
 import lzma
+import shutil
 import struct
+import subprocess
 import zlib
 
 import pytest
@@ -82,3 +84,51 @@ def test_squashfs(order, codec, pack):
     got, status = extract.unpack(image, "squashfs")
     assert status == "ok" and {p: c for p, _, c in got} == FILES
     assert extract.unpack(image[:200], "squashfs")[1] != "ok"
+
+
+@pytest.mark.parametrize("kind", ["ext2", "ext3", "ext4"])
+def test_ext(kind, tmp_path):
+    tool = shutil.which("mke2fs")
+    if not tool:
+        pytest.skip("no mke2fs")
+    tree = {"etc/conf": b"a = 1\n", "bin/large": bytes(range(256)) * 3000, "empty": b"", "deep/er/x": b"y" * 5000}
+    for name, body in tree.items():
+        path = tmp_path / "tree" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(body)
+    (tmp_path / "tree/link").symlink_to("etc/conf")
+    image = tmp_path / "image"
+    subprocess.run([tool, "-q", "-t", kind, "-b", "1024", "-d", str(tmp_path / "tree"), str(image), "8M"], check=True, capture_output=True)
+    got, status = extract.unpack(image.read_bytes(), "ext")
+    assert status == "ok" and {p: c for p, k, c in got if k == "file"} == tree
+    assert [(p, c) for p, k, c in got if k == "symlink"] == [("link", b"etc/conf")]
+
+
+def fat(bits):
+    """A volume of 512-byte clusters with one file in the root and one, with a long name, below."""
+    clusters = {12: 100, 16: 5000}[bits]
+    size = -(-(clusters + 2) * bits // 8 // 512) + 1
+    boot = struct.pack("<3s8sHBHBHHBHHHII", b"\xeb\x3c\x90", b"x", 512, 1, 1, 1, 16, 0, 0xF8, size, 0, 0, 0, 1 + size + 1 + clusters)
+    table = [0xFFF8, 0xFFFF, 3, 4, 0xFFFF, 0xFFFF, 0xFFFF]
+    raw = bytearray(size * 512)
+    for k, v in enumerate(table):
+        if bits == 16:
+            raw[2 * k : 2 * k + 2] = struct.pack("<H", v)
+        else:
+            v, at = v & 0xFFF, k * 3 // 2
+            word = int.from_bytes(raw[at : at + 2], "little") | (v << 4 if k & 1 else v)
+            raw[at : at + 2] = struct.pack("<H", word)
+    entry = lambda name, attr, c, n: struct.pack("<11sB8xHHHHI", name, attr, 0, 0, 0, c, n)
+    long = "A long name.txt".encode("utf-16-le").ljust(52, b"\0")
+    part = lambda k, last: bytes([k | 0x40 * last]) + long[26 * k - 26 : 26 * k - 16] + b"\x0f\0\0" + long[26 * k - 16 : 26 * k - 4] + b"\0\0" + long[26 * k - 4 : 26 * k]
+    root = (entry(b"DATA    BIN", 0x20, 2, 1200) + entry(b"SUB        ", 0x10, 5, 0)).ljust(512, b"\0")
+    sub = (entry(b".          ", 0x10, 5, 0) + part(2, 1) + part(1, 0) + entry(b"ALONGN~1TXT", 0x20, 6, 5)).ljust(512, b"\0")
+    body = bytes(range(240)) * 5
+    return boot.ljust(512, b"\0") + bytes(raw) + root + body.ljust(1536, b"\0") + sub + b"hello".ljust(512, b"\0") + bytes(512 * (clusters - 5)), {"DATA.BIN": body, "SUB/A long name.txt": b"hello"}
+
+
+@pytest.mark.parametrize("bits", [12, 16])
+def test_fat(bits):
+    image, want = fat(bits)
+    got, status = extract.unpack(image, "fat")
+    assert status == "ok" and {p: c for p, _, c in got} == want
