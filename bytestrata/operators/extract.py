@@ -230,7 +230,7 @@ def _ihex(data: bytes) -> Iterator[File]:
 
 
 def _register() -> None:
-    from . import filesystems  # noqa: F401  adds its extractors
+    from . import containers, filesystems  # noqa: F401  add their extractors
 
 
 def unpack(data: bytes, type_: str) -> tuple[list[File], str]:
