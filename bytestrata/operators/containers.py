@@ -6,7 +6,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
-from ..functions import checksums
+from ..functions import checksums, lzo
 from .extract import MOST_BYTES, File, Stop, _extractor, safe_path
 
 
@@ -122,7 +122,7 @@ def _jffs2(data: bytes) -> Iterator[File]:
                 raise Stop("error:too-large")
             out = bytearray(size)
             for _, _, _, offset, raw, plain, codec in own:
-                part = {0: lambda raw=raw: raw, 1: lambda plain=plain: bytes(plain), 2: lambda raw=raw, plain=plain: rtime(raw, plain), 6: lambda raw=raw: zlib.decompress(raw)}.get(codec)
+                part = {0: lambda raw=raw: raw, 1: lambda plain=plain: bytes(plain), 2: lambda raw=raw, plain=plain: rtime(raw, plain), 6: lambda raw=raw: zlib.decompress(raw), 7: lambda raw=raw, plain=plain: lzo.decompress(raw, plain)}.get(codec)
                 if not part:
                     raise Stop(f"unsupported:{codec}")
                 part = part()[: max(0, size - offset)]

@@ -79,16 +79,17 @@ def _zstd(data: bytes) -> Iterator[File]:
     yield "data", "file", zstandard.ZstdDecompressor().decompressobj().decompress(data)[:MOST_BYTES]
 
 
-def lz4_block(data: bytes, most: int = MOST_BYTES) -> bytes:
-    """COD-5: sequences of literals and matches."""
-    out, at = bytearray(), 0
+def lz4_block(data: bytes, most: int = MOST_BYTES, before: bytes = b"") -> bytes:
+    """COD-5: sequences of literals and matches, which may reach into what came before."""
+    out, at = bytearray(before), 0
     while at < len(data):
         token, at = data[at], at + 1
         n = token >> 4
-        while n >= 15 and (n - 15) % 255 == 0 and at <= len(data):
-            n, at = n + data[at], at + 1
-            if data[at - 1] < 255:
-                break
+        if n == 15:
+            while True:
+                n, at = n + data[at], at + 1
+                if data[at - 1] < 255:
+                    break
         out += data[at : at + n]
         at += n
         if at >= len(data):
@@ -104,9 +105,30 @@ def lz4_block(data: bytes, most: int = MOST_BYTES) -> bytes:
                     break
         for _ in range(n + 4):
             out.append(out[-back])
-        if len(out) > most:
+        if len(out) - len(before) > most:
+            raise Stop("error:too-large")
+    return bytes(out[len(before) :])
+
+
+@_extractor("lz4")
+def _lz4(data: bytes) -> Iterator[File]:
+    """A frame: its descriptor, then blocks with their sizes, stored ones marked by the top bit."""
+    flags = data[4]
+    at, out = 7 + 8 * (flags >> 3 & 1) + 4 * (flags & 1), bytearray()
+    while True:
+        size = int.from_bytes(data[at : at + 4], "little")
+        if at + 4 > len(data) or not size:
+            break
+        raw = data[at + 4 : at + 4 + (size & 0x7FFFFFFF)]
+        if size >> 31:
+            out += raw
+        else:
+            before = bytes(out[-65536:]) if not flags & 0x20 else b""
+            out += lz4_block(raw, before=before)
+        at += 4 + (size & 0x7FFFFFFF) + 4 * (flags >> 4 & 1)
+        if len(out) > MOST_BYTES:
             raise Stop("error:too-large")
-    return bytes(out)
+    yield "data", "file", bytes(out)
 
 
 @_extractor("lz4_legacy")

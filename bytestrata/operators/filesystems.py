@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import zstandard
 
+from ..functions import lzo
 from .extract import MOST_BYTES, File, Stop, _extractor, lz4_block, safe_path
 
 
@@ -70,6 +71,8 @@ class _Squash:
             return zstandard.ZstdDecompressor().decompress(raw, max_output_size=most)
         if self.codec == "lz4":
             return lz4_block(raw, most)
+        if self.codec == "lzo":
+            return lzo.decompress(raw, most)
         raise Stop(f"unsupported:{self.codec}")
 
     def meta(self, at: int, skip: int, size: int) -> bytes:
