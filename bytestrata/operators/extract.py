@@ -252,7 +252,7 @@ def _ihex(data: bytes) -> Iterator[File]:
 
 
 def _register() -> None:
-    from . import containers, filesystems  # noqa: F401  add their extractors
+    from . import containers, filesystems, flash  # noqa: F401  add their extractors
 
 
 def unpack(data: bytes, type_: str) -> tuple[list[File], str]:
