@@ -96,3 +96,36 @@ def truncated(members: DataFrame, owner: str, order: list[Column], most: int) ->
     w = Window.partitionBy(owner)
     numbered = members.withColumn("__k", F.row_number().over(w.orderBy(*order))).withColumn("members_truncated", F.count(F.lit(1)).over(w) > most)
     return numbered.where(F.col("__k") <= most).drop("__k")
+
+
+def _range_entropy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for row in batch.to_pylist():
+            data = memoryview(row["content"] or b"")
+            rows += [{"blob_id": row["blob_id"], "offset_": r["offset_"], "size_": r["size_"], "entropy": region_entropy(data[r["offset_"] : r["offset_"] + r["size_"]])} for r in row["ranges"] if r["size_"] > 0]
+        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("blob_id", pa.int64()), ("offset_", pa.int64()), ("size_", pa.int64()), ("entropy", pa.float64())]))
+
+
+def range_entropy(blobs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """AGG-5: entropy of each sized range (blob_id, offset_, size_) of the blobs: one shuffle by blob, a pass over each."""
+    per = ranges.select(F.col("blob_id").cast("long").alias("blob_id"), F.struct("offset_", "size_").alias("r")).groupBy("blob_id").agg(F.collect_set("r").alias("ranges"))
+    rows = blobs.select(F.col("blob_id").cast("long").alias("blob_id"), "content").join(per, "blob_id")
+    return rows.mapInArrow(_range_entropy, "blob_id long, offset_ long, size_ long, entropy double")
+
+
+#: AGG-11: from this entropy on a range counts as compressed or encrypted.
+DENSE = 7.2
+
+
+def assessments(rows: DataFrame, entropy_col: str | None = None) -> DataFrame:
+    """AGG-11: a line about each blob: its types in order, what its entropy says, and how many keys it holds."""
+    types = summary(rows.groupBy("blob_id", "type_").agg(F.min("place").alias("place")), " + ")
+    keys = rows.groupBy("blob_id").agg(F.sum((F.col("category") == "crypto").cast("int")).alias("keys"))
+    line = F.concat("summary", F.when(F.col("keys") > 0, F.concat(F.lit("; "), F.col("keys").cast("string"), F.lit(" key/cert"))).otherwise(F.lit("")))
+    joined = types.join(keys, "blob_id")
+    if entropy_col:
+        whole = rows.groupBy("blob_id").agg(F.max(entropy_col).alias("e"))
+        line = F.concat(line, F.when(F.col("e") >= DENSE, F.lit("; high entropy")).otherwise(F.lit("")))
+        joined = joined.join(whole, "blob_id")
+    return joined.select("blob_id", line.alias("assessment"))

@@ -212,3 +212,34 @@ def newest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 def member_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return summaries.truncated(rows, "l_orderkey", [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_extendedprice")], 3).select("l_orderkey", "l_linenumber", "l_partkey", "members_truncated")
+
+
+@_query(f"""WITH {_C}, t AS (SELECT blob_id, type_, min(place) AS first FROM o GROUP BY 1, 2), k AS (SELECT blob_id, sum(CASE WHEN category = 'crypto' THEN 1 ELSE 0 END) AS n FROM o GROUP BY 1)
+    SELECT t.blob_id, string_agg(type_, ' + ' ORDER BY first) || CASE WHEN any_value(n) > 0 THEN '; ' || CAST(any_value(n) AS INT) || ' key/cert' ELSE '' END AS assessment FROM t JOIN k ON k.blob_id = t.blob_id GROUP BY t.blob_id""")
+def file_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.assessments(_placed(spark, sf_dir))
+
+
+@_query(f"WITH {_C} SELECT blob_id, count(*) AS rows_, CAST(sum(CASE WHEN confidence >= 85 THEN 1 ELSE 0 END) AS BIGINT) AS sure, max(confidence) AS best FROM c GROUP BY blob_id")
+def confidence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _candidates(spark, sf_dir)
+    return rows.groupBy("blob_id").agg(F.count(F.lit(1)).alias("rows_"), F.sum((F.col("confidence") >= 85).cast("long")).alias("sure"), F.max("confidence").alias("best"))
+
+
+@_query(f"""WITH {_C}, w AS (SELECT blob_id, offset_, min(offset_) OVER (PARTITION BY blob_id ORDER BY offset_ RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_start FROM c WHERE category = 'container')
+    SELECT DISTINCT * FROM w""")
+def next_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOI-8: the smallest container start behind each container: a forward as-of join as a window."""
+    rows = _candidates(spark, sf_dir).where("category = 'container'")
+    w = intervals.Window.partitionBy("blob_id").orderBy("offset_").rangeBetween(1, intervals.Window.unboundedFollowing)
+    return rows.select("blob_id", "offset_", F.min("offset_").over(w).alias("next_start")).distinct()
+
+
+@_query(f"""WITH {_C}, e AS (SELECT blob_id, offset_ AS start, offset_ + size_ AS end_, place FROM o WHERE category = 'filesystem' OR (category = 'container' AND size_ > 0))
+    SELECT o.blob_id, o.place, min(e.place) AS extent FROM o JOIN e ON e.blob_id = o.blob_id AND e.start <= o.offset_ AND o.offset_ < e.end_ GROUP BY 1, 2""")
+def extent_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOI-4: each row with the first extent that holds its offset; an equi-join by blob with a range condition."""
+    rows = _placed(spark, sf_dir)
+    extents = rows.where("category = 'filesystem' or (category = 'container' and size_ > 0)").select(F.col("blob_id").alias("e_blob"), F.col("offset_").alias("start"), (F.col("offset_") + F.col("size_")).alias("end_"), F.col("place").alias("e_place"))
+    inside = (F.col("e_blob") == F.col("blob_id")) & (F.col("start") <= F.col("offset_")) & (F.col("offset_") < F.col("end_"))
+    return rows.join(extents, inside).groupBy("blob_id", "place").agg(F.min("e_place").alias("extent"))

@@ -2,7 +2,7 @@ import gzip
 import json
 
 from bytestrata.operators import identify as ident
-from bytestrata.operators import sinks
+from bytestrata.operators import sinks, summaries
 from bytestrata.sources import blobs, catalog
 from bytestrata.streaming import watch
 
@@ -37,3 +37,9 @@ def test_files_and_stream(spark, tmp_path):
     stream = watch.write(watch.identified(watch.arriving(spark, str(tmp_path / "in")), TEXTS), str(tmp_path / "out"), str(tmp_path / "state"))
     stream.awaitTermination(60)
     assert {r.type_ for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"gzip", "pdf"}
+
+
+def test_entropy_of_ranges(spark):
+    df = spark.createDataFrame([(1, bytearray(bytes(512) + bytes(range(256)) * 4))], "blob_id long, content binary")
+    ranges = spark.createDataFrame([(1, 0, 512), (1, 512, 1024), (1, 5, 0)], "blob_id long, offset_ long, size_ long")
+    assert {(r.offset_, r.entropy) for r in summaries.range_entropy(df, ranges).collect()} == {(0, 0.0), (512, 8.0)}
