@@ -252,7 +252,7 @@ def main_text(page: str | None) -> str:
                 kept.append(x)
             elif isinstance(x, Node) and not x.cut and x.text:
                 density = x.links / x.text
-                if x.tag in ("p", "pre", "blockquote", "h1", "h2", "h3"):
+                if x.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "table"):
                     if density < 0.25:
                         kept.append(x)
                 elif _score(x) >= max(min(10.0, 0.5 * top), 0.2 * top) and density < 0.3:
