@@ -22,9 +22,11 @@ def text_or_empty(name: str) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text in order; an empty array if it has none."""
-    trimmed = F.btrim(text, F.lit(SPACE_CHARS))
-    return F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE + "+"))
+    """The words of a text in order; an empty array if it has none.
+
+    All white space becomes U+0020 first, as a split at one plain character needs no regular expression.
+    """
+    return F.array_remove(F.split(F.regexp_replace(text, r"[\x09-\x0D]", " "), " "), "")
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -22,11 +22,11 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE, text_or_empty, words_of
+from ._common import SPACE_CHARS, text_or_empty, words_of
 
 #: Hash buckets of the n-grams (a power of two); also the length of the constant that is sent with the tasks.
 BUCKETS = 1 << 14
-#: Characters of a word's end that make an n-gram.
+#: Bytes of a word's end that make an n-gram.
 ENDING = 3
 #: The hash of any word followed by itself.
 TWICE = 20_263
@@ -47,16 +47,20 @@ def _pairs(hashes: Column, apart: int, left: Column) -> Column:
     return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, apart + 1, n), lambda a, b: F.xxhash64(a, b))
 
 
-def _ngrams(words: Column, hashes: Column) -> Column:
-    """Hashes of a text's n-grams from its words and their hashes.
+def _bigram(a: Column, b: Column) -> Column:
+    """Of two words' hashes; a word twice in a row is one bigram, whatever the word."""
+    return F.when(a == b, F.lit(TWICE).cast("long")).otherwise(a.bitwiseXOR(F.shiftrightunsigned(b, 7)))
 
-    Word unigrams, word bigrams (a word twice in a row is one bigram, whatever the word) and the words' last ENDING
-    characters.
-    """
+
+def _ending(word: Column) -> Column:
+    """Of a word's last ENDING bytes."""
+    return F.xxhash64(F.substring(word.cast("binary"), -ENDING, ENDING), F.lit(ENDING))
+
+
+def _ngrams(words: Column, hashes: Column) -> Column:
+    """Hashes of a text's word unigrams, word bigrams and word endings."""
     n = F.greatest(F.size(hashes) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, 2, n), lambda a, b: F.when(a == b, F.lit(TWICE).cast("long")).otherwise(F.xxhash64(a, b)))
-    ends = F.transform(words, lambda w: F.xxhash64(F.substring(w, -ENDING, ENDING), F.lit(ENDING)))
-    return F.concat(hashes, pairs, ends)
+    return F.concat(hashes, F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, 2, n), _bigram), F.transform(words, _ending))
 
 
 def _covered(grams: Column) -> Column:
@@ -80,11 +84,11 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     w = w.withColumn("__h8", _pairs(F.col("__h4"), 4, F.col("__n") - (REPEAT_WINDOW - 1)))
     again = F.size(F.array_distinct("__h8")) < F.size("__h8")
     w = w.withColumn("__grams", F.when(again, F.array_sort(F.transform("__h8", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    lines = F.filter(F.split("__text", "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0)
+    lines = F.filter(F.split("__text", "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE_CHARS))) > 0)
     w = w.withColumn("__lines", lines)
     q = F.struct(
         F.col("__n").cast("long").alias("n_words"),
-        F.char_length(F.regexp_replace("__text", SPACE + "+", "")).cast("long").alias("word_chars"),
+        F.char_length(F.array_join("__words", "")).cast("long").alias("word_chars"),
         (F.char_length("__text") - F.char_length(F.regexp_replace("__text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(_covered(F.col("__grams")), F.lit(0)).cast("long").alias("n_repeat_words"),
@@ -101,10 +105,14 @@ def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
 
 def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> list[float]:
     """log(p_trusted / p_raw) of each bucket. trusted: a column of at most TRUSTED ids, which are broadcast."""
-    h = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), words_of(text_or_empty(text_col)).alias("__w"))
-    h = h.withColumn("__h1", F.transform("__w", lambda x: F.xxhash64(x))).select("__id", _ngrams(F.col("__w"), F.col("__h1")).alias("__h"))
-    known = h.join(F.broadcast(trusted), F.col("__id") == F.col("__trusted"), "left").select(F.col("__trusted").isNotNull().cast("long").alias("__t"), "__h")
-    rows = known.select("__t", F.explode("__h").alias("__g")).groupBy(F.col("__g").bitwiseAND(F.lit(buckets - 1)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("raw"), F.sum("__t").alias("good")).collect()  # one row per bucket
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), words_of(text_or_empty(text_col)).alias("__w"))
+    known = texts.join(F.broadcast(trusted), F.col("__id") == F.col("__trusted"), "left")
+    # the same n-grams as _ngrams', word by word: all of it, hashes and counts, is compiled into one loop
+    beside = F.arrays_zip(F.col("__w").alias("a"), F.slice("__w", 2, F.size("__w")).alias("b"))
+    pairs = known.select(F.col("__trusted").isNotNull().cast("long").alias("__t"), F.explode(beside).alias("__p"))
+    hashed = pairs.select("__t", "__p.a", F.xxhash64("__p.a").alias("ha"), F.when(F.col("__p.b").isNotNull(), F.xxhash64("__p.b")).alias("hb"))
+    grams = hashed.select("__t", F.explode(F.array("ha", _bigram(F.col("ha"), F.col("hb")), _ending(F.col("a")))).alias("__g")).where("__g is not null")
+    rows = grams.groupBy(F.col("__g").bitwiseAND(F.lit(buckets - 1)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("raw"), F.sum("__t").alias("good")).collect()  # one row per bucket
     raw, good = [0] * buckets, [0] * buckets
     for r in rows:
         raw[r["b"]], good[r["b"]] = r["raw"], r["good"]
