@@ -184,7 +184,8 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     length = prefix_length(float(similarity), trees, depth, recall)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     plain = F.regexp_replace(F.btrim("text", F.lit(SPACE_CHARS)), SPACE + "+", " ")
-    hashed = texts.select("doc_id", F.unhex(F.sha2(plain, 256)).alias("digest"), F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
+    digest, words = F.unhex(F.sha2(plain, 256)), F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w))
+    hashed = texts.select("doc_id", digest.alias("digest"), words.alias("words"))
     labelled = cut_lineage(hashed.mapInArrow(partial(_labels, trees=trees, length=length), "doc_id long, digest binary, n_words long, keys array<long>"))
 
     copies = cut_lineage(labelled.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n_copies"), F.first("keys").alias("keys"), F.first("n_words").alias("n_words")))
@@ -198,8 +199,11 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     members = cut_lineage(members.join(named.select("node", "digest", "n_words"), "node"))
     sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / tile_docs), F.ceil(F.sum("n_words") / TILE_WORDS)).cast("int").alias("blocks"))
     placed = members.join(sizes, "cluster").select("cluster", "node", "digest", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
-    with_words = placed.join(hashed.where("doc_id is not null"), (F.col("node") == F.col("doc_id")) & (placed["digest"] == hashed["digest"])).select("cluster", "node", "block", "blocks", "words", hashed["digest"])
-    with_words = with_words.dropDuplicates(["cluster", "node", "digest"]).drop("digest") if _repeats(labelled) else with_words.drop("digest")
+    # texts travel as they are; only those of clusters are hashed again
+    met = placed.join(texts.where("doc_id is not null"), F.col("node") == F.col("doc_id"))
+    if _repeats(labelled):
+        met = met.where(digest == F.col("digest")).dropDuplicates(["cluster", "node", "digest"])
+    with_words = met.select("cluster", "node", "block", "blocks", words.alias("words"))
     tiles = with_words.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "words")
     verified = cut_lineage(tiles.groupBy("cluster", "i", "j").applyInArrow(lambda tile: _verify(tile, similarity), "node long, links long, root long"))
     links = verified.groupBy("node").agg(F.sum("links").alias("n_links"))
