@@ -12,7 +12,7 @@ linked when the Jaccard similarity of their sets is 0.8 or more.
    of those edges are sets outside of which no candidate pair exists.
 4. *Verification*: each cluster's shingle sets are compared exactly, all pairs, by counting shared shingles in matrix
    products and, for rare shingles, pair by pair. A cluster of more than ``TILE_DOCS`` documents or ``TILE_WORDS`` words is
-   cut into blocks and its pairs of blocks are tasks of their own. A tile returns how many links each node has in it and
+   cut into blocks, a smaller one into up to ``SPREAD``, and its pairs of blocks are tasks of their own. A tile returns how many links each node has in it and
    the tile's components, never the pairs.
 5. *Classes*: components of the verified links.
 
@@ -43,6 +43,8 @@ DEPTH = 8
 RECALL = 0.999
 TILE_DOCS = 2048
 TILE_WORDS = 1_500_000
+#: Blocks that a cluster of less than a tile is cut into at most, for tasks of like size.
+SPREAD = 8
 SEED = 5
 
 _MIX = [np.uint64(x) for x in np.random.default_rng(SEED).integers(1, 2**63, WORDS, np.int64) * 2 + 1]
@@ -197,7 +199,8 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
 
     members = clusters.select("node", F.col("root").alias("cluster")).unionByName(clusters.select(F.col("root").alias("node"), F.col("root").alias("cluster")).distinct())
     members = cut_lineage(members.join(named.select("node", "digest", "n_words"), "node"))
-    sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / tile_docs), F.ceil(F.sum("n_words") / TILE_WORDS)).cast("int").alias("blocks"))
+    n = F.count(F.lit(1))
+    sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(n / tile_docs), F.least(F.ceil(8 * n / tile_docs), F.lit(SPREAD)), F.ceil(F.sum("n_words") / TILE_WORDS)).cast("int").alias("blocks"))
     placed = members.join(sizes, "cluster").select("cluster", "node", "digest", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
     # texts travel as they are; only those of clusters are hashed again
     met = placed.join(texts.where("doc_id is not null"), F.col("node") == F.col("doc_id"))
