@@ -2,36 +2,38 @@
 
 Lines are trimmed, and lines without words are passed over. Documents are ordered by doc_id.
 
-1. *Line hashes*: a unit is the shortest run of lines from a given line on that has ``NOISE`` words or more; its hash is
-   that of its lines' hashes.
-2. *Winnowing*: of the units that begin in any shortest run of lines with ``WINDOW`` words, the one with the least hash
-   is a fingerprint. Two documents that share a run of NOISE + WINDOW - 1 words (50) therefore share a fingerprint of
-   that run, wherever it stands in either; shorter runs than NOISE words never match.
-3. *Positions*: each fingerprint's later places are joined with its first place, so a fingerprint that a third of all
-   documents have costs one row a place, not one a pair of places.
-4. *Extension*: on the diagonal of a match all lines of the two documents are compared, and equal runs of NOISE words or
-   more that hold, or lie beside, the fingerprint are taken whole, both ways.
-5. *Deletion*: those runs are deleted from the later document, with the lines without words inside them.
-
-Texts are shuffled once, to meet their deletions; the rest works on some 20 bytes a line. Only DataFrame functions run.
+1. *Line hashes*: a unit is the shortest run of lines from a given line on, or back from it, that has ``NOISE`` words or
+   more; where one line is enough, it and the next are a unit too. A unit's hash is that of its lines' hashes.
+2. *Winnowing* with a window of one unit: every unit is a fingerprint, so nothing depends on the text around a run.
+3. *Positions*: the units' places are joined with the first place of the same unit, so one that a third of all documents
+   have costs one row a place, not one a pair of places.
+4. *Deletion*: all lines of each unit that isn't at its first place go, with the lines without words inside it. Units
+   that overlap are one span.
+
+Every line of every run of NOISE words or more that stands at an earlier place goes, and no other: a line of such a run
+lies in a unit inside the run, forward from it or, near the run's end, back from there; lines next to each other share
+one. Equal runs have equal units, wherever they stand. A line's first place in the corpus is in no later copy, so one copy
+of every line stays.
+
+The places of units are shuffled, some 20 bytes each and one or two a line; texts once, to meet their deletions. Only
+DataFrame functions run.
 
 Defined results: a null text is empty; rows without doc_id neither lose lines nor cost others any; rows that share doc_id
-and text are one document, returned as often as it stands; a copy of a whole document is left with no lines, and an empty
-text; an empty table gives no rows; further columns of the input play no part.
+and text are one document, returned as often as it stands; a copy of a whole document of NOISE words or more is left with
+no lines, and an empty text; an empty table gives no rows; further columns of the input play no part.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import SPACE, SPACE_CHARS, cut_lineage, text_or_empty
 
 #: Words that a unit has at least; shorter repeated runs stay.
 NOISE = 25
-#: Words of the runs of lines that have a fingerprint each. Repeated runs of NOISE + WINDOW - 1 words are always found.
-WINDOW = 26
-
+#: Units of a window, each of which has a fingerprint. Repeated runs of NOISE + WINDOW - 1 words are always found.
+WINDOW = 1
 
 
 def _lines(text: Column) -> Column:
@@ -40,63 +42,47 @@ def _lines(text: Column) -> Column:
     return F.transform(F.filter(trimmed, lambda x: F.length(x["t"]) > 0), lambda x: F.struct(F.xxhash64(x["t"]).alias("h"), x["i"].alias("i"), F.size(F.split(x["t"], SPACE + "+")).alias("w")))
 
 
-def _unit(lines: Column, k: Column) -> Column:
-    """How many lines from line k on the unit has, and its words."""
+def _unit(words: Column) -> Column:
+    """How many of the lines with these words the unit has; 0 if they are too few."""
     first = F.struct(F.lit(0).alias("n"), F.lit(0).alias("w"))
-    return F.aggregate(F.slice(lines, k + 1, NOISE), first, lambda s, x: F.when(s["w"] >= NOISE, s).otherwise(F.struct((s["n"] + 1).alias("n"), (s["w"] + x["w"]).alias("w"))))
-
-
-def _least(units: Column, k: Column) -> Column:
-    """The fingerprint of the window from line k on: struct(words, hash, place); the hash is null in an unfinished window."""
-    first = F.struct(F.lit(0).alias("w"), F.lit(None).cast("long").alias("u"), F.lit(-1).alias("k"), F.lit(True).alias("ok"))
+    return F.aggregate(words, first, lambda s, x: F.when(s["w"] >= NOISE, s).otherwise(F.struct((s["n"] + 1).alias("n"), (s["w"] + x).alias("w"))), lambda s: F.when(s["w"] >= NOISE, s["n"]).otherwise(0))
 
-    def more(s: Column, x: Column) -> Column:
-        less = s["u"].isNull() | (x["u"] < s["u"])
-        one = F.struct((s["w"] + x["w"]).alias("w"), F.when(less, x["u"]).otherwise(s["u"]).alias("u"), F.when(less, x["k"]).otherwise(s["k"]).alias("k"), (s["ok"] & x["u"].isNotNull()).alias("ok"))
-        return F.when(s["w"] >= WINDOW, s).otherwise(one)
 
-    return F.aggregate(F.slice(units, k + 1, WINDOW), first, more)
+def _mark(k: Column, n: Column | int) -> Column:
+    """struct(u, s, e) of the n lines from line k on: their hash and their first and last line number."""
+    return F.struct(F.xxhash64(F.slice("h", k + 1, n)).alias("u"), F.get("i", k).alias("s"), F.get("i", k + n - 1).alias("e"))
 
 
 def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, th (the text's hash), the lines' h, i and w, and the fingerprints; without rows that have no line."""
+    """doc_id, th (the text's hash) and marks, the units."""
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).where("doc_id is not null").where(F.length(F.btrim("text", F.lit(SPACE_CHARS))) > 0)
     d = d.select("doc_id", F.xxhash64("text").alias("th"), _lines(F.col("text")).alias("lines"))
-    runs = F.transform("lines", lambda x, k: F.struct(_unit(F.col("lines"), k).alias("u"), k.alias("k"), x["w"].alias("w")))
-    d = d.withColumn("runs", runs).withColumn("h", F.transform("lines", lambda x: x["h"]))
-    units = F.transform("runs", lambda r: F.struct(F.when(r["u"]["w"] >= NOISE, F.xxhash64(F.slice(F.col("h"), r["k"] + 1, r["u"]["n"]))).alias("u"), r["k"].alias("k"), r["w"].alias("w")))
-    d = d.withColumn("units", units)
-    d = d.withColumn("least", F.filter(F.transform("units", lambda x: _least(F.col("units"), x["k"])), lambda x: x["ok"] & (x["w"] >= WINDOW)))
-    # a document too short for a whole window has one fingerprint: the least of its units
-    short = F.filter(F.array(F.array_min(F.transform(F.filter("units", lambda x: x["u"].isNotNull()), lambda x: F.struct(x["u"].alias("u"), x["k"].alias("k"))))), lambda x: x.isNotNull())
-    marks = F.when(F.size("least") > 0, F.array_distinct(F.transform("least", lambda x: F.struct(x["u"].alias("u"), x["k"].alias("k"))))).otherwise(short)
-    return d.withColumn("marks", marks).select("doc_id", "th", "h", F.transform("lines", lambda x: x["i"]).alias("i"), F.transform("lines", lambda x: x["w"]).alias("w"), "marks").distinct()
+    d = d.select("doc_id", "th", F.transform("lines", lambda x: x["h"]).alias("h"), F.transform("lines", lambda x: x["i"]).alias("i"), F.transform("lines", lambda x: x["w"]).alias("w"))
+    d = d.withColumn("on", F.transform("w", lambda _, k: _unit(F.slice("w", k + 1, NOISE))))
+    d = d.withColumn("back", F.transform("w", lambda _, k: _unit(F.reverse(F.slice("w", F.greatest(k + 2 - NOISE, F.lit(1)), F.least(k + 1, F.lit(NOISE)))))))
+    on = F.transform("on", lambda n, k: F.when(n > 0, _mark(k, n)))
+    pair = F.transform("on", lambda n, k: F.when((n == 1) & (k + 1 < F.size("on")), _mark(k, F.lit(2))))
 
+    def rest(n: Column, k: Column) -> Column:
+        """The unit back from line k, if it isn't among the others."""
+        there = F.get("on", k + 1 - n)
+        return F.when((n > 0) & (there != n) & ~((there == 1) & (n == 2)), _mark(k + 1 - n, n))
 
-def _place() -> Column:
-    """A place in the corpus, in its order."""
-    return F.struct("doc_id", "th", "k")
+    marks = F.filter(F.concat(on, pair, F.transform("back", rest)), lambda x: x.isNotNull())
+    return d.select("doc_id", "th", marks.alias("marks"))
 
 
 def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, th and spans, an array of (start, end) line numbers, both included, of documents that lose lines."""
     rows = cut_lineage(hashed(docs, id_col, text_col))
-    marks = rows.select("doc_id", "th", F.explode("marks").alias("m")).select("doc_id", "th", F.col("m.u").alias("u"), F.col("m.k").alias("k"))
-    first = marks.groupBy("u").agg(F.min(_place()).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1").select("u", F.col("at.doc_id").alias("a_id"), F.col("at.th").alias("a_th"), F.col("at.k").alias("a_k"))
-    later = marks.join(first, "u").where("not (doc_id = a_id and th = a_th and k = a_k)")
-    diagonals = later.select("doc_id", "th", "a_id", "a_th", (F.col("k") - F.col("a_k")).alias("d")).distinct()
-
-    theirs = rows.select(F.col("doc_id").alias("a_id"), F.col("th").alias("a_th"), F.col("h").alias("b"))
-    both = diagonals.join(rows.select("doc_id", "th", "h", "i", "w"), ["doc_id", "th"]).join(theirs, ["a_id", "a_th"])
-    d = F.col("d")
-    same = F.filter(F.sequence(F.greatest(F.lit(0), d), F.least(F.size("h") - 1, F.size("b") - 1 + d)), lambda k: F.get("h", k) == F.get("b", k - d))
-    both = both.withColumn("same", same).drop("h", "b")
-    starts = F.filter("same", lambda k, n: F.coalesce(F.get("same", n - 1), F.lit(-9)) != k - 1)
-    ends = F.filter("same", lambda k, n: F.coalesce(F.get("same", n + 1), F.lit(-9)) != k + 1)
-    both = both.withColumn("starts", starts).withColumn("ends", ends)
-    runs = F.zip_with("starts", "ends", lambda a, b: F.struct(F.get("i", a).alias("start"), F.get("i", b).alias("end"), F.aggregate(F.slice("w", a + 1, b - a + 1), F.lit(0), lambda s, x: s + x).alias("w")))
-    spans = F.transform(F.filter(runs, lambda r: r["w"] >= NOISE), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end")))
-    return both.select("doc_id", "th", F.explode(spans).alias("span")).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("span")).alias("spans"))
+    marks = rows.select("doc_id", "th", F.explode("marks").alias("m")).select("doc_id", "th", "m.*")
+    first = marks.groupBy("u").agg(F.min(F.struct("doc_id", "th", "s")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1").select("u", "at")
+    later = marks.join(first, "u").where("not (doc_id = at.doc_id and th = at.th and s = at.s)").groupBy("doc_id", "th", "s").agg(F.max("e").alias("e"))
+    text = Window.partitionBy("doc_id", "th").orderBy("s")
+    before = F.max("e").over(text.rowsBetween(Window.unboundedPreceding, -1))
+    later = later.withColumn("new", F.when(F.col("s") <= before, 0).otherwise(1)).withColumn("span", F.sum("new").over(text.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = later.groupBy("doc_id", "th", "span").agg(F.struct(F.min("s").alias("start"), F.max("e").alias("end")).alias("span_"))
+    return spans.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list("span_")).alias("spans"))
 
 
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

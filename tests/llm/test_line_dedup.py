@@ -66,3 +66,33 @@ def test_long_and_empty(spark, odd_docs, no_docs):
     text = "\n".join(words(3, rng) for _ in range(3000))
     df = spark.createDataFrame([(1, text), (2, "head\n" + text)], "doc_id long, text string")
     assert {r.doc_id: r.n_removed for r in line_dedup.annotate(df).collect()} == {1: 0, 2: 3000}
+
+
+def exact(docs, least):
+    """Line numbers of each document that lie in any run of so many words seen at an earlier place."""
+    first, out = {}, {}
+    for i, text in sorted(docs):
+        lines = [(k, x.strip()) for k, x in enumerate(text.split("\n")) if x.strip()]
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                run = tuple(x for _, x in lines[a:b])
+                if len(" ".join(run).split()) >= least and first.setdefault(run, (i, a)) != (i, a):
+                    out.setdefault(i, set()).update(range(lines[a][0], lines[b - 1][0] + 1))
+    return out
+
+
+def removed(spark, docs):
+    got = line_dedup.annotate(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    return {r.doc_id: {k for a, b in r.spans for k in range(a, b + 1)} for r in got if r.n_removed}
+
+
+def test_nested_passages(spark):
+    """A passage alone in one document, inside a longer run that two others share; and two longer runs of one document."""
+    rng, docs = random.Random(11), []
+    run = lambda n: [words(5, rng) for _ in range(n)]
+    for at in range(0, 400, 10):
+        x, p, y = run(3), run(6), run(3)
+        docs += [(at + k, "\n".join(t)) for k, t in enumerate([run(2) + p + run(2), run(2) + x + p + y, x + p + y + run(2), p + run(1) + x + p + y])]
+    want = exact(docs, 50)
+    got = removed(spark, docs)
+    assert len(want) >= 80 and all(lines <= got.get(i, set()) for i, lines in want.items())
