@@ -3,8 +3,8 @@
 A forgiving parser builds the element tree of the whole page. Every text block passes points to its ancestors, one for
 being there, one per comma and up to three for its length: all of them to its parent, half to its grandparent, and a
 part that shrinks with the distance further up. A container's score is its points with a prior for its element and
-class, times one less its link density. The best container is kept, and of its siblings those that score near it or are
-plain paragraphs. Menus, headers, footers, sidebars, notices, adverts, forms, comments of readers and hidden elements are
+class, times one less its link density. The whole article or main element about the best container is kept; without one,
+the container and all prose beside it and its ancestors that isn't mainly links, bare text too. Menus, headers, footers, sidebars, notices, adverts, forms, comments of readers and hidden elements are
 cut off before, by element, role and class.
 
 Each page is a row of its own: no shuffle, memory of one batch of pages.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,6 +49,11 @@ _ATTR = re.compile(r"([^\s=\"'/<>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^
 _READ = frozenset(("class", "id", "role", "hidden", "aria-hidden", "style"))
 
 
+#: Beside the best container these are kept as they are, and of the rest what has a clause or sentence.
+_TEXTS = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 ul ol dl table".split())
+_SENTENCE = re.compile(r"\w[\w)\"'»”’]*[.!?…,;:。！？，、]")
+
+
 class Node:
     __slots__ = ("attrs", "children", "cut", "links", "parent", "points", "tag", "text")
 
@@ -217,6 +223,46 @@ def _blocks(nodes: list[Node]) -> str:
     return " ".join("".join(parts).split())
 
 
+def _prose(nodes: list[Node | str]) -> bool:
+    """Whether these children of one container, a block or a run of text and inline elements, are text and not mainly links."""
+    size = sum(len(x.strip()) if isinstance(x, str) else x.text * (not x.cut) for x in nodes)
+    links = sum(x.links for x in nodes if isinstance(x, Node) and not x.cut)
+    if not size:
+        return False
+    if len(nodes) == 1 and isinstance(nodes[0], Node) and nodes[0].tag in _TEXTS:
+        return links / size < 0.25
+    return links / size < 0.3 and bool(_SENTENCE.search(_blocks(nodes)))
+
+
+def _around(best: Node) -> list[Node | str]:
+    """What belongs to the best container: the whole article or main element about it, or else the prose beside it and its ancestors."""
+    whole, up = None, best
+    while up is not None:
+        whole, up = up if up.tag in ("article", "main") else whole, up.parent
+    if whole:
+        return [whole]
+    kept: deque[Node | str] = deque([best])
+    while best.parent is not None and best.tag not in ("body", "html"):
+        runs: list[list[Node | str]] = []
+        loose = False
+        for x in best.parent.children:
+            inline = isinstance(x, str) or x.tag in INLINE or x.tag in VOID
+            if inline and loose:
+                runs[-1].append(x)
+            else:
+                runs.append([x])
+            loose = inline
+        at = next(k for k, run in enumerate(runs) if run[0] is best)
+        for run in reversed(runs[:at]):
+            if _prose(run):
+                kept.extendleft([" ", *reversed(run), " "])
+        for run in runs[at + 1 :]:
+            if _prose(run):
+                kept.extend([" ", *run, " "])
+        best = best.parent
+    return list(kept)
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page."""
     if not page:
@@ -240,24 +286,9 @@ def main_text(page: str | None) -> str:
     if not holders:
         return _blocks([root])
     best = max(holders, key=_score)
-    top = _score(best)
     while best.tag in ("tr", "td", "th", "tbody", "thead", "tfoot", "dd", "dt") and best.parent:
         best = best.parent  # the parts of a table belong together
-    if best.parent is None or best.tag in ("body", "html", "article", "main"):
-        kept = [best]
-    else:
-        kept = []
-        for x in best.parent.children:
-            if x is best:
-                kept.append(x)
-            elif isinstance(x, Node) and not x.cut and x.text:
-                density = x.links / x.text
-                if x.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "table"):
-                    if density < 0.25:
-                        kept.append(x)
-                elif _score(x) >= max(min(10.0, 0.5 * top), 0.2 * top) and density < 0.3:
-                    kept.append(x)
-    return _blocks(kept)
+    return _blocks(_around(best))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

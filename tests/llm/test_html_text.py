@@ -46,3 +46,15 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, None), (None, "u", "<p>x"), (2, "u", ""), (2, "u", "")], "page_id long, url string, html string")
     assert sorted((tuple(r) for r in extract(df).collect()), key=str) == sorted([(1, None, "", 0), (None, "u", "x", 1), (2, "u", "", 0), (2, "u", "", 0)], key=str)
     assert extract(df.limit(0)).count() == 0
+
+
+LONG = "A long paragraph, with commas, of some length, goes on and on until it is long enough. " * 3
+
+
+def test_short_parts_beside_a_long_one():
+    many = f"<p>{LONG}</p>" * 30
+    for tag in ("article", "main"):
+        assert main_text(f"<{tag}>Lead in. <b>Bold</b>.<section>{many}</section><section>{f'<p>{P}</p>' * 3}</section></{tag}>").count(P) == 3
+    page = f"<body><div><p>Lead, first.</p></div><div>Bare <i>text</i>, too.<div>{many}</div><section><p>{P}</p></section> The end.</div><div><p>Closing words.</p></div><div><a href=x>Home, all.</a></div>"
+    got = main_text(page)
+    assert got.startswith("Lead, first. Bare text, too. A long") and got.endswith(f"{P} The end. Closing words.") and got.count("A long") == 90
