@@ -5,7 +5,7 @@ being there, one per comma and up to three for its length: all of them to its pa
 part that shrinks with the distance further up. A container's score is its points with a prior for its element and
 class, times one less its link density. The whole article or main element about the best container is kept; without one,
 the container and all prose beside it and its ancestors that isn't mainly links, bare text too. Menus, headers, footers, sidebars, notices, adverts, forms, comments of readers and hidden elements are
-cut off before, by element, role and class.
+cut off before, by element, role and class; by class only if the element isn't a wrapper of the page.
 
 Each page is a row of its own: no shuffle, memory of one batch of pages.
 
@@ -40,6 +40,7 @@ _UNLIKELY = re.compile(
     r"nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|footer|header|masthead|topbar|toolbar|share|sharing|social|related|recommend\w*|outbrain|taboola|login|search|skip|hidden|print-only)(?:$|[\s_-])",
     re.I,
 )
+_DISCUSSION = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|discussion|respond|replies)(?:$|[\s_-])", re.I)
 _LIKELY = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main|body|post|entry|story|text|blog|hentry)(?:$|[\s_-])", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _PRIOR = {"article": 30.0, "main": 25.0, "section": 3.0, "div": 3.0, "td": 2.0, "blockquote": 1.0, "body": 0.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "table": -1.0}
@@ -156,27 +157,54 @@ def _cut(node: Node) -> bool:
     if node.tag in DROPPED:
         return True
     attrs = node.attrs
-    if not attrs:
-        return False
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in _ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")):
-        return True
-    if node.tag in ("article", "main", "body", "html"):
-        return False
-    names = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attrs.get('class', '')} {attrs.get('id', '')}")
-    return bool(_UNLIKELY.search(names)) and not re.search(r"\b(?:article|main|post|entry)[-_]?(?:body|content|text)\b", names, re.I)
+    return bool(attrs) and ("hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in _ROLES or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""))))
+
+
+def _named(node: Node) -> str:
+    """The class and id of an element that go with what isn't the article; else an empty text."""
+    if not node.attrs or node.tag in ("article", "main", "body", "html"):
+        return ""
+    names = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}")
+    return names if _UNLIKELY.search(names) and not re.search(r"\b(?:article|main|post|entry)[-_]?(?:body|content|text)\b", names, re.I) else ""
 
 
 def _prepare(root: Node) -> list[Node]:
-    """Mark what is cut off; all nodes that stay, parents first."""
+    """Mark what is cut off; all nodes that stay, parents first.
+
+    A name alone cuts off no wrapper of the page: an element with a main in it, or with more than half of the page's text
+    outside links; one named after comments only if it holds an h1 too, as comments may be longer than the article.
+    """
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         node.cut = _cut(node)
-        if node.cut:
-            continue
-        order.append(node)
-        todo += [x for x in reversed(node.children) if isinstance(x, Node)]
-    return order
+        if not node.cut:
+            order.append(node)
+            todo += [x for x in reversed(node.children) if isinstance(x, Node)]
+    suspects = {id(x): names for x in order if (names := _named(x))}
+    if not suspects:
+        return order
+    _measure(order)
+    holds: dict[int, set[str]] = {}
+    for node in reversed(order):
+        own = holds.pop(id(node), set()) if id(node) not in suspects else holds.get(id(node), set())
+        up = own | {node.tag} if node.tag in ("main", "h1") else own
+        if up and node.parent is not None:
+            holds.setdefault(id(node.parent), set()).update(up)
+    half = (root.text - root.links) / 2
+    for node in order:
+        if names := suspects.get(id(node)):
+            inside = holds.get(id(node), set())
+            larger = node.text - node.links > half and ("h1" in inside or not _DISCUSSION.search(names))
+            node.cut = "main" not in inside and not larger
+    out: list[Node] = []
+    gone: set[int] = set()
+    for node in order:
+        if node.cut or id(node.parent) in gone:
+            gone.add(id(node))
+        else:
+            out.append(node)
+    return out
 
 
 def _measure(order: list[Node]) -> None:

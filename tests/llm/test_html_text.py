@@ -58,3 +58,12 @@ def test_short_parts_beside_a_long_one():
     page = f"<body><div><p>Lead, first.</p></div><div>Bare <i>text</i>, too.<div>{many}</div><section><p>{P}</p></section> The end.</div><div><p>Closing words.</p></div><div><a href=x>Home, all.</a></div>"
     got = main_text(page)
     assert got.startswith("Lead, first. Bare text, too. A long") and got.endswith(f"{P} The end. Closing words.") and got.count("A long") == 90
+
+
+@pytest.mark.parametrize("wrapper", ["id=content class=has-sidebar", "class='content-with-sidebar wrapper'", "class='header-fixed layout'", "class=no-comments"])
+def test_layout_wrappers(wrapper):
+    body = f"<h1>T</h1><p>{P}</p><p>{P}</p>"
+    side = f"<div class=sidebar><p>{P} aside</p></div><div class=comments><p>{P} first!</p></div>"
+    assert main_text(f"<body><div {wrapper}><div>{body}</div>{side}</div>") == f"T {P} {P}"
+    assert main_text(f"<body><div {wrapper}><main>{body}</main>{side}</div>") == f"T {P} {P}"
+    assert main_text(f"<body><div {wrapper}><article>{body}</article>{side}</div>") == f"T {P} {P}"
