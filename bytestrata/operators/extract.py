@@ -23,7 +23,11 @@ from pyspark.sql import functions as F
 from . import identify as ident
 
 #: LIM-3: bytes and files that one finding may give, and levels.
-MOST_BYTES, MOST_FILES, MOST_DEPTH = 1 << 28, 100_000, 8
+MOST_BYTES, MOST_FILES, MOST_DEPTH = 1 << 32, 500_000, 8
+#: Bytes of one file: a cell of Spark and Arrow ends below 2 GiB. Larger files are left out, never cut.
+MOST_CELL = (1 << 31) - (1 << 20)
+#: Bytes of the files from which a batch goes out.
+BATCH = 1 << 28
 #: LIM-3: smaller results aren't looked into.
 LEAST_DESCENT = 64
 
@@ -56,7 +60,7 @@ def inflate(data: bytes, wbits: int = 47) -> tuple[bytes, int]:
     coder = zlib.decompressobj(wbits)
     out = coder.decompress(data, MOST_BYTES)
     if not coder.eof:
-        raise Stop("error:truncated")
+        raise Stop("error:too-large" if len(out) >= MOST_BYTES else "error:truncated")
     return out, len(data) - len(coder.unused_data)
 
 
@@ -70,13 +74,20 @@ def _lzma(data: bytes) -> Iterator[File]:
     coder = lzma.LZMADecompressor(memlimit=1 << 30)
     out = coder.decompress(data, MOST_BYTES)
     if not coder.eof:
-        raise Stop("error:truncated")
+        raise Stop("error:too-large" if len(out) >= MOST_BYTES else "error:truncated")
     yield "data", "file", out
 
 
 @_extractor("zstd")
 def _zstd(data: bytes) -> Iterator[File]:
-    yield "data", "file", zstandard.ZstdDecompressor().decompressobj().decompress(data)[:MOST_BYTES]
+    coder, out = zstandard.ZstdDecompressor().decompressobj(), bytearray()
+    for at in range(0, len(data), 1 << 16):
+        out += coder.decompress(data[at : at + (1 << 16)])
+        if len(out) > MOST_BYTES:
+            raise Stop("error:too-large")
+        if coder.eof:
+            break
+    yield "data", "file", bytes(out)
 
 
 def lz4_block(data: bytes, most: int = MOST_BYTES, before: bytes = b"") -> bytes:
@@ -260,18 +271,21 @@ def unpack(data: bytes, type_: str) -> tuple[list[File], str]:
     _register()
     if type_ not in KNOWN:
         return [], "unsupported"
-    files, total = [], 0
+    files, total, left_out = [], 0, False
     try:
         for path, kind, content in KNOWN[type_](data):
             total += len(content)
             if total > MOST_BYTES or len(files) >= MOST_FILES:
-                return files, "partial"
+                return files, "partial" if files else "error:too-large"
+            if len(content) > MOST_CELL:
+                left_out = True
+                continue
             files.append((path, kind, content))
     except Stop as e:
         return files, str(e) if not files else "partial"
     except (ValueError, IndexError, EOFError, OSError, KeyError, zlib.error, lzma.LZMAError, zstandard.ZstdError, tarfile.TarError, zipfile.BadZipFile, NotImplementedError, RuntimeError, struct.error) as e:
         return files, "partial" if files else f"error:{type(e).__name__}"
-    return files, "ok"
+    return files, "ok" if not left_out else "partial" if files else "error:too-large"
 
 
 SCHEMA = "parent_id long, offset_ long, type_ string, status string, path string, kind string, content binary"
@@ -285,11 +299,16 @@ def _level(batches: Iterator[pa.RecordBatch], documents: list[str]) -> Iterator[
     schema = pa.schema([("parent_id", pa.int64()), ("offset_", pa.int64()), ("type_", pa.string()), ("status", pa.string()), ("path", pa.string()), ("kind", pa.string()), ("content", pa.binary())])
     for batch in batches:
         for blob, content in zip(batch.column("blob_id").to_pylist(), batch.column("content"), strict=True):
-            data, rows = content.as_py() or b"", []
+            data, rows, size = content.as_py() or b"", [], 0
             for f in ident.suppress(ident.resolve(ident.scan(data, matcher), len(data))):
                 if f.type in KNOWN and f.confidence >= ident.OWNER:
                     files, status = unpack(data[f.offset :] if f.type in ("gzip", "zip") else data[f.offset : f.offset + f.size], f.type)
-                    rows += [{"parent_id": blob, "offset_": f.offset, "type_": f.type, "status": status, "path": p, "kind": k, "content": c} for p, k, c in files or [(None, None, None)]]
+                    for p, k, c in files or [(None, None, None)]:
+                        if rows and size + len(c or b"") > BATCH:
+                            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                            rows, size = [], 0
+                        rows.append({"parent_id": blob, "offset_": f.offset, "type_": f.type, "status": status, "path": p, "kind": k, "content": c})
+                        size += len(c or b"")
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 

@@ -4,6 +4,8 @@ import lzma
 import tarfile
 import zipfile
 
+import zstandard
+
 from bytestrata.operators import extract
 from bytestrata.sources import catalog
 
@@ -50,3 +52,18 @@ def test_levels(spark):
     rows = extract.extract(df, texts).collect()
     assert {(r.depth, r.path) for r in rows} == {(1, "fw/image.gz"), (2, "data"), (3, "etc/passwd"), (3, "bin/sh")}
     assert {bytes(r.content) for r in rows if r.depth == 3} == set(FILES.values())
+
+
+def test_limits(monkeypatch):
+    """LIM-3; a stream above the limit says so, and nothing is cut."""
+    assert (extract.MOST_BYTES, extract.MOST_FILES) == (4 << 30, 500_000)
+    packs = {"gzip": gzip.compress, "xz": lzma.compress, "zstd": zstandard.ZstdCompressor().compress}
+    for name in ("MOST_BYTES", "MOST_CELL"):
+        with monkeypatch.context() as m:
+            m.setattr(extract, name, 1000)
+            for type_, pack in packs.items():
+                assert extract.unpack(pack(b"ab" * 500), type_) == ([("data", "file", b"ab" * 500)], "ok")
+                assert extract.unpack(pack(b"ab" * 5000), type_) == ([], "error:too-large")
+    with monkeypatch.context() as m:
+        m.setattr(extract, "MOST_CELL", 700)
+        assert extract.unpack(_tar(FILES), "tar") == ([("etc/passwd", "file", FILES["etc/passwd"])], "partial")
