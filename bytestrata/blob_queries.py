@@ -12,7 +12,7 @@ from .operators import identify as ident
 from .operators import match, summaries
 from .plans import candidates as plan
 from .queries import _C, _FINDINGS, _findings, _query
-from .sources import blobs, catalog
+from .sources import blobs, catalog, tables
 
 #: What text tables hold instead of firmware: patterns and signatures that occur in them.
 PATTERNS = [b"License", b"License,", b"the", b"he", b"R!!", b"e***", b"All rights reserved.", "é".encode()]
@@ -41,11 +41,11 @@ size = "8"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blobs.from_text(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+    return blobs.from_text(tables.read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blobs.from_text(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "html")
+    return blobs.from_text(tables.read(spark, sf_dir, "pages"), "page_id", "html")
 
 
 @_query("SELECT page_id AS blob_id, starts_with(html, '<!DOCTYPE html>') AS found FROM pages")
@@ -149,7 +149,7 @@ _MIME = "CASE p_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in texts.MIM
 @_query(f"WITH t AS (SELECT p_partkey, ['png', 'zip', 'elf', 'uboot', 'tar'][p_partkey % 5 + 1] AS p_type FROM part) SELECT p_partkey, p_type, {_MIME} AS mime FROM t")
 def mime_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*[F.lit(x) for x in ("png", "zip", "elf", "uboot", "tar")])
-    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.get(names, (F.col("p_partkey") % 5).cast("int")).alias("p_type"))
+    rows = tables.read(spark, sf_dir, "part").select("p_partkey", F.get(names, (F.col("p_partkey") % 5).cast("int")).alias("p_type"))
     return rows.withColumn("mime", texts.mime(F.col("p_type")))
 
 
@@ -163,7 +163,7 @@ def carve_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT l_orderkey, count(*) AS kept, CAST(sum(CASE WHEN l_quantity * 100 > 3000 THEN 3000 ELSE l_quantity * 100 END) AS BIGINT) AS bytes FROM f WHERE l_quantity BETWEEN 5 AND 45 AND CAST(floor(l_extendedprice) AS BIGINT) & 3 <> 0 GROUP BY l_orderkey""")
 def constraint_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FIL-5, FIL-7: hard rules as pushed-down filters, then sizes clamped to what is there."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_quantity", "l_extendedprice")
+    rows = tables.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice")
     kept = rows.where("l_quantity between 5 and 45 and (cast(floor(l_extendedprice) as bigint) & 3) <> 0")
     return kept.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("kept"), F.sum(F.least(F.col("l_quantity") * 100, F.lit(3000.0))).cast("long").alias("bytes"))
 

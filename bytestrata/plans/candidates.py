@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources import tables
+
 #: A blob is an order; its candidates are the order's lines. Sizes of 0 are unknown, as in any finding.
 COLUMNS = {
     "blob_id": "l_orderkey",
@@ -24,4 +26,4 @@ SQL = "SELECT " + ", ".join(f"{e} AS {c}" for c, e in COLUMNS.items()) + " FROM
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(*[f"{e} AS {c}" for c, e in COLUMNS.items()])
+    return tables.read(spark, sf_dir, "lineitem").selectExpr(*[f"{e} AS {c}" for c, e in COLUMNS.items()])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .operators import intervals, summaries
 from .plans import candidates as plan
+from .sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _FOUND: dict[str, tuple[Query, str | None]] = {}
@@ -204,13 +205,13 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts FROM events GROUP BY user_id")
 def newest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.newest(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "ts", "event_id").select("user_id", "event_id", "ts")
+    return summaries.newest(tables.read(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "ts")
 
 
 @_query("""WITH n AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k, count(*) OVER (PARTITION BY l_orderkey) > 3 AS members_truncated FROM lineitem)
     SELECT l_orderkey, l_linenumber, l_partkey, members_truncated FROM n WHERE k <= 3""")
 def member_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows = tables.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return summaries.truncated(rows, "l_orderkey", [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_extendedprice")], 3).select("l_orderkey", "l_linenumber", "l_partkey", "members_truncated")
 
 

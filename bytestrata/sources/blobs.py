@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import tables
+
 
 def from_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """SRC-1, SRC-2: every file under a path: path, length, content and a stable id."""
@@ -30,7 +32,7 @@ def packed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The header's CRC is right for orders of status F alone.
     """
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = tables.read(spark, sf_dir, "orders")
     payload = F.encode("o_orderpriority", "UTF-8")
     head = lambda crc: F.concat(
         F.unhex(F.lit("27051956")), crc, number(F.col("o_custkey"), 4), number(F.octet_length("o_orderpriority"), 4), number(F.col("o_orderkey") % 65536, 4), number(F.lit(0), 4),
