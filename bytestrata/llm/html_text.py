@@ -1,17 +1,23 @@
 """HTML extraction by tree scoring: the main text of a page.
 
-A forgiving parser builds the element tree of the whole page. Every text block passes points to its ancestors, one for
-being there, one per comma and up to three for its length: all of them to its parent, half to its grandparent, and a
-part that shrinks with the distance further up. A container's score is its points with a prior for its element and
-class, times one less its link density. The whole article or main element about the best container is kept; without one,
-the container and all prose beside it and its ancestors that isn't mainly links, bare text too. Menus, headers, footers, sidebars, notices, adverts, forms, comments of readers and hidden elements are
-cut off before, by element, role and class; by class only if the element isn't a wrapper of the page.
+A forgiving parser, which reads tags and attributes as the HTML standard's tokeniser does, builds the element tree of the
+whole page. Every text block passes points to its ancestors, one for being there, one per comma and up to three for its
+length, times one less its link density: all of them to its parent, and each ancestor passes on half of what it gets, up to the root. A container's score is
+its points with a prior for its element and class, times one less its link density. The whole article or main element about
+the best container is kept; without one, the container and all prose beside it and its ancestors that isn't mainly links,
+bare text too.
+
+Menus, headers, footers, sidebars, notices, adverts, forms, comments of readers and hidden elements are cut off before, by
+element, role and class. A class or id counts only if it names the element: not if it states a layout (``no-sidebar``,
+``comments-open``), not on a wrapper of the page, and names that parts of an article have too (a section ``discussion`` or
+``related``) only where its content isn't prose under a heading. A page that would be left empty is read again without names.
 
 Each page is a row of its own: no shuffle, memory of one batch of pages.
 
 Defined results: a null, empty or textless page gives an empty text; references are decoded once; white space, of any
-kind that Unicode knows, becomes one space inside a block; blocks are joined in page order; nothing is capped. Further
-columns of the input play no part.
+kind that Unicode knows, becomes one space inside a block; blocks are joined in page order; formulas are text in a line;
+nothing is capped. Repeated rows and rows without page_id give a row each; an empty table gives no rows; further columns of
+the input play no part.
 """
 
 from __future__ import annotations
@@ -28,8 +34,8 @@ from pyspark.sql import functions as F
 # Element names of the HTML standard by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template noembed noframes xmp".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = frozenset("script style noscript iframe template noembed noframes head title nav header footer aside form button select textarea input fieldset dialog menu menuitem object embed svg math canvas audio video map".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+DROPPED = frozenset("script style noscript iframe template noembed noframes head title nav header footer aside form button select textarea input fieldset dialog menu menuitem object embed svg annotation annotation-xml canvas audio video map".split())
 #: Elements that a start tag of the key closes when they are open in the same container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th", "thead", "tbody"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "thead", "tbody"}, "option": {"option"}}
 #: What such a start tag doesn't look beyond.
@@ -40,13 +46,18 @@ _UNLIKELY = re.compile(
     r"nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|footer|header|masthead|topbar|toolbar|share|sharing|social|related|recommend\w*|outbrain|taboola|login|search|skip|hidden|print-only)(?:$|[\s_-])",
     re.I,
 )
-_DISCUSSION = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|discussion|respond|replies)(?:$|[\s_-])", re.I)
+#: Names that state the layout of a wrapper, not what it is.
+_LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:(?:no|not|has|have|with|without|show|hide|is|enable|disable)[_-]\w+(?:[_-]\w+)*|\w+[_-](?:open|opened|closed|enabled|disabled|on|off|active|inactive|left|right|none))(?=$|\s)", re.I)
+#: Unlikely names that sections of an article have too.
+_EITHER = re.compile(r"(?:^|[\s_-])(?:discussion|related|recommend\w*|search|share|sharing|social|notice|alert)(?:$|[\s_-])", re.I)
+#: Names of what holds no article, however long it is.
+_NEVER = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|sponsor\w*|cookies?|consent|gdpr|newsletter|outbrain|taboola|disqus|comments?|commentlist|discussion|respond|replies)(?:$|[\s_-])", re.I)
 _LIKELY = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main|body|post|entry|story|text|blog|hentry)(?:$|[\s_-])", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _PRIOR = {"article": 30.0, "main": 25.0, "section": 3.0, "div": 3.0, "td": 2.0, "blockquote": 1.0, "body": 0.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "table": -1.0}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
-_ATTR = re.compile(r"([^\s=\"'/<>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>", re.S)
+_ATTR = re.compile(r"([^\s=\"'/<>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>][^\s>]*+)))?")
 _READ = frozenset(("class", "id", "role", "hidden", "aria-hidden", "style"))
 
 
@@ -165,14 +176,27 @@ def _named(node: Node) -> str:
     if not node.attrs or node.tag in ("article", "main", "body", "html"):
         return ""
     names = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}")
+    if not _UNLIKELY.search(names):
+        return ""
+    names = _LAYOUT.sub(" ", names)
     return names if _UNLIKELY.search(names) and not re.search(r"\b(?:article|main|post|entry)[-_]?(?:body|content|text)\b", names, re.I) else ""
 
 
-def _prepare(root: Node) -> list[Node]:
-    """Mark what is cut off; all nodes that stay, parents first.
+def _is_section(node: Node, names: str) -> bool:
+    """Whether an element with a name of either kind is a part of an article: prose under a heading, inside an article."""
+    if _UNLIKELY.search(_EITHER.sub(" ", names)) or not any(isinstance(x, Node) and re.fullmatch("h[1-6]", x.tag) for x in node.children):
+        return False
+    up = node.parent
+    while up is not None and up.tag not in ("article", "main"):
+        up = up.parent
+    return up is not None and node.links < node.text / 4 and bool(_SENTENCE.search(_blocks([x for x in node.children if isinstance(x, Node) and x.tag in ("p", "div", "section", "blockquote")])))
+
+
+def _prepare(root: Node, by_name: bool = True) -> list[Node]:
+    """Mark what is cut off, by name too if asked for; all nodes that stay, parents first.
 
     A name alone cuts off no wrapper of the page: an element with a main in it, or with more than half of the page's text
-    outside links; one named after comments only if it holds an h1 too, as comments may be longer than the article.
+    outside links; one named after comments or adverts only if it holds an h1 too, as those may be longer than the article.
     """
     order, todo = [], [root]
     while todo:
@@ -181,7 +205,7 @@ def _prepare(root: Node) -> list[Node]:
         if not node.cut:
             order.append(node)
             todo += [x for x in reversed(node.children) if isinstance(x, Node)]
-    suspects = {id(x): names for x in order if (names := _named(x))}
+    suspects = {id(x): names for x in order if (names := _named(x))} if by_name else {}
     if not suspects:
         return order
     _measure(order)
@@ -195,8 +219,8 @@ def _prepare(root: Node) -> list[Node]:
     for node in order:
         if names := suspects.get(id(node)):
             inside = holds.get(id(node), set())
-            larger = node.text - node.links > half and ("h1" in inside or not _DISCUSSION.search(names))
-            node.cut = "main" not in inside and not larger
+            larger = node.text - node.links > half and ("h1" in inside or not _NEVER.search(names))
+            node.cut = "main" not in inside and not larger and not _is_section(node, names)
     out: list[Node] = []
     gone: set[int] = set()
     for node in order:
@@ -296,20 +320,30 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    order = _prepare(root)
+    return _main_text(root, True) or _main_text(root, False)
+
+
+_PARAGRAPHS = frozenset("p pre blockquote li td dd h1 h2 h3 h4 h5 h6".split())
+
+
+def _main_text(root: Node, by_name: bool) -> str:
+    order = _prepare(root, by_name)
     _measure(order)
     for node in order:
+        node.points = 0.0
+    for node in reversed(order):  # children before parents
         if node.tag in INLINE or node.tag in VOID or node.parent is None:
-            continue
-        text = _own_text(node)
-        if not text:
-            continue
-        points, up, level = 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3.0), node.parent, 0
-        if node.tag not in ("p", "pre", "blockquote", "li", "td", "dd", "h1", "h2", "h3", "h4", "h5", "h6"):
-            up = node  # text that stands in a container itself
-        while up is not None and level < 5:
-            up.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            up, level = up.parent, level + 1
+            passed = node.points  # an inline element hands on what it got
+        else:
+            text = _own_text(node)
+            own = (1 + text.count(",") + text.count("，") + min(len(text) / 100, 3.0)) * (1 - node.links / node.text) if text and node.text else 0.0
+            if node.tag in _PARAGRAPHS:
+                passed = own + node.points / 2
+            else:
+                node.points += own  # text that stands in a container itself
+                passed = node.points / 2
+        if node.parent is not None:
+            node.parent.points += passed
     holders = [x for x in order if x.text and x.tag not in INLINE and x.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre")]
     if not holders:
         return _blocks([root])

@@ -67,3 +67,39 @@ def test_layout_wrappers(wrapper):
     assert main_text(f"<body><div {wrapper}><div>{body}</div>{side}</div>") == f"T {P} {P}"
     assert main_text(f"<body><div {wrapper}><main>{body}</main>{side}</div>") == f"T {P} {P}"
     assert main_text(f"<body><div {wrapper}><article>{body}</article>{side}</div>") == f"T {P} {P}"
+
+
+@pytest.mark.parametrize("wrapper", ["div class='no-sidebar'", "div class='post has-sidebar'", "div class='post hentry comments-open'", "div id=page class='sidebar-right search-active'"])
+def test_layout_states_are_no_names(wrapper):
+    body = f"<h1>T</h1><p>{P}</p>"
+    page = f"<body><{wrapper}>{body}<div class=comments><p>{P} {P} {P} first!</p></div></div><div class=sidebar><p>{P}</p></div>"
+    assert main_text(page) == f"T {P}"
+
+
+def test_sections_of_either_kind():
+    section = f"<section id=discussion><h2>Discussion</h2><p>{P}</p></section>"
+    links = "<section id=related><h2>Related</h2><p><a href=x>One, more.</a></p></section>"
+    comments = f"<div class=comments><h2>Comments</h2><p>{P} first!</p></div>"
+    assert main_text(f"<article><p>{P}</p>{section}{links}{comments}</article>") == f"{P} Discussion {P}"
+    assert main_text(f"<body><div class=cookie-notice><p>{P}</p></div>") == P  # nothing else is there
+
+
+def test_attributes_and_formulas():
+    assert main_text('<p class=x">Hello, you.</p>') == "Hello, you."
+    assert main_text("<p title='a > b' data-x=1\">one</p><p \"odd>two</p>") == "one two"
+    assert main_text(f"<article><p>{P} <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math></p></article>") == f"{P} x=2"
+
+
+def test_points_reach_the_root():
+    page = f"<body>{'<div>' * 40}{f'<div><div><div><p>{LONG}</p></div></div></div>' * 12}{'</div>' * 40}<div><a href=x>a, b, c, d</a></div>"
+    assert main_text(page).count("A long") == 36
+
+
+@pytest.mark.parametrize("article", ["div", "td", "section"])
+def test_pages_without_article(article):
+    """The container with the prose is found by its points among menus, lists of links and adverts."""
+    noise = "<ul>" + "".join(f"<li><a href=/{i}>Link, number {i}, here</a></li>" for i in range(60)) + "</ul>"
+    inner = f"<h1>T</h1>{f'<p>{P}</p>' * 4}<ul><li>One, point.</li></ul><blockquote>{P}</blockquote>"
+    box = f"<table><tr><td>{inner}</td></tr></table>" if article == "td" else f"<{article}>{inner}</{article}>"
+    page = f"<body><div>{noise}</div><div class=advert>{P * 9}</div><div>{box}</div><div>{noise}</div><div id=footer>{P}</div>"
+    assert main_text(page) == f"T {P} {P} {P} {P} One, point. {P}"
