@@ -10,14 +10,17 @@
 4. The tree splits the output shards in halves; a node's draws are dealt to its halves by a multivariate hypergeometric
    draw over the sources' quotas, so each shard's total is exact and its composition is that of a random deal. Each leaf
    takes the next blocks of each source's permutation: disjoint ones.
-5. Within a shard rows are ordered by a hash of shard, document and draw.
+5. ``mixed`` deals the rows to their shards, a partition or more each, and shuffles each locally: rows are sorted by place, a
+   hash of shard, draw and document.
 
 All randomness comes from ``seed`` and hashes, so reruns agree. Texts don't travel: only ids, sources and sizes are
 shuffled, in a partial aggregation.
 
 Defined results: a null text has size 0, and is taken by no partial draw; a null source is a source of its own; documents
-without words have taken 0; an empty table, or one without words, gives targets of 0; rows that repeat are dealt alike,
-and further columns of the input play no part. Source totals (one row per source) are gathered on the driver.
+without words have taken 0; an empty table, or one without words, gives targets of 0; rows that repeat (the same id and
+text) are dealt alike, all of them or none; ties of size go by hash and id; further columns of the input play no part. The
+totals of sources, one row each, are gathered on the driver: some 200 bytes a source there and 60 broadcast, so sources are
+thought of as thousands, not as millions.
 """
 
 from __future__ import annotations
@@ -127,12 +130,13 @@ def _fill(budgets: dict[int, int]):
 
     def fill(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["size", "h", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        words = (block["size"] * block["times"]).to_numpy()
         left, taken = budgets[int(block["rank"].iloc[0])], np.zeros(len(block), bool)
-        for k, size in enumerate(block["size"].to_numpy()):
+        for k, size in enumerate(words):
             if 0 < size <= left:
                 taken[k], left = True, left - size
-        over = np.flatnonzero(~taken & (block["size"].to_numpy() > 0))
-        if len(over) and block["size"].iloc[over[-1]] - left < left:
+        over = np.flatnonzero(~taken & (words > 0))
+        if len(over) and words[over[-1]] - left < left:
             taken[over[-1]] = True
         return block[taken][["rank", "block", "doc_id", "h", "size"]]
 
@@ -155,7 +159,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     part = made.draws[made.draws["budget"] >= 0]
     budgets = {int(r): int(b) for r, b in zip(part["rank"], part["budget"], strict=True)}
     cuts = spark.createDataFrame([(int(r), int(b)) for r, b in zip(part["rank"], part["block"], strict=True)], "rank int, block int")
-    last = blocked.join(F.broadcast(cuts), ["rank", "block"], "left_semi")  # one block per source
+    # one block per source; rows that repeat are one row of it
+    last = blocked.join(F.broadcast(cuts), ["rank", "block"], "left_semi").groupBy("rank", "block", "doc_id", "h", "size").agg(F.count(F.lit(1)).alias("times"))
     fits = last.groupBy("rank", "block").applyInPandas(_fill(budgets), "rank int, block int, doc_id long, h long, size long").select("rank", "doc_id", "h").distinct().withColumn("fits", F.lit(True))
     # only a cut's own documents need the second join; the others pass without a shuffle
     is_cut = F.exists(F.coalesce("uses", F.array().cast("array<struct<shard:int,draw:int,budget:long>>")), lambda u: u["budget"] >= 0)
@@ -170,18 +175,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def annotate(docs: DataFrame, **how) -> DataFrame:
-    """Per row of docs: doc_id, size, source_size, target, taken (words the mix takes) and the shards that take it."""
+    """Per row of docs: doc_id, size, source_size, target, taken (words the mix takes), and the shards that take it with its places there."""
     rows, sources = mix(docs, **how)
     dim = docs.sparkSession.createDataFrame([(int(r.rank), int(r.size), float(r.target)) for r in sources[["rank", "size", "target"]].itertuples(index=False, name="S")], "rank int, source_size long, target double")
     out = rows.join(F.broadcast(dim), "rank")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("uses")).cast("long").alias("taken"), F.transform("uses", lambda u: u["shard"]).alias("shards"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("uses")).cast("long").alias("taken"), F.transform("uses", lambda u: u["shard"]).alias("shards"), F.transform("uses", lambda u: u["place"]).alias("places"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **how) -> DataFrame:
-    """The mix: docs' rows, each as often as it is taken, with docs' own columns."""
-    rows, _ = mix(docs, id_col, text_col, source_col, seed=seed, **how)
-    taken = rows.where(F.size("uses") > 0).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.size("uses").alias("__times")).distinct()
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, shards: int = SHARDS, partitions: int | None = None, **how) -> DataFrame:
+    """The mix: docs' rows, each as often as it is taken, with docs' own columns, dealt to their shards and shuffled there.
+
+    Each partition holds rows of one shard, in the order of their places; a shard has partitions / shards of them (by
+    default as many as the session's shuffles have partitions), cut by place, so a written part file is a run of its shard.
+    """
+    rows, _ = mix(docs, id_col, text_col, source_col, seed=seed, shards=shards, **how)
+    taken = rows.where(F.size("uses") > 0).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("uses").alias("__uses")).dropDuplicates(["__id", "__h"])
     own = docs.withColumn("__h", F.xxhash64(F.lit(seed), F.col(f"`{id_col}`").cast("long"), text_or_empty(text_col)))
     hit = own.alias("a").join(taken.alias("b"), F.col("a.__h") == F.col("b.__h")).where(F.col(f"a.`{id_col}`").cast("long").eqNullSafe(F.col("b.__id")))
-    times = hit.select(*[F.col(f"a.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("b.__times"))).alias("__k"))
-    return times.drop("__k")
+    each = hit.select(*[F.col(f"a.`{c}`") for c in docs.columns], F.explode("b.__uses").alias("__use"))
+    parts = max(1, -(-(partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))) // shards))
+    # places are uniform over the 64-bit numbers, so equal ranges of them are equal parts of a shard
+    part = F.least(F.floor((F.col("__use.place").cast("double") / 2.0**64 + 0.5) * parts), F.lit(parts - 1)).cast("int")
+    dealt = each.repartitionById(shards * parts, F.col("__use.shard") * parts + part)
+    return dealt.sortWithinPartitions("__use.place").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -4,6 +4,7 @@ import re
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from bytestrata.llm import mixing
 
@@ -62,3 +63,76 @@ def test_sources_come_near_their_targets(spark):
     mixed = [r.doc_id for r in mixing.mixed(df).collect()]
     times = {r.doc_id: len(r.shards) for r in rows}
     assert sorted(mixed) == sorted(i for i, n in times.items() for _ in range(n))
+
+
+def brute(docs, seed=mixing.SEED, shards=mixing.SHARDS):
+    """Each document's draws as (shard, draw), from the rows and their hashes, block by block."""
+    names = sorted({d.source for d in docs if d.source is not None}) + ([None] if any(d.source is None for d in docs) else [])
+    goal = mixing.targets([sum(d.size for d in docs if d.source == s) for s in names], [(3, 1, 2)[i % 3] for i in range(len(names))])
+    out, lists = {}, []
+    for rank, (name, target) in enumerate(zip(names, goal, strict=True)):
+        own = [d for d in docs if d.source == name]
+        n = max(1, min(-(-len(own) // mixing.BLOCK_DOCS), mixing.BLOCKS * len(own) // len(docs)))
+        blocks = {}
+        for d in own:
+            blocks.setdefault(d.h % n, []).append(d)
+        keys, order, done, draws = sorted(blocks), np.random.default_rng([seed, rank]), 0.0, []
+        for draw in range(mixing.MOST):
+            for k in order.permutation(len(keys)):
+                if done is not None:
+                    total = sum(d.size for d in blocks[keys[k]])
+                    if done + total <= target + 1e-6:
+                        draws.append((blocks[keys[k]], draw))
+                        done += total
+                    else:
+                        draws.append((cut(blocks[keys[k]], int(round(target - done))), draw))
+                        done = None
+        lists.append(draws)
+    dealt = mixing.split_tree([len(x) for x in lists], shards, np.random.default_rng([seed, len(lists)]))
+    for rank, draws in enumerate(lists):
+        for (block, draw), shard in zip(draws, np.repeat(np.arange(shards), dealt[:, rank]), strict=True):
+            for d in block:
+                if d.size:
+                    out.setdefault(d.doc_id, []).append(int(shard))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def cut(block, left):
+    taken, over = [], None
+    for d in sorted(block, key=lambda d: (-d.size, d.h, d.doc_id)):
+        if 0 < d.size <= left:
+            taken, left = [*taken, d], left - d.size
+        elif d.size:
+            over = d
+    return [*taken, over] if over is not None and over.size - left < left else taken
+
+
+def test_draws_against_brute_force(spark):
+    rng = random.Random(8)
+    docs = [(i, words(rng.randint(0, 60), rng, 3), rng.choice(["a", "b", "b", "c", "d", None])) for i in range(900)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    want = brute(mixing.sized(df, "doc_id", "text", "source", mixing.SEED).collect())
+    got = {r.doc_id: sorted(r.shards) for r in mixing.annotate(df).collect() if r.shards}
+    assert got == want and max(map(len, want.values())) == 2
+
+
+def test_mix_is_sharded_and_shuffled(spark):
+    rng = random.Random(10)
+    df = spark.createDataFrame([(i, words(rng.randint(1, 40), rng, 3), f"s{i % 3}") for i in range(600)], "doc_id long, text string, source string")
+    places = {}
+    for r in mixing.annotate(df).collect():
+        for shard, place in zip(r.shards, r.places, strict=True):
+            places.setdefault(shard, []).append((place, r.doc_id))
+    for parts in (16, 48):
+        out = [r for r in mixing.mixed(df, partitions=parts).select("doc_id", F.spark_partition_id().alias("p")).collect()]
+        rows = {}
+        for r in out:
+            rows.setdefault(r.p // (parts // 16), []).append(r.doc_id)
+        assert rows == {shard: [d for _, d in sorted(x)] for shard, x in places.items()}
+        assert all(x != sorted(x) for x in rows.values())
+
+
+def test_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a b c", "s")] * 500 + [(i, "d e", "t") for i in range(2, 300)], "doc_id long, text string, source string")
+    rows = mixing.annotate(df).collect()
+    assert len(rows) == 798 and len({tuple(r.shards) for r in rows if r.doc_id == 1}) == 1
