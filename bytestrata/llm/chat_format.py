@@ -2,7 +2,8 @@
 
 A turn's content is a list of typed parts: text, image, audio or document. A visitor walks the parts in order. Text is
 written escaped; every other part becomes a numbered placeholder, its reference is recorded with the place of the
-placeholder, and the tokens that it expands to are counted by the part's own measure.
+placeholder, and the tokens that it expands to are counted by the part's own measure. A part of a type that isn't known is
+a placeholder ``<part:2>`` with its type and reference recorded, then its text if it has one.
 
 The template is ``<turn:ROLE>CONTENT</turn>`` for each turn, placeholders are ``<image:0>``, ``<audio:1>`` and so on. An
 unescaped ``<`` therefore marks a control string, and nothing else does: inside texts and roles a backslash is put before
@@ -35,7 +36,7 @@ PATCH, PER_SECOND, PER_PAGE = 28, 25, 256
 
 _ESCAPED = re.compile(r"([\\<>])")
 _PLAIN = re.compile(r"\\(.)", re.S)
-_CONTROL = re.compile(r"<(?:turn:((?:[^\\<>]|\\.)*)|(/turn)|(image|audio|document):(\d+))>", re.S)
+_CONTROL = re.compile(r"<(?:turn:((?:[^\\<>]|\\.)*)|(/turn)|(image|audio|document|part):(\d+))>", re.S)
 
 
 def escape(text: str) -> str:
@@ -58,6 +59,18 @@ class Formatted:
         return sum(x[3] for x in self.attachments)
 
 
+def _patches(part: dict) -> int:
+    return ceil((part.get("width") or 0) / PATCH) * ceil((part.get("height") or 0) / PATCH)
+
+
+def _seconds(part: dict) -> int:
+    return ceil((part.get("seconds") or 0) * PER_SECOND)
+
+
+def _pages(part: dict) -> int:
+    return (part.get("pages") or 0) * PER_PAGE
+
+
 class Visitor:
     """Flattens parts into ordered placeholders and text."""
 
@@ -71,7 +84,8 @@ class Visitor:
         self.length += len(text)
 
     def visit(self, part: dict, learnt: bool) -> None:
-        getattr(self, f"visit_{part['type']}", self.visit_text)(part, learnt)
+        known = {None: self.visit_text, "text": self.visit_text, "image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}
+        known.get(part.get("type"), self.visit_other)(part, learnt)
 
     def visit_text(self, part: dict, learnt: bool) -> None:
         text = escape(part.get("text") or "")
@@ -79,18 +93,23 @@ class Visitor:
             self.made.loss.append((self.length, self.length + len(text)))
         self.write(text)
 
-    def _attach(self, part: dict, tokens: int) -> None:
-        self.made.attachments.append((part["type"], part.get("ref") or "", self.length, tokens))
-        self.write(f"<{part['type']}:{len(self.made.attachments) - 1}>")
+    def _attach(self, part: dict, tokens: int, mark: str | None = None) -> None:
+        self.made.attachments.append((part["type"], part.get("ref") or "", self.length, max(1, tokens)))
+        self.write(f"<{mark or part['type']}:{len(self.made.attachments) - 1}>")
 
     def visit_image(self, part: dict, learnt: bool) -> None:
-        self._attach(part, max(1, ceil((part.get("width") or 0) / PATCH) * ceil((part.get("height") or 0) / PATCH)))
+        self._attach(part, _patches(part))
 
     def visit_audio(self, part: dict, learnt: bool) -> None:
-        self._attach(part, max(1, ceil((part.get("seconds") or 0) * PER_SECOND)))
+        self._attach(part, _seconds(part))
 
     def visit_document(self, part: dict, learnt: bool) -> None:
-        self._attach(part, max(1, (part.get("pages") or 0) * PER_PAGE))
+        self._attach(part, _pages(part))
+
+    def visit_other(self, part: dict, learnt: bool) -> None:
+        """A type that isn't known: each measure that the part has counts."""
+        self._attach(part, max(1, _patches(part)) * max(1, _seconds(part)) + _pages(part), "part")
+        self.visit_text(part, learnt)
 
     def turn(self, role: str, parts: list[dict | None]) -> None:
         self.write(f"<turn:{escape(role)}>")

@@ -54,3 +54,28 @@ def test_parts_column(spark):
     df = spark.createDataFrame([(1, 0, "user", [part, None]), (1, 1, "user", None)], f"conv_id long, turn long, role string, content array<{c.PART}>")
     row = c.format_chats(df, parts_col="content").first()
     assert row.formatted == "<turn:user><image:0></turn><turn:user></turn>" and row.attachments[0].ref == "r" and row.expanded_tokens == 1
+
+
+def test_unknown_parts_are_kept(spark):
+    none = dict.fromkeys(("text", "ref", "width", "height", "seconds", "pages"))
+    video = none | {"type": "video", "ref": "v.mp4", "seconds": 2.0, "width": 28, "height": 56}
+    odd = none | {"type": "</turn>", "ref": "<", "text": "said <so>"}
+    bare = none | {"type": None, "text": "plain"}
+    df = spark.createDataFrame([(1, 0, "user", [video, odd]), (1, 1, "assistant", [bare, odd])], f"conv_id long, turn long, role string, content array<{c.PART}>")
+    row = c.format_chats(df, parts_col="content").first()
+    assert c.read_back(row.formatted) == [("user", "said <so>", [("part", 0), ("part", 1)]), ("assistant", "plainsaid <so>", [("part", 2)])]
+    assert [(a.kind, a.ref, a.tokens) for a in row.attachments] == [("video", "v.mp4", 100), ("</turn>", "<", 1), ("</turn>", "<", 1)] and row.expanded_tokens == 102
+    assert "".join(c.unescape(row.formatted[s.start : s.end]) for s in row.loss) == "plainsaid <so>"
+
+
+def test_table_of_all_parts(spark):
+    """Every kind of part in the order that it stands in, over many conversations."""
+    kinds = [{"type": "text", "text": "look <here>"}, {"type": "image", "ref": "i", "width": 57, "height": 28}, {"type": "audio", "ref": "a", "seconds": 0.01}, {"type": "document", "ref": "d", "pages": 2}]
+    full = [dict.fromkeys(("text", "ref", "width", "height", "seconds", "pages")) | k for k in kinds]
+    rows = [(n, t, "user" if t % 2 == 0 else "assistant", [full[(n + t + k) % 4] for k in range(n % 5)]) for n in range(40) for t in range(3)]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, content array<{c.PART}>").repartition(7)
+    tokens = {"text": 0, "image": 3, "audio": 1, "document": 512}
+    for r in c.format_chats(df, parts_col="content").collect():
+        parts = [p for x in rows if x[0] == r.conv_id for p in x[3]]
+        assert [(a.kind, a.ref) for a in r.attachments] == [(p["type"], p["ref"]) for p in parts if p["type"] != "text"]
+        assert r.expanded_tokens == sum(tokens[p["type"]] for p in parts) and all(r.formatted[a.place :].startswith(f"<{a.kind}:{k}>") for k, a in enumerate(r.attachments))
