@@ -47,3 +47,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it from there."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of what was written between steps."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
