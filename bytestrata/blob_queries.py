@@ -132,24 +132,37 @@ _BYTES = """b AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '.
     n AS (SELECT doc_id, x, count(*) AS c FROM b GROUP BY ALL), t AS (SELECT doc_id, sum(c) AS total FROM n GROUP BY ALL)"""
 
 
-@_query(f"WITH {_BYTES} SELECT doc_id AS blob_id, round(-sum(c / total * log2(c / total)), 6) AS entropy FROM n JOIN t USING (doc_id) GROUP BY doc_id")
+def _with_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' bytes, and an empty blob."""
+    return _documents(spark, sf_dir).unionByName(spark.createDataFrame([(-1, bytearray())], "blob_id long, content binary"))
+
+
+@_query(f"""WITH {_BYTES}, e AS (SELECT doc_id, round(-sum(c / total * log2(c / total)), 6) AS entropy FROM n JOIN t USING (doc_id) GROUP BY doc_id)
+    SELECT d.doc_id AS blob_id, coalesce(entropy, 0.0) AS entropy FROM documents d LEFT JOIN e USING (doc_id) UNION ALL SELECT -1, 0.0""")
 def byte_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = summaries.byte_stats(_documents(spark, sf_dir).where(F.octet_length("content") > 0))
-    return rows.select("blob_id", F.round("entropy", 6).alias("entropy"))
+    return summaries.byte_stats(_with_empty(spark, sf_dir)).select("blob_id", F.round("entropy", 6).alias("entropy"))
 
 
-@_query(f"WITH {_BYTES} SELECT doc_id AS blob_id, round(max(c / total), 6) AS max_fraction FROM n JOIN t USING (doc_id) GROUP BY doc_id")
+@_query(f"""WITH {_BYTES}, e AS (SELECT doc_id, round(max(c / total), 6) AS max_fraction FROM n JOIN t USING (doc_id) GROUP BY doc_id)
+    SELECT d.doc_id AS blob_id, coalesce(max_fraction, 1.0) AS max_fraction FROM documents d LEFT JOIN e USING (doc_id) UNION ALL SELECT -1, 1.0""")
 def max_byte_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.byte_stats(_documents(spark, sf_dir).where(F.octet_length("content") > 0)).select("blob_id", F.round("max_fraction", 6).alias("max_fraction"))
+    return summaries.byte_stats(_with_empty(spark, sf_dir)).select("blob_id", F.round("max_fraction", 6).alias("max_fraction"))
 
 
-_MIME = "CASE p_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in texts.MIME.items()) + " ELSE 'application/octet-stream' END"
+# written out here, not taken from the code
+_MIME = """m(p_type, mime) AS (VALUES ('gzip', 'application/gzip'), ('xz', 'application/x-xz'), ('lz4_legacy', 'application/x-lz4'), ('zip', 'application/zip'), ('7z', 'application/x-7z-compressed'), ('rar', 'application/vnd.rar'),
+    ('png', 'image/png'), ('jpeg', 'image/jpeg'), ('pdf', 'application/pdf'), ('elf', 'application/x-executable'), ('upx', 'application/x-upx'), ('ihex', 'text/x-hex'), ('iso9660', 'application/x-iso9660-image'),
+    ('certificate', 'application/x-x509-ca-cert'), ('private_key', 'application/x-pem-file'), ('verity', 'application/x-verity-hash'), ('rpi_eeprom', 'application/x-raspberry-eeprom'), ('squashfs_legacy', 'application/x-squashfs'),
+    ('ext', 'application/x-ext'), ('fat32', 'application/x-fat'), ('minix', 'application/x-minix-fs'), ('android_boot', 'application/x-android-bootimg'), ('fit', 'application/x-flat-image-tree'), ('uboot_env', 'application/x-uboot-env'),
+    ('vbmeta', 'application/x-avb-vbmeta'), ('uefi_fv', 'application/x-uefi-firmware-volume'), ('lk', 'application/x-lk-bootloader'), ('mtk_lk', 'application/x-mediatek-lk-bootloader'), ('esp32_partition_table', 'application/x-esp32-partition-table'),
+    ('luks1', 'application/x-luks'), ('luks2', 'application/x-luks'), ('cab', 'application/octet-stream'), ('yaffs2', 'application/x-yaffs2'), ('no such type', 'application/octet-stream'))"""
+_MIME_TYPES = ["gzip", "xz", "lz4_legacy", "zip", "7z", "rar", "png", "jpeg", "pdf", "elf", "upx", "ihex", "iso9660", "certificate", "private_key", "verity", "rpi_eeprom", "squashfs_legacy", "ext", "fat32", "minix", "android_boot", "fit", "uboot_env", "vbmeta", "uefi_fv", "lk", "mtk_lk", "esp32_partition_table", "luks1", "luks2", "cab", "yaffs2", "no such type"]
 
 
-@_query(f"WITH t AS (SELECT p_partkey, ['png', 'zip', 'elf', 'uboot', 'tar'][p_partkey % 5 + 1] AS p_type FROM part) SELECT p_partkey, p_type, {_MIME} AS mime FROM t")
+@_query(f"WITH {_MIME}, k AS (SELECT *, row_number() OVER () - 1 AS k FROM m) SELECT p_partkey, k.p_type, mime FROM part JOIN k ON k.k = p_partkey % 34")
 def mime_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.array(*[F.lit(x) for x in ("png", "zip", "elf", "uboot", "tar")])
-    rows = tables.read(spark, sf_dir, "part").select("p_partkey", F.get(names, (F.col("p_partkey") % 5).cast("int")).alias("p_type"))
+    names = F.array(*[F.lit(x) for x in _MIME_TYPES])
+    rows = tables.read(spark, sf_dir, "part").select("p_partkey", F.get(names, (F.col("p_partkey") % len(_MIME_TYPES)).cast("int")).alias("p_type"))
     return rows.withColumn("mime", texts.mime(F.col("p_type")))
 
 

@@ -7,9 +7,18 @@ from pyspark.sql import functions as F
 
 # Media types by structure name; all others are application/octet-stream.
 MIME = {
-    "7z": "application/x-7z-compressed", "bmp": "image/bmp", "bzip2": "application/x-bzip2", "cab": "application/vnd.ms-cab-compressed", "cpio": "application/x-cpio", "elf": "application/x-elf", "gif": "image/gif",
-    "gzip": "application/gzip", "iso9660": "application/x-iso9660-image", "jpeg": "image/jpeg", "lz4": "application/x-lz4", "lzma": "application/x-lzma", "pdf": "application/pdf", "png": "image/png",
-    "rar": "application/vnd.rar", "tar": "application/x-tar", "xz": "application/x-xz", "zip": "application/zip", "zstd": "application/zstd",
+    "gzip": "application/gzip", "xz": "application/x-xz", "lzma": "application/x-lzma", "bzip2": "application/x-bzip2", "zstd": "application/zstd", "lz4": "application/x-lz4", "lz4_legacy": "application/x-lz4",
+    "zip": "application/zip", "tar": "application/x-tar", "cpio": "application/x-cpio", "7z": "application/x-7z-compressed", "rar": "application/vnd.rar",
+    "png": "image/png", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "pdf": "application/pdf",
+    "elf": "application/x-executable", "upx": "application/x-upx", "ihex": "text/x-hex", "iso9660": "application/x-iso9660-image", "certificate": "application/x-x509-ca-cert", "verity": "application/x-verity-hash",
+    "private_key": "application/x-pem-file", "rpi_eeprom": "application/x-raspberry-eeprom",
+    "squashfs": "application/x-squashfs", "squashfs_legacy": "application/x-squashfs", "ext": "application/x-ext", "f2fs": "application/x-f2fs", "jffs2": "application/x-jffs2", "ubi": "application/x-ubi", "ubifs": "application/x-ubifs",
+    "yaffs2": "application/x-yaffs2", "cramfs": "application/x-cramfs", "erofs": "application/x-erofs", "romfs": "application/x-romfs", "btrfs": "application/x-btrfs", "xfs": "application/x-xfs", "hfsplus": "application/x-hfsplus",
+    "fat": "application/x-fat", "fat32": "application/x-fat", "exfat": "application/x-exfat", "ntfs": "application/x-ntfs", "nilfs2": "application/x-nilfs2", "minix": "application/x-minix-fs", "reiserfs": "application/x-reiserfs",
+    "ufs": "application/x-ufs", "apfs": "application/x-apfs", "logfs": "application/x-logfs", "littlefs": "application/x-littlefs", "spiffs": "application/x-spiffs",
+    "android_boot": "application/x-android-bootimg", "android_sparse": "application/x-android-sparse", "uimage": "application/x-uimage", "fit": "application/x-flat-image-tree", "dtb": "application/x-dtb", "uboot": "application/x-uboot",
+    "uboot_env": "application/x-uboot-env", "vbmeta": "application/x-avb-vbmeta", "uefi_fv": "application/x-uefi-firmware-volume", "lk": "application/x-lk-bootloader", "mtk_lk": "application/x-mediatek-lk-bootloader",
+    "gpt": "application/x-gpt", "mbr": "application/x-mbr", "esp32_partition_table": "application/x-esp32-partition-table", "esp32_nvs": "application/x-esp32-nvs", "luks1": "application/x-luks", "luks2": "application/x-luks",
 }
 
 

@@ -1,11 +1,16 @@
 """Interval operators over candidates and findings: (blob_id, offset_, size_, type_, category, confidence, endian).
 
-All but the ordered fold are window functions over (blob_id, offset_): one shuffle by blob and linear work, also where the
-definition is a containment join. The fold itself is an aggregate over each blob's sorted candidates inside the JVM.
+Most are window functions over (blob_id, offset_): one shuffle by blob and linear work, also where the definition is a
+containment join. Ordered folds are a pass over sorted partitions that holds a few rows, so a blob of any number of rows
+streams through one task.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,33 +44,46 @@ def owned(rows: DataFrame, rescue: Column | None = None) -> DataFrame:
     A row at the last kept row's offset, or inside the owner's range, is the loser: it joins the last kept row's, or the
     owner's, also_matched. A kept row of enough confidence with a size becomes the owner, whose end replaces the former
     one. A row for which ``rescue`` holds starts a partition and is never inside.
+
+    One shuffle by blob and a sort; then one pass that holds two kept rows, however many a blob has.
     """
     rescue = F.lit(False) if rescue is None else rescue
-    key = F.struct(F.col("offset_"), (-F.col("confidence")).alias("down"), F.col("size_"), F.col("type_"), (F.col("endian") == "big").alias("big"), F.col("category"), F.col("confidence"), rescue.alias("rescue"))
-    sorted_ = rows.groupBy("blob_id").agg(F.array_sort(F.collect_list(key)).alias("all"))
-    kept = "array<struct<offset_:bigint,size_:bigint,type_:string,category:string,confidence:int,big:boolean,also:int>>"
-    zero = F.struct(F.array().cast(kept).alias("done"), F.lit(-1).cast("long").alias("end"), F.lit(-1).alias("owner"), F.lit(-1).cast("long").alias("last"))
-
-    def lose(done: Column, to: Column) -> Column:
-        return F.transform(done, lambda x, i: F.struct(x["offset_"].alias("offset_"), x["size_"].alias("size_"), x["type_"].alias("type_"), x["category"].alias("category"), x["confidence"].alias("confidence"), x["big"].alias("big"), (x["also"] + (i == to).cast("int")).alias("also")))
-
-    def step(s: Column, x: Column) -> Column:
-        again = x["offset_"] == s["last"]
-        inside = ~again & (x["offset_"] < s["end"]) & ~x["rescue"]
-        to = F.when(again, F.size(s["done"]) - 1).otherwise(s["owner"])
-        new = F.struct(x["offset_"].cast("long").alias("offset_"), x["size_"].cast("long").alias("size_"), x["type_"].alias("type_"), x["category"].alias("category"), x["confidence"].cast("int").alias("confidence"), x["big"].alias("big"), F.lit(0).alias("also"))
-        owns = (x["confidence"] >= OWNER) & (x["size_"] > 0)
-        keep = F.struct(
-            F.concat(s["done"], F.array(new)).alias("done"),
-            F.when(owns, (x["offset_"] + x["size_"]).cast("long")).otherwise(s["end"]).alias("end"),
-            F.when(owns, F.size(s["done"])).otherwise(s["owner"]).alias("owner"),
-            x["offset_"].cast("long").alias("last"),
-        )
-        drop = F.struct(lose(s["done"], to).alias("done"), s["end"].alias("end"), s["owner"].alias("owner"), s["last"].alias("last"))
-        return F.when(again | inside, drop).otherwise(keep)
-
-    folded = sorted_.select("blob_id", F.aggregate("all", zero, step, lambda s: s["done"]).alias("done"))
-    return folded.select("blob_id", F.explode("done").alias("f")).select("blob_id", "f.*").withColumn("endian", F.when(F.col("big"), "big").otherwise("little")).drop("big")
+    own = rows.select(F.col("blob_id").cast("long").alias("blob_id"), F.col("offset_").cast("long").alias("offset_"), F.col("size_").cast("long").alias("size_"), "type_", "category", F.col("confidence").cast("int").alias("confidence"), "endian", rescue.alias("rescue"))
+    in_order = own.repartition("blob_id").sortWithinPartitions("blob_id", *total_order(), "category")
+    return in_order.mapInArrow(_own, "blob_id long, offset_ long, size_ long, type_ string, category string, confidence int, endian string, also int")
+
+
+_KEPT = pa.schema([("blob_id", pa.int64()), ("offset_", pa.int64()), ("size_", pa.int64()), ("type_", pa.string()), ("category", pa.string()), ("confidence", pa.int32()), ("endian", pa.string()), ("also", pa.int32())])
+
+
+def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fold sorted rows. What is kept goes out with its batch, but for the last kept row and the owner, which may still win."""
+    blob, last, end, open_ = None, -1, -1, []
+    owner = newest = None  # kept rows, as lists whose last item is the number of losers
+    for batch in batches:
+        done = open_
+        columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
+        for row in zip(*columns, strict=True):
+            offset, size = row[1], row[2]
+            if row[0] != blob:
+                blob, last, end, owner, newest = row[0], -1, -1, None, None
+            if newest is not None and offset == last:
+                newest[7] += 1
+            elif offset < end and not row[7]:
+                owner[7] += 1
+            else:
+                newest, last = [*row[:7], 0], offset
+                done.append(newest)
+                if row[5] >= OWNER and size > 0:
+                    owner, end = newest, offset + size
+        open_ = [x for x in (owner, newest if newest is not owner else None) if x is not None]
+        yield _kept([x for x in done if x is not owner and x is not newest])
+    yield _kept(open_)
+
+
+def _kept(rows: list[list]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(_KEPT)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _KEPT, strict=True)], schema=_KEPT)
 
 
 def sized(rows: DataFrame, length: Column) -> DataFrame:
@@ -84,13 +102,19 @@ def islands(rows: DataFrame, gap: int) -> DataFrame:
     return numbered.groupBy("blob_id", "__isle").agg(F.min("offset_").alias("offset_"), (F.max("__end") - F.min("offset_")).alias("size_"), F.count(F.lit(1)).alias("merged")).drop("__isle")
 
 
-def gaps(rows: DataFrame, length: int, least: int) -> DataFrame:
-    """INT-8, SET-2: the ranges of a blob that no row covers, of at least ``least`` bytes."""
+def gaps(blobs: DataFrame, rows: DataFrame, least: int, bridge: int = GAP) -> DataFrame:
+    """INT-8, SET-2: the ranges of blobs that no sized row and no region of containers covers, of at least ``least`` bytes.
+
+    blobs: blob_id and length. A blob without rows is one range. Regions bridge what lies between containers no further
+    apart than ``bridge``. A blob's end is a span of its own, so all gaps lie before some span.
+    """
+    sized_ = rows.where("size_ > 0")
+    spans = sized_.select("blob_id", "offset_", "size_").unionByName(islands(sized_.where(F.col("category").isin(*CONTAINERS)), bridge).select("blob_id", "offset_", "size_"))
+    ends = blobs.where("length is not null").select("blob_id", F.col("length").alias("offset_"), F.lit(0).cast("long").alias("size_"))
     w = Window.partitionBy("blob_id").orderBy("offset_", "size_")
     reach = F.coalesce(F.max(F.col("offset_") + F.col("size_")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    before = rows.select("blob_id", reach.cast("long").alias("gap_offset"), (F.col("offset_") - reach).cast("long").alias("gap_size"))
-    after = rows.groupBy("blob_id").agg(F.max(F.col("offset_") + F.col("size_")).cast("long").alias("gap_offset")).withColumn("gap_size", F.lit(length) - F.col("gap_offset"))
-    return before.unionByName(after).where(F.col("gap_size") >= least)
+    before = spans.unionByName(ends).select("blob_id", reach.cast("long").alias("gap_offset"), (F.col("offset_") - reach).cast("long").alias("gap_size"))
+    return before.where(F.col("gap_size") >= F.greatest(F.lit(least), F.lit(1)))
 
 
 def suppressed(rows: DataFrame) -> DataFrame:
@@ -109,15 +133,37 @@ def suppressed(rows: DataFrame) -> DataFrame:
 def parents(rows: DataFrame) -> DataFrame:
     """JOI-3: each row with the smallest strictly larger container around it; ties go to the first in the total order.
 
-    Rows must have ``place``.
+    Rows must have ``place``. A sweep: in the order of offsets, the containers that still reach on are kept by size.
     """
-    box = rows.where(F.col("category").isin(*CONTAINERS) & (F.col("size_") > 0)).select(F.col("blob_id").alias("p_blob"), F.col("offset_").alias("p_offset"), F.col("size_").alias("p_size"), F.col("place").alias("p_place"), F.col("type_").alias("p_type"))
-    inside = (F.col("blob_id") == F.col("p_blob")) & (F.col("p_offset") <= F.col("offset_")) & (F.col("offset_") + F.col("size_") <= F.col("p_offset") + F.col("p_size")) & (F.col("p_size") > F.col("size_"))
-    best = F.min(F.struct("p_size", "p_place", "p_type"))
-    found = rows.join(box, inside).groupBy("blob_id", "place").agg(best.alias("p"))
-    return rows.join(found, ["blob_id", "place"], "left").select(*rows.columns, F.col("p.p_place").alias("parent_place"), F.col("p.p_type").alias("parent_type"))
+    columns = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields]
+    in_order = rows.repartition("blob_id").sortWithinPartitions("blob_id", "offset_", F.col("size_").desc(), "place")
+    return in_order.mapInArrow(_nest, ", ".join([*columns, "parent_place int", "parent_type string"]))
+
+
+def _nest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    blob, boxes = None, []  # (size, place, end, type), the smallest first
+    for batch in batches:
+        places, types = [], []
+        for b, offset, size, place, category, type_ in zip(*(batch.column(c).to_pylist() for c in ("blob_id", "offset_", "size_", "place", "category", "type_")), strict=True):
+            if b != blob:
+                blob, boxes = b, []
+            # containers that end before here enclose nothing that follows
+            boxes = [x for x in boxes if x[2] >= offset]
+            end = offset + size
+            found = next((x for x in boxes[bisect_right(boxes, size, key=lambda x: x[0]) :] if x[2] >= end), None)
+            places.append(found[1] if found else None)
+            types.append(found[3] if found else None)
+            if category in CONTAINERS and size > 0:
+                insort(boxes, (size, place, end, type_))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int32()), pa.array(types, pa.string())], [*batch.schema.names, "parent_place", "parent_type"])
+
+
+def keep_expanded(type_: Column, category: Column) -> Column:
+    """FIL-10: what never folds into a summary: private keys, and what holds or runs other things."""
+    return (type_ == "private_key") | category.isin("container", "filesystem", "bootloader", "executable")
 
 
 def swarms(rows: DataFrame, more_than: int = 4) -> DataFrame:
-    """INT-10: groups of more than so many rows of one type under one parent."""
-    return rows.groupBy("blob_id", "parent_place", "type_").agg(F.count(F.lit(1)).alias("n"), F.sum("size_").alias("bytes")).where(F.col("n") > more_than)
+    """INT-10: groups of more than so many rows of one type under one parent, but for those that stay expanded."""
+    folded = rows.where(~keep_expanded(F.col("type_"), F.col("category")))
+    return folded.groupBy("blob_id", "parent_place", "type_").agg(F.count(F.lit(1)).alias("n"), F.sum("size_").alias("bytes")).where(F.col("n") > more_than)

@@ -52,38 +52,52 @@ def byte_stats(blobs: DataFrame) -> DataFrame:
     return blobs.select(F.col("blob_id").cast("long").alias("blob_id"), "content").mapInArrow(_byte_stats, "blob_id long, entropy double, max_fraction double, sampled_entropy double")
 
 
-def primary_types(rows: DataFrame) -> DataFrame:
-    """AGG-6: each blob's best type, among those at offset 0 if there are any; the first of equal ones."""
+def primary_types(blobs: DataFrame, rows: DataFrame) -> DataFrame:
+    """AGG-6: each blob's best type, among those at offset 0 if there are any; the first of equal ones.
+
+    blobs: blob_id and length. A blob without rows is unknown, one without a length couldn't be read.
+    """
     best = F.min(F.struct((F.col("offset_") != 0).alias("late"), (-F.col("confidence")).alias("down"), "place", "type_"))
-    return rows.groupBy("blob_id").agg(best.alias("b")).select("blob_id", F.col("b.type_").alias("primary_type"))
+    found = rows.groupBy("blob_id").agg(best.alias("b")).select("blob_id", F.col("b.type_").alias("type_"))
+    none = F.when(F.col("length").isNull(), "unreadable").otherwise("unknown")
+    return blobs.select("blob_id", "length").join(found, "blob_id", "left").select("blob_id", F.coalesce("type_", none).alias("primary_type"))
 
 
 def by_type(primary: DataFrame) -> DataFrame:
-    """AGG-7: blobs per primary type."""
-    return primary.groupBy("primary_type").agg(F.count(F.lit(1)).alias("files"))
+    """AGG-7: blobs per primary type, with their place in the order of falling numbers, then names."""
+    counts = primary.groupBy("primary_type").agg(F.count(F.lit(1)).alias("files"))  # a row a type
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("files"), "primary_type")))
 
 
-def totals(rows: DataFrame, length: int) -> DataFrame:
-    """AGG-8: one row of counts over all blobs."""
-    return rows.agg(F.countDistinct("blob_id").alias("file_count"), (F.countDistinct("blob_id") * length).alias("bytes"), F.count(F.lit(1)).alias("finding_count"), F.sum((F.col("category") == "crypto").cast("long")).alias("crypto_count"))
+def totals(blobs: DataFrame, rows: DataFrame) -> DataFrame:
+    """AGG-8: one row of counts over all blobs, also those without findings."""
+    zero = F.lit(0).cast("long")
+    of_blobs = blobs.select(F.lit(1).cast("long").alias("file_count"), F.coalesce("length", zero).alias("bytes"), zero.alias("finding_count"), zero.alias("crypto_count"))
+    of_rows = rows.select(zero.alias("file_count"), zero.alias("bytes"), F.lit(1).cast("long").alias("finding_count"), (F.col("category") == "crypto").cast("long").alias("crypto_count"))
+    return of_blobs.unionByName(of_rows).agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in ("file_count", "bytes", "finding_count", "crypto_count")])
 
 
-def summary(rows: DataFrame, sep: str = ", ", none: str = "no known signatures identified") -> DataFrame:
+def summary(blobs: DataFrame, rows: DataFrame, sep: str = ", ", none: str = "no known signatures identified") -> DataFrame:
     """AGG-10: a blob's distinct types in the order of their first finding, with their number if it is above one."""
     per = rows.groupBy("blob_id", "type_").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
     label = F.when(F.col("n") > 1, F.concat("type_", F.lit(" x"), F.col("n").cast("string"))).otherwise(F.col("type_"))
     listed = per.groupBy("blob_id").agg(F.array_sort(F.collect_list(F.struct("first", label.alias("label")))).alias("all"))
-    return listed.select("blob_id", F.coalesce(F.array_join(F.transform("all", lambda x: x["label"]), sep), F.lit(none)).alias("summary"))
+    return blobs.select("blob_id").join(listed, "blob_id", "left").select("blob_id", F.coalesce(F.array_join(F.transform("all", lambda x: x["label"]), sep), F.lit(none)).alias("summary"))
+
+
+def tree_assessment(primary: DataFrame, rows: DataFrame, top: int = 5) -> DataFrame:
+    """AGG-12: one line about all blobs: their number, the commonest primary types, and the number of keys."""
+    counts = primary.groupBy("primary_type").agg(F.count(F.lit(1)).alias("files"), F.lit(0).cast("long").alias("keys"))
+    keys = rows.where("category = 'crypto'").agg(F.lit(None).cast("string").alias("primary_type"), F.lit(0).cast("long").alias("files"), F.count(F.lit(1)).alias("keys"))
+    known = F.col("primary_type").isNotNull() & ~F.col("primary_type").isin("unknown", "unreadable")
+    one = counts.unionByName(keys).agg(F.sum("files").alias("n"), F.sum("keys").alias("keys"), F.array_sort(F.collect_list(F.when(known, F.struct((-F.col("files")).alias("k"), "primary_type", "files")))).alias("all"))
+    listed = F.array_join(F.transform(F.slice("all", 1, top), lambda x: F.concat(x["files"].cast("string"), F.lit(" "), x["primary_type"])), ", ")
+    line = F.concat(F.col("n").cast("string"), F.lit(" files"), F.when(F.size("all") > 0, F.concat(F.lit(": "), listed)).otherwise(F.lit("")), _keys(F.col("keys")))
+    return one.select(line.alias("assessment"))
 
 
-def tree_assessment(primary: DataFrame, top: int = 5) -> DataFrame:
-    """AGG-12: one line about all blobs: their number and the commonest primary types."""
-    counts = by_type(primary)
-    common = counts.where(~F.col("primary_type").isin("unknown", "unreadable")).orderBy(F.desc("files"), "primary_type").limit(top)
-    text = common.agg(F.array_sort(F.collect_list(F.struct((-F.col("files")).alias("k"), "primary_type", "files"))).alias("all"))
-    n = counts.agg(F.sum("files").alias("n"))
-    line = F.concat(F.col("n").cast("string"), F.lit(" files: "), F.array_join(F.transform("all", lambda x: F.concat(x["files"].cast("string"), F.lit(" "), x["primary_type"])), ", "))
-    return n.withColumn("one", F.lit(1)).join(text.withColumn("one", F.lit(1)), "one").select(line.alias("assessment"))
+def _keys(n: Column) -> Column:
+    return F.when(n > 0, F.concat(F.lit("; "), n.cast("string"), F.lit(" key/cert"))).otherwise(F.lit(""))
 
 
 def newest(rows: DataFrame, key: str, version: str, value: str) -> DataFrame:
@@ -116,16 +130,26 @@ def range_entropy(blobs: DataFrame, ranges: DataFrame) -> DataFrame:
 
 #: AGG-11: from this entropy on a range counts as compressed or encrypted.
 DENSE = 7.2
-
-
-def assessments(rows: DataFrame, entropy_col: str | None = None) -> DataFrame:
-    """AGG-11: a line about each blob: its types in order, what its entropy says, and how many keys it holds."""
-    types = summary(rows.groupBy("blob_id", "type_").agg(F.min("place").alias("place")), " + ")
-    keys = rows.groupBy("blob_id").agg(F.sum((F.col("category") == "crypto").cast("int")).alias("keys"))
-    line = F.concat("summary", F.when(F.col("keys") > 0, F.concat(F.lit("; "), F.col("keys").cast("string"), F.lit(" key/cert"))).otherwise(F.lit("")))
-    joined = types.join(keys, "blob_id")
-    if entropy_col:
-        whole = rows.groupBy("blob_id").agg(F.max(entropy_col).alias("e"))
-        line = F.concat(line, F.when(F.col("e") >= DENSE, F.lit("; high entropy")).otherwise(F.lit("")))
-        joined = joined.join(whole, "blob_id")
-    return joined.select("blob_id", line.alias("assessment"))
+#: Unidentified ranges of at least so many bytes are named for their entropy.
+DENSE_BYTES = 4096
+
+
+def assessments(blobs: DataFrame, rows: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    """AGG-11: a line about each blob: its types in order, what entropy says of the rest, and how many keys it holds.
+
+    blobs: blob_id and length, and with regions the whole blob's entropy. regions: the unidentified ranges, (blob_id, size_,
+    entropy), where entropies are asked for.
+    """
+    types = rows.groupBy("blob_id", "type_").agg(F.min("place").alias("first"), F.sum("size_").alias("bytes"), F.sum((F.col("category") == "crypto").cast("int")).alias("keys"))
+    per = types.groupBy("blob_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "type_"))), lambda x: x["type_"]), " + ").alias("types"), F.sum("bytes").alias("covered"), F.sum("keys").alias("keys"))
+    joined = blobs.join(per, "blob_id", "left")
+    if regions is None:
+        line = F.coalesce("types", F.lit("no known structures identified"))
+    else:
+        dense = regions.where((F.col("size_") >= DENSE_BYTES) & (F.col("entropy") >= DENSE)).select("blob_id").distinct().withColumn("dense", F.lit(True))
+        joined = joined.join(dense, "blob_id", "left")
+        likely = F.when(F.col("entropy") >= DENSE, F.lit(" - likely encrypted or compressed")).otherwise(F.lit(""))
+        nothing = F.concat(F.lit("no known structures; whole-file entropy "), F.format_string("%.1f", F.when(F.col("entropy") * 4 % 1 == 0, F.bround("entropy", 1)).otherwise(F.col("entropy"))), likely)  # exact halves go to the even digit
+        rest = F.when(F.col("dense") & (F.col("covered") < F.col("length")), F.lit("; high-entropy unidentified region(s) - possible encryption")).otherwise(F.lit(""))
+        line = F.coalesce(F.concat("types", rest), nothing)
+    return joined.select("blob_id", F.concat(line, _keys(F.coalesce("keys", F.lit(0)))).alias("assessment"))

@@ -22,8 +22,23 @@ COLUMNS = {
 #: Every blob's length; the longest candidate ends before it.
 LENGTH = 4096
 
+#: Every order is a blob; some can't be opened, and those and others have no candidates.
+BLOBS_SQL = f"SELECT o_orderkey AS blob_id, CASE WHEN o_custkey % 40 = 7 THEN NULL ELSE CAST({LENGTH} AS BIGINT) END AS length FROM orders"
+#: The candidates of those that can be opened, thinned out.
+FEW = "(offset_ / 16) % 4 = 1"
+
 SQL = "SELECT " + ", ".join(f"{e} AS {c}" for c, e in COLUMNS.items()) + " FROM lineitem"
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read(spark, sf_dir, "lineitem").selectExpr(*[f"{e} AS {c}" for c, e in COLUMNS.items()])
+
+
+def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """blob_id and length, null where a blob can't be opened."""
+    return tables.read(spark, sf_dir, "orders").selectExpr("o_orderkey AS blob_id", f"CASE WHEN o_custkey % 40 = 7 THEN NULL ELSE CAST({LENGTH} AS BIGINT) END AS length")
+
+
+def few(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that leave many blobs without any."""
+    return candidates(spark, sf_dir).where(FEW).join(blobs(spark, sf_dir).where("length is not null").select("blob_id"), "blob_id", "left_semi")

@@ -38,6 +38,9 @@ def oracle_sql() -> dict[str, str]:
 _ORDER = "offset_, confidence DESC, size_, type_, (endian = 'big'), category"
 _C = f"c AS ({plan.SQL}), o AS (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY {_ORDER}) AS place FROM c)"
 
+#: Blobs, some of which have no candidates or can't be opened, and the candidates of the others.
+_B = f"b AS ({plan.BLOBS_SQL}), c AS (SELECT r.* FROM ({plan.SQL}) r JOIN b ON b.blob_id = r.blob_id WHERE length IS NOT NULL AND {plan.FEW}), o AS (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY {_ORDER}) AS place FROM c)"
+
 
 def _fold(rescue: str) -> str:
     """Greedy ownership row by row: state is the owner, its end, and the last kept row."""
@@ -126,12 +129,16 @@ def container_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.islands(_candidates(spark, sf_dir).where(F.col("category").isin(*intervals.CONTAINERS)), 128)
 
 
-@_query(f"""WITH {_C}, w AS (SELECT blob_id, offset_, coalesce(max(offset_ + size_) OVER (PARTITION BY blob_id ORDER BY offset_, size_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM c),
-    g AS (SELECT blob_id, reach AS gap_offset, offset_ - reach AS gap_size FROM w
-          UNION ALL SELECT blob_id, max(offset_ + size_), {plan.LENGTH} - max(offset_ + size_) FROM c GROUP BY blob_id)
-    SELECT blob_id, CAST(gap_offset AS BIGINT) AS gap_offset, CAST(gap_size AS BIGINT) AS gap_size FROM g WHERE gap_size >= 64""")
+@_query(f"""WITH {_B}, t AS (SELECT * FROM c WHERE category IN ('filesystem', 'container') AND size_ > 0), {_islands_sql('t', 128)},
+    s AS (SELECT blob_id, offset_, size_ FROM c WHERE size_ > 0 UNION ALL SELECT blob_id, offset_, size_ FROM g),
+    y AS (SELECT b.blob_id, b.length, s.offset_, s.size_ FROM b LEFT JOIN s ON s.blob_id = b.blob_id WHERE length IS NOT NULL),
+    x AS (SELECT blob_id, offset_, max(offset_ + size_) OVER (PARTITION BY blob_id ORDER BY offset_, size_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM y WHERE offset_ IS NOT NULL),
+    z AS (SELECT blob_id, coalesce(reach, 0) AS gap_offset, offset_ - coalesce(reach, 0) AS gap_size FROM x
+          UNION ALL SELECT blob_id, coalesce(max(offset_ + size_), 0), any_value(length) - coalesce(max(offset_ + size_), 0) FROM y GROUP BY blob_id)
+    SELECT blob_id, CAST(gap_offset AS BIGINT) AS gap_offset, CAST(gap_size AS BIGINT) AS gap_size FROM z WHERE gap_size >= 64""")
 def unidentified_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.gaps(_candidates(spark, sf_dir), plan.LENGTH, 64)
+    """Of every blob that can be opened, also those without findings."""
+    return intervals.gaps(plan.blobs(spark, sf_dir), plan.few(spark, sf_dir), 64, bridge=128)
 
 
 @_query(f"""WITH RECURSIVE {_FINDINGS} SELECT blob_id, offset_, size_, type_, category FROM r f WHERE NOT EXISTS (
@@ -155,30 +162,35 @@ def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _candidates(spark, sf_dir).withColumn("place", F.row_number().over(w))
 
 
+@_query(f"""WITH {_C}, {_PARENT} SELECT o.blob_id, parent_place, o.type_, count(*) AS n, CAST(sum(size_) AS BIGINT) AS bytes FROM o LEFT JOIN p ON p.blob_id = o.blob_id AND p.place = o.place
+    WHERE o.type_ <> 'private_key' AND o.category NOT IN ('container', 'filesystem', 'bootloader', 'executable') GROUP BY 1, 2, 3 HAVING count(*) > 1""")
+def swarm_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Siblings of one type under one parent, folded from two on, as an order's lines are few."""
+    return intervals.swarms(intervals.parents(_placed(spark, sf_dir)), 1)
 
 
-@_query(f"WITH {_C} SELECT blob_id, type_, count(*) AS n, CAST(sum(size_) AS BIGINT) AS bytes FROM o GROUP BY blob_id, type_ HAVING count(*) > 2")
-def swarm_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _candidates(spark, sf_dir).withColumn("parent_place", F.lit(0))
-    return intervals.swarms(rows, 2).select("blob_id", "type_", "n", "bytes")
+def _few(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = intervals.Window.partitionBy("blob_id").orderBy(*intervals.total_order(), "category")
+    return plan.few(spark, sf_dir).withColumn("place", F.row_number().over(w))
 
 
-_PRIMARY = "p AS (SELECT blob_id, arg_min(type_, (offset_ <> 0, -confidence, place)) AS primary_type FROM o GROUP BY blob_id)"
+_PRIMARY = """t AS (SELECT blob_id, arg_min(type_, (offset_ <> 0, -confidence, place)) AS type_ FROM o GROUP BY blob_id),
+    p AS (SELECT b.blob_id, coalesce(t.type_, CASE WHEN length IS NULL THEN 'unreadable' ELSE 'unknown' END) AS primary_type FROM b LEFT JOIN t ON t.blob_id = b.blob_id)"""
 
 
-@_query(f"WITH {_C}, {_PRIMARY} SELECT * FROM p")
+@_query(f"WITH {_B}, {_PRIMARY} SELECT * FROM p")
 def primary_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.primary_types(_placed(spark, sf_dir))
+    return summaries.primary_types(plan.blobs(spark, sf_dir), _few(spark, sf_dir))
 
 
-@_query(f"WITH {_C}, {_PRIMARY} SELECT primary_type, count(*) AS files FROM p GROUP BY 1")
+@_query(f"WITH {_B}, {_PRIMARY}, n AS (SELECT primary_type, count(*) AS files FROM p GROUP BY 1) SELECT *, CAST(row_number() OVER (ORDER BY files DESC, primary_type) AS INT) AS place FROM n")
 def by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.by_type(summaries.primary_types(_placed(spark, sf_dir)))
+    return summaries.by_type(primary_type(spark, sf_dir))
 
 
-@_query(f"WITH {_C} SELECT count(DISTINCT blob_id) AS file_count, count(DISTINCT blob_id) * {plan.LENGTH} AS bytes, count(*) AS finding_count, CAST(sum(CASE WHEN category = 'crypto' THEN 1 ELSE 0 END) AS BIGINT) AS crypto_count FROM c")
+@_query(f"""WITH {_B} SELECT (SELECT count(*) FROM b) AS file_count, (SELECT CAST(sum(length) AS BIGINT) FROM b) AS bytes, count(*) AS finding_count, CAST(sum(CASE WHEN category = 'crypto' THEN 1 ELSE 0 END) AS BIGINT) AS crypto_count FROM c""")
 def tree_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.totals(_candidates(spark, sf_dir), plan.LENGTH)
+    return summaries.totals(plan.blobs(spark, sf_dir), plan.few(spark, sf_dir))
 
 
 @_query(f"WITH {_C} SELECT blob_id, offset_, type_, category FROM c WHERE category IN ('filesystem', 'container', 'executable', 'bootloader', 'dtb', 'crypto', 'encrypted')")
@@ -186,16 +198,22 @@ def notable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _candidates(spark, sf_dir).where(F.col("category").isin(*summaries.NOTABLE)).select("blob_id", "offset_", "type_", "category")
 
 
-@_query(f"""WITH {_C}, t AS (SELECT blob_id, type_, min(place) AS first, count(*) AS n FROM o GROUP BY 1, 2)
-    SELECT blob_id, string_agg(CASE WHEN n > 1 THEN type_ || ' x' || n ELSE type_ END, ', ' ORDER BY first) AS summary FROM t GROUP BY 1""")
+@_query(f"""WITH {_B}, t AS (SELECT blob_id, type_, min(place) AS first, count(*) AS n FROM o GROUP BY 1, 2),
+    l AS (SELECT blob_id, string_agg(CASE WHEN n > 1 THEN type_ || ' x' || n ELSE type_ END, ', ' ORDER BY first) AS summary FROM t GROUP BY 1)
+    SELECT b.blob_id, coalesce(summary, 'no known signatures identified') AS summary FROM b LEFT JOIN l ON l.blob_id = b.blob_id""")
 def file_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.summary(_placed(spark, sf_dir))
+    return summaries.summary(plan.blobs(spark, sf_dir), _few(spark, sf_dir))
 
 
-@_query(f"""WITH {_C}, {_PRIMARY}, n AS (SELECT primary_type, count(*) AS files FROM p GROUP BY 1), t AS (SELECT * FROM n ORDER BY files DESC, primary_type LIMIT 5)
-    SELECT (SELECT sum(files) FROM n) || ' files: ' || string_agg(files || ' ' || primary_type, ', ' ORDER BY files DESC, primary_type) AS assessment FROM t""")
+@_query(f"""WITH {_B}, {_PRIMARY}, n AS (SELECT primary_type, count(*) AS files FROM p GROUP BY 1), q AS (SELECT * FROM n WHERE primary_type NOT IN ('unknown', 'unreadable') ORDER BY files DESC, primary_type LIMIT 5)
+    SELECT (SELECT sum(files) FROM n) || ' files: ' || string_agg(files || ' ' || primary_type, ', ' ORDER BY files DESC, primary_type) || '; ' || (SELECT count(*) FROM c WHERE category = 'crypto') || ' key/cert' AS assessment FROM q""")
 def assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.tree_assessment(summaries.primary_types(_placed(spark, sf_dir)))
+    return summaries.tree_assessment(primary_type(spark, sf_dir), plan.few(spark, sf_dir))
+
+
+@_query("SELECT '0 files' AS assessment")
+def assessment_of_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.tree_assessment(primary_type(spark, sf_dir).where("primary_type = ''"), plan.few(spark, sf_dir).where("type_ = ''"))
 
 
 @_query(f"WITH {_C} SELECT blob_id, CAST(sum(size_) AS BIGINT) AS covered FROM c GROUP BY 1")
@@ -215,10 +233,34 @@ def member_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.truncated(rows, "l_orderkey", [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_extendedprice")], 3).select("l_orderkey", "l_linenumber", "l_partkey", "members_truncated")
 
 
-@_query(f"""WITH {_C}, t AS (SELECT blob_id, type_, min(place) AS first FROM o GROUP BY 1, 2), k AS (SELECT blob_id, sum(CASE WHEN category = 'crypto' THEN 1 ELSE 0 END) AS n FROM o GROUP BY 1)
-    SELECT t.blob_id, string_agg(type_, ' + ' ORDER BY first) || CASE WHEN any_value(n) > 0 THEN '; ' || CAST(any_value(n) AS INT) || ' key/cert' ELSE '' END AS assessment FROM t JOIN k ON k.blob_id = t.blob_id GROUP BY t.blob_id""")
+_TYPES = """t AS (SELECT blob_id, type_, min(place) AS first, sum(size_) AS bytes, sum(CASE WHEN category = 'crypto' THEN 1 ELSE 0 END) AS n FROM o GROUP BY 1, 2),
+    l AS (SELECT blob_id, string_agg(type_, ' + ' ORDER BY first) AS types, sum(bytes) AS covered, CAST(sum(n) AS INT) AS keys FROM t GROUP BY 1)"""
+
+
+@_query(f"""WITH {_B}, {_TYPES}
+    SELECT b.blob_id, coalesce(types, 'no known structures identified') || CASE WHEN keys > 0 THEN '; ' || keys || ' key/cert' ELSE '' END AS assessment FROM b LEFT JOIN l ON l.blob_id = b.blob_id""")
 def file_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.assessments(_placed(spark, sf_dir))
+    return summaries.assessments(plan.blobs(spark, sf_dir), _few(spark, sf_dir))
+
+
+#: Entropies as a rule over ids, since candidates have no bytes: of a blob, and of a range without findings.
+_ENTROPY, _DENSE = "CAST((blob_id % 32) / 4.0 AS DOUBLE)", "CAST(((blob_id + gap_offset) % 32) / 4.0 AS DOUBLE)"
+
+
+@_query(f"""WITH {_B}, {_TYPES}, s AS (SELECT blob_id, offset_, size_ FROM c WHERE size_ > 0 UNION ALL SELECT blob_id, 4096, 0 FROM b WHERE length IS NOT NULL),
+    m AS (SELECT blob_id, min(offset_) AS lo, max(offset_ + size_) AS hi FROM c WHERE category IN ('filesystem', 'container') AND size_ > 0 GROUP BY 1),
+    u AS (SELECT * FROM s UNION ALL SELECT blob_id, lo, hi - lo FROM m),
+    x AS (SELECT blob_id, offset_, coalesce(max(offset_ + size_) OVER (PARTITION BY blob_id ORDER BY offset_, size_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gap_offset FROM u),
+    d AS (SELECT DISTINCT blob_id FROM x WHERE (offset_ - gap_offset) * 4 >= 4096 AND {_DENSE} >= 7.2)
+    SELECT b.blob_id, CASE WHEN types IS NULL THEN 'no known structures; whole-file entropy ' || printf('%.1f', {_ENTROPY.replace('blob_id', 'b.blob_id')}) || CASE WHEN {_ENTROPY.replace('blob_id', 'b.blob_id')} >= 7.2 THEN ' - likely encrypted or compressed' ELSE '' END
+        ELSE types || CASE WHEN d.blob_id IS NOT NULL AND covered < length THEN '; high-entropy unidentified region(s) - possible encryption' ELSE '' END END
+        || CASE WHEN keys > 0 THEN '; ' || keys || ' key/cert' ELSE '' END AS assessment
+    FROM b LEFT JOIN l ON l.blob_id = b.blob_id LEFT JOIN d ON d.blob_id = b.blob_id""")
+def entropy_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line with entropies; a range counts four times its bytes here, as the blobs are short."""
+    blobs, rows = plan.blobs(spark, sf_dir), plan.few(spark, sf_dir)
+    regions = intervals.gaps(blobs, rows, 1).selectExpr("blob_id", "gap_size * 4 AS size_", f"{_DENSE} AS entropy")
+    return summaries.assessments(blobs.withColumn("entropy", F.expr(_ENTROPY)), _few(spark, sf_dir), regions)
 
 
 @_query(f"WITH {_C} SELECT blob_id, count(*) AS rows_, CAST(sum(CASE WHEN confidence >= 85 THEN 1 ELSE 0 END) AS BIGINT) AS sure, max(confidence) AS best FROM c GROUP BY blob_id")
