@@ -11,15 +11,28 @@ import lzma
 import re
 import struct
 import uuid
+from collections import Counter
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
-from . import checksums
+from . import checksums, schemes
 
 MAGIC, STRUCTURAL, CONSISTENT, VERIFIED = 25, 60, 85, 99
 Validator = Callable[[bytes, "object", dict], bool]
 KNOWN: dict[str, Validator] = {}
 
 
+@dataclass
+class Member:
+    """A part of a finding that has a name: an offset if it is one range of the blob, and the findings inside it."""
+
+    name: str
+    offset: int | None
+    size: int
+    note: str = ""
+    children: list = field(default_factory=list)
+
+
 def _validator(f: Validator) -> Validator:
     def safe(data: bytes, finding, fields: dict) -> bool:
         try:
@@ -198,7 +211,7 @@ def uimage(data, f, fields):
     head = data[f.offset : f.offset + 64]
     f.label = head[32:64].split(b"\0")[0].decode("latin-1")
     f.compression = _UIMAGE_COMP.get(head[31], "")
-    f.diagnostics.append(("info", "uimage-payload-endian-unknown"))
+    f.diagnostics.append(("info", "uimage-payload-endian-unknown", "the header is big-endian whatever the payload is"))
     if checksums.crc32(head[:4] + bytes(4) + head[8:]) == fields["ih_hcrc"]:
         return _set(f, VERIFIED)
     return _set(f, STRUCTURAL, 0)
@@ -232,7 +245,7 @@ def ubifs(data, f, fields):
 def dtb(data, f, fields):
     """VAL-6: a tree with images is a bootable container."""
     tree = data[f.offset : f.offset + f.size]
-    if re.search(rb"\0\0\0\1images\0", tree[fields["off_dt_struct"] :]):
+    if b"\0\0\0\1images\0" in tree[fields["off_dt_struct"] :]:
         return _set(f, CONSISTENT, type="fit", category="container")
     return True
 
@@ -267,20 +280,36 @@ def elf(data, f, fields):
     return _set(f, CONSISTENT, min(end, avail))
 
 
+#: VAL-23: what a trial decoding gives at most; larger streams aren't lzma streams.
+LZMA_MOST = 512 << 20
+
+
 @_validator
 def lzma_(data, f, fields):
-    """VAL-23: plausible properties, then a decoding up to the end marker."""
-    props, size = data[f.offset], _u(data, f.offset + 1, 4)
-    if props > 224 or not _pow2(size) or not 4096 <= size <= 768 << 20:
+    """VAL-23: plausible properties, a decoding to the end, and a span that no byte makes up half of."""
+    props, size, declared = data[f.offset], _u(data, f.offset + 1, 4), _u(data, f.offset + 5, 8)
+    known = declared != 2**64 - 1
+    if props > 224 or not _pow2(size) or not 4096 <= size <= 768 << 20 or (known and not 0 < declared <= LZMA_MOST):
         return False
-    coder = lzma.LZMADecompressor(lzma.FORMAT_ALONE, memlimit=1 << 30)
+    coder, decoded, at = lzma.LZMADecompressor(lzma.FORMAT_ALONE, memlimit=1 << 30), 0, f.offset
     try:
-        out = coder.decompress(data[f.offset :], 64 << 20)
+        while not coder.eof:  # in steps, as what it decodes to is only counted
+            step = data[at : at + (1 << 16)] if coder.needs_input else b""
+            at += len(step)
+            if coder.needs_input and not step:
+                return False
+            decoded += len(coder.decompress(step, 1 << 22))
+            if decoded > LZMA_MOST:
+                return False
     except lzma.LZMAError:
         return False
-    if not coder.eof or not out or max(map(out.count, set(out[:4096][:1]) | {0})) > len(out) / 2:
+    if known and decoded != declared or not decoded:
         return False
-    return _set(f, VERIFIED, len(data) - f.offset - len(coder.unused_data))
+    used = at - f.offset - len(coder.unused_data)
+    if max(Counter(data[f.offset : f.offset + used]).values()) > used / 2:
+        return False
+    unit = f"{size >> 20} MiB" if size >> 20 else f"{size} B"
+    return _set(f, VERIFIED, used, label=f"{decoded} bytes, dict {unit}")
 
 
 KNOWN["lzma"] = KNOWN.pop("lzma_")
@@ -304,18 +333,31 @@ def squashfs(data, f, fields):
     return _set(f, CONSISTENT if good else STRUCTURAL)
 
 
+def _luks_token(raw: bytes) -> bool:
+    return bool(re.fullmatch(rb"[\w\-:]+", raw))
+
+
 @_validator
 def luks(data, f, fields):
-    """VAL-22: the printable fields of either version."""
+    """VAL-22, FN-16: the printable fields of either version; of the second, what its JSON says."""
     version = _u(data, f.offset + 6, 2, "big")
     token = lambda a, n: data[f.offset + a : f.offset + a + n].split(b"\0")[0]
     if not re.fullmatch(rb"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", token(168, 40)):
         return False
     if version == 1:
-        ok = all(re.fullmatch(rb"[\w\-:]+", token(a, 32)) for a in (8, 40, 72)) and _u(data, f.offset + 108, 4, "big") in range(1, 129)
-        return ok and _set(f, CONSISTENT, type="luks1", version="1")
-    size = _u(data, f.offset + 8, 8, "big")
-    return version == 2 and size >= 4096 and size % 4096 == 0 and _u(data, f.offset + 256, 8, "big") == 0 and _set(f, CONSISTENT, type="luks2", version="2")
+        names, start, key = [token(a, 32) for a in (8, 40, 72)], _u(data, f.offset + 104, 4, "big"), _u(data, f.offset + 108, 4, "big")
+        ok = all(map(_luks_token, names)) and 1 <= key <= 1024 and 1 <= start <= 1 << 24
+        return ok and _set(f, CONSISTENT, type="luks1", version="1", endian="big", label=f"{names[0].decode()}-{names[1].decode()}, {names[2].decode()}, {8 * key}-bit")
+    size, check = _u(data, f.offset + 8, 8, "big"), token(72, 32)
+    if version != 2 or not 0x4000 <= size <= 4 << 20 or _u(data, f.offset + 256, 8, "big") or (check and not _luks_token(check)):
+        return False
+    area = data[f.offset + 4096 : f.offset + min(size, 4096 + (1 << 20))]
+    cipher, bits = re.search(rb'"encryption"\s*:\s*"([^"]*)"', area), re.search(rb'"key_size"\s*:\s*(\d+)', area)
+    kdf = re.search(rb'"kdf".*?"type"\s*:\s*"([^"]*)"', area, re.S)
+    said = [cipher[1].decode("latin-1") if cipher and cipher[1] else "encrypted"]
+    said += [kdf[1].decode()] if kdf and _luks_token(kdf[1]) else []
+    said += [f"{8 * int(bits[1])}-bit"] if bits and 0 < int(bits[1]) <= 1024 else []
+    return _set(f, CONSISTENT, type="luks2", version="2", endian="big", label=", ".join(said))
 
 
 @_validator
@@ -388,19 +430,20 @@ def mtk_lk(data, f, fields):
 
 @_validator
 def android_boot(data, f, fields):
-    """VAL-1."""
-    version = _u(data, f.offset + 40, 4)
+    """VAL-1: all parts that the header's version declares, each on pages of its own, lie inside."""
+    word = lambda k: _u(data, f.offset + k, 4)
+    version = word(40)
     if version > 4:
         return False
     if version >= 3:
-        sizes, page = [fields["kernel_size"], _u(data, f.offset + 12, 4)], 4096
+        page, sizes = 4096, [word(8), word(12)]
     else:
-        page = _u(data, f.offset + 36, 4)
-        if not _pow2(page) or not 2048 <= page <= 65536:
-            return False
-        sizes = [fields["kernel_size"], fields["ramdisk_size"], _u(data, f.offset + 24, 4)]
-    total = page + sum(-(-s // page) * page for s in sizes)
-    return f.offset + total <= len(data) and _set(f, CONSISTENT, total, version=str(version))
+        page, sizes = word(36), [word(8), word(16), word(24)]
+        if not _pow2(page):
+            return True
+        sizes += [word(k) for least, k in ((1, 1632), (2, 1648)) if version >= least]
+    total = page + sum(-(-n // page) * page for n in sizes)
+    return f.offset + total <= len(data) and _set(f, CONSISTENT, max(total, f.size), version=str(version))
 
 
 @_validator
@@ -435,26 +478,56 @@ def gpt(data, f, fields):
     for k in range(0, len(table) - width + 1, width):
         if any(table[k : k + 16]):
             first, last = _u(table, k + 32, 8), _u(table, k + 40, 8)
-            f.members.append((table[k + 56 : k + 128].decode("utf-16-le", "ignore").split("\0")[0], disk + first * sector, (last - first + 1) * sector))
-    return _set(f, VERIFIED if good_head and good_table else CONSISTENT, size)
+            f.members.append(Member(table[k + 56 : k + 128].decode("utf-16-le", "ignore").split("\0")[0], disk + first * sector, (last - first + 1) * sector, str(uuid.UUID(bytes_le=table[k : k + 16]))))
+    return _set(f, VERIFIED if good_head and good_table else CONSISTENT if good_head else STRUCTURAL, size)
+
+
+# Names of partition types.
+_MBR_TYPES = {0x01: "FAT12", 0x04: "FAT16", 0x05: "Extended", 0x06: "FAT16", 0x07: "NTFS/exFAT", 0x0B: "FAT32", 0x0C: "FAT32 LBA", 0x0E: "FAT16 LBA", 0x0F: "Extended LBA", 0x82: "Linux swap", 0x83: "Linux", 0x8E: "Linux LVM", 0xEE: "GPT protective", 0xEF: "EFI system"}
+_EXTENDED = (0x05, 0x0F)
+
+
+def _mbr_note(kind: int, logical: bool = False) -> str:
+    known = _MBR_TYPES.get(kind)
+    if known:
+        return f"{known} (0x{kind:02X}{', logical' if logical else ''})"
+    return f"type 0x{kind:02X}{' (logical)' if logical else ''}"
+
+
+def _logical(data: bytes, start: int) -> list[tuple[int, int, int]]:
+    """(type, sector, sectors) of the logical partitions of the extended one at a sector: a chain of at most 128 records."""
+    found, here = [], start
+    for _ in range(128):
+        at = here * 512
+        if data[at + 510 : at + 512] != b"\x55\xaa":
+            break
+        kind, first, n = data[at + 450], _u(data, at + 454, 4), _u(data, at + 458, 4)
+        if kind and n:
+            found.append((kind, here + first, n))
+        onward, following = data[at + 466], _u(data, at + 470, 4)
+        if not following or onward not in _EXTENDED or start + following <= here:
+            break
+        here = start + following
+    return found
 
 
 @_validator
 def mbr(data, f, fields):
-    """VAL-32."""
-    at = f.offset
-    if at % 512:
+    """VAL-32: entries with legal flags, one of which at least lies on the disk; logical partitions follow their extended one."""
+    if f.offset % 512:
         return False
-    entries = [data[at + 446 + 16 * k : at + 462 + 16 * k] for k in range(4)]
-    if any(e[0] not in (0, 0x80) for e in entries):
+    entries = [data[f.offset + 446 + 16 * k : f.offset + 462 + 16 * k] for k in range(4)]
+    if any(len(e) < 16 or e[0] not in (0, 0x80) for e in entries):
         return False
     used = [(e[4], _u(e, 8, 4), _u(e, 12, 4)) for e in entries if e[4]]
-    if not used or [k for k, _, _ in used] == [0xEE] or any(not a or not n for _, a, n in used):
+    if not used or [k for k, _, _ in used] == [0xEE]:
         return False
-    used.sort(key=lambda x: x[1])
-    if any(a + n > b for (_, a, n), (_, b, _) in builtins.zip(used, used[1:])) or at + used[0][1] * 512 > len(data):
+    if not any(k != 0xEE and 0 < a < len(data) // 512 and (n or k in _EXTENDED) for k, a, n in used):
         return False
-    f.members += [(f"partition type 0x{k:02x}", at + a * 512, n * 512) for k, a, n in used]
+    for kind, first, n in used:
+        f.members.append(Member(f"p{len(f.members) + 1}", first * 512, n * 512, _mbr_note(kind)))
+        for k, a, m in _logical(data, first) if kind in _EXTENDED else ():
+            f.members.append(Member(f"p{len(f.members) + 1}", a * 512, m * 512, _mbr_note(k, True)))
     return _set(f, CONSISTENT, 512)
 
 
@@ -482,10 +555,45 @@ def sxverity(data, f, fields):
     return ok and _set(f, CONSISTENT, 4096)
 
 
+def cab_tables(data: bytes, at: int) -> tuple[list[tuple[int, int, int]], list[tuple[str, int, int, int]], int, bytes]:
+    """Folders (first block, blocks, codec), files (name, size, place, folder), reserved bytes a block, and the flags.
+
+    Raises where a table leaves the cabinet.
+    """
+    flags, here = _u(data, at + 30, 2), at + 36
+    per_folder = per_block = 0
+    if flags & 4:
+        head, per_folder, per_block = _u(data, here, 2), _u(data, here + 2, 1), _u(data, here + 3, 1)
+        here += 4 + head
+    for bit in (1, 2):
+        for _ in range(2 if flags & bit else 0):
+            here = data.index(b"\0", here) + 1
+    folders = []
+    for _ in range(_u(data, at + 26, 2)):
+        folders.append((_u(data, here, 4), _u(data, here + 4, 2), _u(data, here + 6, 2)))
+        here += 8 + per_folder
+    here, files = at + _u(data, at + 16, 4), []
+    for _ in range(_u(data, at + 28, 2)):
+        size, place, folder = _u(data, here, 4), _u(data, here + 4, 4), _u(data, here + 8, 2)
+        end = data.index(b"\0", here + 16)
+        utf8 = _u(data, here + 14, 2) & 0x80
+        files.append((data[here + 16 : end].decode("utf-8" if utf8 else "latin-1", "replace"), size, place, folder))
+        here = end + 1
+    return folders, files, per_block, flags
+
+
 @_validator
 def cab(data, f, fields):
-    """VAL-2."""
-    return _set(f, VERIFIED if f.offset + fields["cb_cabinet"] == len(data) else CONSISTENT) if f.offset + fields["coff_files"] < len(data) else False
+    """VAL-2: the folder and file tables can be read, and the cabinet ends where it says."""
+    folders, files, _, flags = cab_tables(data, f.offset)
+    avail, size = len(data) - f.offset, fields["cb_cabinet"]
+    if not folders or not files or size > avail + 4096 or any(k < 0xFFFD and k >= len(folders) for *_, k in files):
+        return False
+    f.compression = "+".join(sorted({("none", "mszip", "quantum", "lzx")[c & 3] for *_, c in folders}))
+    f.version, f.label = f"{data[f.offset + 25]}.{data[f.offset + 24]}", f"{len(folders)} folders, {len(files)} files"
+    if flags & 3:
+        f.diagnostics.append(("warning", "cab-spanned", "one cabinet of a set; files that go on in another can't be completed from it"))
+    return _set(f, VERIFIED if size == avail else CONSISTENT, min(size, avail))
 
 
 @_validator
@@ -500,12 +608,12 @@ def esp32_partition_table(data, f, fields):
         if not size or not re.fullmatch(rb"[\x20-\x7e]*", name):
             return False
         known += kind in (0, 1)
-        f.members.append((name.decode(), start, size))
+        f.members.append(Member(name.decode(), start, size, {0: "app", 1: "data"}.get(kind, f"type 0x{kind:02x}")))
         at += 32
-    rest = sorted(f.members, key=lambda m: m[1])
-    apart = all(a[1] + a[2] <= b[1] for a, b in builtins.zip(rest, rest[1:]))
+    rest = sorted(f.members, key=lambda m: m.offset)
+    apart = all(a.offset + a.size <= b.offset for a, b in builtins.zip(rest, rest[1:]))
     ended = data[at : at + 2] in (b"\xeb\xeb", b"\xff\xff") or at >= len(data)
-    ok = ended and apart and len(rest) >= 2 and known >= 2 and any(m[1] < len(data) for m in rest)
+    ok = ended and apart and len(rest) >= 2 and known >= 2 and any(m.offset < len(data) for m in rest)
     return ok and _set(f, CONSISTENT, at - f.offset + 32 * (data[at : at + 2] == b"\xeb\xeb"))
 
 
@@ -550,33 +658,57 @@ def littlefs(data, f, fields):
     return False
 
 
-#: Sizes that an environment block may have.
-_ENV_SIZES = tuple(1 << k for k in range(10, 20))
+#: Sizes that an environment block may have, and how far its entries may reach from one of them.
+_ENV_SIZES, _ENV_REACH = tuple(1 << k for k in range(12, 22)), 2 << 20
+_ENV_ENTRY = re.compile(rb"[A-Za-z0-9_]+=[\x20-\x7e\t\n\r]*")
+_ENV_NO_TEXT = re.compile(rb"[^\x20-\x7e\t\n\r]")
+
+
+def _env_start(data: bytes, anchor: int) -> int:
+    """Where the first of the entries before a separator begins."""
+    start, sep, least = anchor + 1, anchor, max(0, anchor - _ENV_REACH)
+    while sep > least:
+        first = sep
+        while first > least:  # back over text, a stretch at a time
+            step = max(least, first - 256)
+            bad = [m.end() for m in _ENV_NO_TEXT.finditer(data, step, first)]
+            if bad:
+                first = step + bad[-1] - step
+                break
+            first = step
+        if not _ENV_ENTRY.fullmatch(data, first, sep):
+            break
+        start = first
+        if first == 0 or data[first - 1]:
+            break
+        sep = first - 1
+    return start
 
 
 @_validator
 def uboot_env(data, f, fields):
-    """VAL-36: from an entry inside the list back to its header, then the CRC over the sizes that are in use."""
-    start = f.offset
-    while start > 0 and (data[start - 1] == 0 or 0x20 <= data[start - 1] < 0x7F or data[start - 1] in b"\t\n\r") and data[start - 1 : start + 1] != b"\0\0" and f.offset - start < 1 << 18:
-        start -= 1
-    end = data.find(b"\0\0", f.offset + 1)
-    end = len(data) if end < 0 else end
-    for head in (4, 5):
-        for first in range(start, min(start + 6, f.offset + 1)):
+    """VAL-36: from an entry inside the list to its first and its end, then the CRC over the sizes that are in use."""
+    start = _env_start(data, f.offset)
+    at, n, most = start, 0, min(start + _ENV_REACH, len(data))
+    while at < most and data[at]:
+        end = data.find(b"\0", at, most)
+        if end < 0 or not _ENV_ENTRY.fullmatch(data, at, end):
+            return False
+        at, n = end + 1, n + 1
+    if at >= most or n < 4:
+        return False
+    for first in range(start, min(start + 6, at + 1)):  # a byte of the header may look like a key's first
+        for head in (4, 5):
             base = first - head
             if base < 0:
                 continue
             want = _u(data, base, 4)
-            for size in _ENV_SIZES:
-                if base + size <= len(data) and checksums.crc32(data[first : base + size]) == want:
-                    entries = data[first:end].split(b"\0")
-                    return sum(b"=" in e for e in entries) >= 1 and _set(f, VERIFIED, size, offset=base)
-    entries = [e for e in data[start:end].split(b"\0") if re.match(rb"[\w.-]+=", e)]
-    if len(entries) < 4:
-        return False
-    f.diagnostics.append(("warning", "uboot-env-crc-unverified"))
-    return _set(f, STRUCTURAL, end - start, offset=start)
+            for size in (*_ENV_SIZES, at + 1 - base):
+                if head < size <= len(data) - base and checksums.crc32(data[first : base + size]) == want:
+                    return _set(f, VERIFIED, size, offset=base, label="redundant" if head == 5 else "")
+    f.diagnostics.append(("info", "uboot-env-crc-unverified", "no size in use gives the header's checksum, so the block's extent is approximate"))
+    head = 4 if start >= 4 else 0
+    return _set(f, STRUCTURAL, at + 1 - start + head, offset=start - head)
 
 
 @_validator
@@ -613,3 +745,15 @@ def upx(data, f, fields):
         if len(head) == 32 and sum(head[4:31]) % 251 == head[31]:
             return _set(f, VERIFIED, 32, version=str(version))
     return _set(f, MAGIC, version=str(version))
+
+
+@_validator
+def deobf(data, f, fields):
+    """VAL-5, DSC-9: a key that fits makes a scrambled image sure; a header alone doesn't."""
+    found = schemes.probe(data, f.offset)
+    if not found:
+        return False
+    f.compression = found.cipher if found.holds else ""
+    if not found.holds:
+        f.diagnostics.append(("warning", "scheme-no-key", "the header is there, but no known key opens it"))
+    return _set(f, VERIFIED if found.holds else STRUCTURAL, min(found.span, len(data) - f.offset), type=found.scheme, label=found.holds)

@@ -1,7 +1,8 @@
 """Unpacking: a blob's findings to files, level by level.
 
-Extraction is a stage of rows to rows: (blob_id, path, kind, content, status). Nothing is written on executors. Levels are a
-loop on the driver; each level's blobs are a DataFrame that is written out before the next, so no level is computed twice.
+Extraction is a stage of rows to rows: (blob_id, path, kind, content, status). Levels are a loop on the driver; each level's
+blobs are a DataFrame that is written to the shared folder before the next, so no level is computed twice and a lost
+executor costs its tasks only.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import schemes
 from . import identify as ident
+from .lineage import cut_lineage
 
-#: LIM-3: bytes and files that one finding may give, and levels.
+#: LIM-3: bytes and files that one finding, and all findings of a blob, may give, and levels.
 MOST_BYTES, MOST_FILES, MOST_DEPTH = 1 << 32, 500_000, 8
 #: Bytes of one file: a cell of Spark and Arrow ends below 2 GiB. Larger files are left out, never cut.
 MOST_CELL = (1 << 31) - (1 << 20)
@@ -55,8 +58,22 @@ def safe_path(path: str) -> str:
     return "/".join(parts)
 
 
+#: What holds one stream: bytes to what it decodes to and how many of them it took, its end read from the stream itself.
+STREAMS: dict[str, Callable[[bytes], tuple[bytes, int]]] = {}
+
+
+def _stream(*types: str):
+    def add(f: Callable[[bytes], tuple[bytes, int]]):
+        STREAMS.update(dict.fromkeys(types, f))
+        KNOWN.update({t: lambda data, f=f: iter([("data", "file", f(data)[0])]) for t in types})
+        return f
+
+    return add
+
+
+@_stream("gzip")
 def inflate(data: bytes, wbits: int = 47) -> tuple[bytes, int]:
-    """COD-2, COD-3: what the stream holds and how much of the data it took."""
+    """COD-2, COD-3."""
     coder = zlib.decompressobj(wbits)
     out = coder.decompress(data, MOST_BYTES)
     if not coder.eof:
@@ -64,30 +81,26 @@ def inflate(data: bytes, wbits: int = 47) -> tuple[bytes, int]:
     return out, len(data) - len(coder.unused_data)
 
 
-@_extractor("gzip")
-def _gzip(data: bytes) -> Iterator[File]:
-    yield "data", "file", inflate(data)[0]
-
-
-@_extractor("xz", "lzma")
-def _lzma(data: bytes) -> Iterator[File]:
+@_stream("xz", "lzma")
+def _lzma(data: bytes) -> tuple[bytes, int]:
     coder = lzma.LZMADecompressor(memlimit=1 << 30)
     out = coder.decompress(data, MOST_BYTES)
     if not coder.eof:
         raise Stop("error:too-large" if len(out) >= MOST_BYTES else "error:truncated")
-    yield "data", "file", out
+    return out, len(data) - len(coder.unused_data)
 
 
-@_extractor("zstd")
-def _zstd(data: bytes) -> Iterator[File]:
-    coder, out = zstandard.ZstdDecompressor().decompressobj(), bytearray()
-    for at in range(0, len(data), 1 << 16):
+@_stream("zstd")
+def _zstd(data: bytes) -> tuple[bytes, int]:
+    coder, out, at = zstandard.ZstdDecompressor().decompressobj(), bytearray(), 0
+    while at < len(data) and not coder.eof:
         out += coder.decompress(data[at : at + (1 << 16)])
+        at = min(at + (1 << 16), len(data))
         if len(out) > MOST_BYTES:
             raise Stop("error:too-large")
-        if coder.eof:
-            break
-    yield "data", "file", bytes(out)
+    if not coder.eof:
+        raise Stop("error:truncated")
+    return bytes(out), at - len(coder.unused_data)
 
 
 def lz4_block(data: bytes, most: int = MOST_BYTES, before: bytes = b"") -> bytes:
@@ -121,29 +134,30 @@ def lz4_block(data: bytes, most: int = MOST_BYTES, before: bytes = b"") -> bytes
     return bytes(out[len(before) :])
 
 
-@_extractor("lz4")
-def _lz4(data: bytes) -> Iterator[File]:
-    """A frame: its descriptor, then blocks with their sizes, stored ones marked by the top bit."""
+@_stream("lz4")
+def _lz4(data: bytes) -> tuple[bytes, int]:
+    """A frame: its descriptor, then blocks with their sizes, stored ones marked by the top bit, up to the mark of the end."""
     flags = data[4]
     at, out = 7 + 8 * (flags >> 3 & 1) + 4 * (flags & 1), bytearray()
     while True:
+        if at + 4 > len(data):
+            raise Stop("error:truncated")
         size = int.from_bytes(data[at : at + 4], "little")
-        if at + 4 > len(data) or not size:
-            break
-        raw = data[at + 4 : at + 4 + (size & 0x7FFFFFFF)]
+        at += 4
+        if not size:
+            return bytes(out), min(at + 4 * (flags >> 2 & 1), len(data))
+        raw = data[at : at + (size & 0x7FFFFFFF)]
         if size >> 31:
             out += raw
         else:
-            before = bytes(out[-65536:]) if not flags & 0x20 else b""
-            out += lz4_block(raw, before=before)
-        at += 4 + (size & 0x7FFFFFFF) + 4 * (flags >> 4 & 1)
+            out += lz4_block(raw, before=bytes(out[-65536:]) if not flags & 0x20 else b"")
+        at += (size & 0x7FFFFFFF) + 4 * (flags >> 4 & 1)
         if len(out) > MOST_BYTES:
             raise Stop("error:too-large")
-    yield "data", "file", bytes(out)
 
 
-@_extractor("lz4_legacy")
-def _lz4_legacy(data: bytes) -> Iterator[File]:
+@_stream("lz4_legacy")
+def _lz4_legacy(data: bytes) -> tuple[bytes, int]:
     out, at = [], 4
     while at + 4 <= len(data):
         size = int.from_bytes(data[at : at + 4], "little")
@@ -151,7 +165,9 @@ def _lz4_legacy(data: bytes) -> Iterator[File]:
             break
         out.append(lz4_block(data[at + 4 : at + 4 + size]))
         at += 4 + size
-    yield "data", "file", b"".join(out)
+        if sum(map(len, out)) > MOST_BYTES:
+            raise Stop("error:too-large")
+    return b"".join(out), at
 
 
 @_extractor("tar")
@@ -215,7 +231,9 @@ def _uimage(data: bytes) -> Iterator[File]:
     size = int.from_bytes(data[12:16], "big")
     payload, codec = data[64 : 64 + size], data[31]
     if codec in (1, 3, 6):
-        payload = next((_gzip if codec == 1 else _lzma if codec == 3 else _zstd)(payload))[2]
+        payload = {1: inflate, 3: _lzma, 6: _zstd}[codec](payload)[0]
+    elif codec == 5:
+        payload = (_lz4_legacy if payload[:4] == b"\x02\x21\x4c\x18" else _lz4)(payload)[0]
     elif codec:
         raise Stop(f"unsupported:{codec}")
     yield "payload", "file", payload
@@ -262,8 +280,21 @@ def _ihex(data: bytes) -> Iterator[File]:
         yield f"0x{start:08x}.bin", "file", bytes(body)
 
 
+def _scheme(name: str) -> Callable[[bytes], Iterator[File]]:
+    def open_(data: bytes) -> Iterator[File]:
+        files = list(schemes.descrambled(data, name))
+        if not files:
+            raise Stop("error:no-key")
+        yield from files
+
+    return open_
+
+
+KNOWN.update({name: _scheme(name) for name in schemes.SCHEMES})
+
+
 def _register() -> None:
-    from . import containers, filesystems, flash  # noqa: F401  add their extractors
+    from . import containers, embedded, filesystems, flash  # noqa: F401  add their extractors
 
 
 def unpack(data: bytes, type_: str) -> tuple[list[File], str]:
@@ -288,40 +319,129 @@ def unpack(data: bytes, type_: str) -> tuple[list[File], str]:
     return files, "ok" if not left_out else "partial" if files else "error:too-large"
 
 
-SCHEMA = "parent_id long, offset_ long, type_ string, status string, path string, kind string, content binary"
+def sparse_span(data: bytes) -> int:
+    """How many bytes the chunks of a sparse image take."""
+    at = 28
+    for _ in range(int.from_bytes(data[20:24], "little")):
+        if at + 12 > len(data):
+            break
+        at += max(12, int.from_bytes(data[at + 8 : at + 12], "little"))
+    return min(at, len(data))
+
+
+#: Formats that are unpacked from where they begin first; later findings of the family are parts of them.
+_FAMILIES = {"jffs2": "jffs2", "ubi": "ubi", "ubifs": "ubi", "exfat": "exfat"}
+#: What has no length of its own: the blob's rest is given to it.
+_OPEN_ENDED = ("zip", "jffs2", "ubi", "ubifs", "exfat", "android_sparse")
+
+
+def has_executable_magic(data: bytes) -> bool:
+    """FN-21: MZ, ELF and Mach-O."""
+    return data[:2] == b"MZ" or data[:4] in (b"\x7fELF", b"\xfe\xed\xfa\xce", b"\xfe\xed\xfa\xcf", b"\xce\xfa\xed\xfe", b"\xcf\xfa\xed\xfe")
 
 
-def _level(batches: Iterator[pa.RecordBatch], documents: list[str]) -> Iterator[pa.RecordBatch]:
-    from ..sources import catalog
+def unpacked(data: bytes, found: list[ident.Finding], depth: int = 1, unpack_executables: bool = False) -> Iterator[tuple[ident.Finding, list[File], str]]:
+    """INT-11: findings in order with their files and status, without those that an earlier one covers.
 
+    A sparse image covers what is inside, a stream what it took, a flash file system all later findings of its family.
+    """
     _register()
-    matcher = ident.Matcher(catalog.without_redundant([s for k, t in enumerate(documents) for s in catalog.load_text(t, priority=k)[0]]))
-    schema = pa.schema([("parent_id", pa.int64()), ("offset_", pa.int64()), ("type_", pa.string()), ("status", pa.string()), ("path", pa.string()), ("kind", pa.string()), ("content", pa.binary())])
+    sparse_end = stream_end = 0
+    families: set[str] = set()
+    if depth > 1 and not unpack_executables and has_executable_magic(data):
+        if any(f.type in KNOWN and f.confidence >= ident.OWNER for f in found):
+            yield found[0], [], "skipped:executable"
+        return
+    for f in found:
+        if f.type not in KNOWN or (depth > 1 and f.confidence < ident.OWNER):
+            continue
+        if (f.type != "android_sparse" and f.offset < sparse_end) or (f.type not in STREAMS and f.offset < stream_end):
+            continue
+        family = _FAMILIES.get(f.type)
+        if family in families:
+            continue
+        if family:
+            families.add(family)
+        if depth > 1 and not unpack_executables and f.type == "cfbf":
+            yield f, [], "skipped:executable"
+            continue
+        rest = data[f.offset :]
+        if f.type in STREAMS:
+            try:
+                content, used = STREAMS[f.type](rest)
+                files, status, stream_end = [("data", "file", content)], "ok", max(stream_end, f.offset + used)
+                if len(content) > MOST_CELL:
+                    files, status = [], "error:too-large"
+            except Exception:  # the status says what it was
+                files, status = unpack(rest, f.type)
+        else:
+            files, status = unpack(rest if f.type in _OPEN_ENDED else rest[: f.size], f.type)
+            if f.type == "android_sparse" and files:
+                sparse_end = max(sparse_end, f.offset + sparse_span(rest))
+        if depth == 1 or files:
+            yield f, files, status
+
+
+#: Results of more bytes than the first that are more than the second times their finding's size aren't looked into.
+BOMB_BYTES, BOMB_RATIO = 10 << 20, 1000
+
+_ROWS = pa.schema([("root_id", pa.int64()), ("parent_id", pa.int64()), ("offset_", pa.int64()), ("type_", pa.string()), ("status", pa.string()), ("path", pa.string()), ("kind", pa.string()), ("capped", pa.string()), ("content", pa.binary())])
+SCHEMA = "root_id long, parent_id long, offset_ long, type_ string, status string, path string, kind string, capped string, content binary"
+
+
+def _level(batches: Iterator[pa.RecordBatch], documents: list[str], depth: int, unpack_executables: bool) -> Iterator[pa.RecordBatch]:
+    matcher = ident.matcher_of(tuple(documents))
     for batch in batches:
-        for blob, content in zip(batch.column("blob_id").to_pylist(), batch.column("content"), strict=True):
+        for root, blob, content in zip(batch.column("root_id").to_pylist(), batch.column("blob_id").to_pylist(), batch.column("content"), strict=True):
             data, rows, size = content.as_py() or b"", [], 0
-            for f in ident.suppress(ident.resolve(ident.scan(data, matcher), len(data))):
-                if f.type in KNOWN and f.confidence >= ident.OWNER:
-                    files, status = unpack(data[f.offset :] if f.type in ("gzip", "zip") else data[f.offset : f.offset + f.size], f.type)
-                    for p, k, c in files or [(None, None, None)]:
-                        if rows and size + len(c or b"") > BATCH:
-                            yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                            rows, size = [], 0
-                        rows.append({"parent_id": blob, "offset_": f.offset, "type_": f.type, "status": status, "path": p, "kind": k, "content": c})
-                        size += len(c or b"")
+            for f, files, status in unpacked(data, ident.findings(data, matcher), depth, unpack_executables):
+                total = sum(len(c) for *_, c in files)
+                bomb = "ratio" if total > BOMB_BYTES and f.size > 0 and total // f.size > BOMB_RATIO else None
+                for p, k, c in files or [(None, None, None)]:
+                    if rows and size + len(c or b"") > BATCH:
+                        yield pa.RecordBatch.from_pylist(rows, schema=_ROWS)
+                        rows, size = [], 0
+                    rows.append({"root_id": root, "parent_id": blob, "offset_": f.offset, "type_": f.type, "status": status, "path": p, "kind": k, "capped": bomb, "content": c})
+                    size += len(c or b"")
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                yield pa.RecordBatch.from_pylist(rows, schema=_ROWS)
+
 
+def extract(blobs: DataFrame, documents: list[str], depth: int = MOST_DEPTH, unpack_executables: bool = False, most_files: int = MOST_FILES, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """All files that blobs hold, at any depth: depth, blob_id, root_id, parent_id, offset_, type_, status, path, kind, capped, content.
 
-def extract(blobs: DataFrame, documents: list[str], depth: int = MOST_DEPTH) -> DataFrame:
-    """All files that blobs hold, at any depth: depth, blob_id, parent_id, offset_, type_, status, path, kind, content."""
-    level, out = blobs.select(F.col("blob_id").cast("long").alias("blob_id"), "content"), None
+    AGG-15, LIM-3: a blob whose files so far reach a limit isn't unpacked any deeper; capped says so on a row of its own
+    (max-files or max-bytes), as it does on the files of a finding that grew beyond the ratio.
+    """
+    level, out, totals = blobs.select(F.col("blob_id").cast("long").alias("blob_id"), F.col("blob_id").cast("long").alias("root_id"), "content"), None, None
+    nothing = F.lit(None)
     for k in range(1, depth + 1):
-        files = level.mapInArrow(partial(_level, documents=documents), SCHEMA)
-        files = files.select(F.lit(k).alias("depth"), F.xxhash64("parent_id", "offset_", "path").alias("blob_id"), "*")
-        files = files.checkpoint() if files.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else files.persist()
+        files = level.select("root_id", "blob_id", "content").mapInArrow(partial(_level, documents=documents, depth=k, unpack_executables=unpack_executables), SCHEMA)
+        files = cut_lineage(files.select(F.lit(k).alias("depth"), F.xxhash64("parent_id", "offset_", "path").alias("blob_id"), "*"))
         out = files if out is None else out.unionByName(files)
-        level = files.where((F.col("kind") == "file") & (F.octet_length("content") >= LEAST_DESCENT)).select("blob_id", "content")
-        if not level.limit(1).count():
+        level = files.where((F.col("kind") == "file") & (F.octet_length("content") >= LEAST_DESCENT) & F.col("capped").isNull())
+        if k == depth or not level.limit(1).count():
             break
+        made = files.where("kind = 'file'").groupBy("root_id").agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length("content").cast("long")).alias("bytes"))
+        totals = made if totals is None else totals.unionByName(made).groupBy("root_id").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
+        totals = cut_lineage(totals)
+        full = totals.where((F.col("files") >= most_files) | (F.col("bytes") >= most_bytes))
+        if full.limit(1).count():
+            why = F.when(F.col("files") >= most_files, "max-files").otherwise("max-bytes")
+            stopped = level.select("root_id").distinct().join(full, "root_id").select(
+                F.lit(k + 1).alias("depth"), nothing.cast("long").alias("blob_id"), "root_id", nothing.cast("long").alias("parent_id"), nothing.cast("long").alias("offset_"), nothing.cast("string").alias("type_"),
+                F.lit("capped").alias("status"), nothing.cast("string").alias("path"), nothing.cast("string").alias("kind"), why.alias("capped"), nothing.cast("binary").alias("content"),
+            )
+            out, level = out.unionByName(stopped), level.join(full.select("root_id"), "root_id", "left_anti")
     return out
+
+
+def manifest(rows: DataFrame) -> DataFrame:
+    """SNK-5: a JSON document for each blob: what was unpacked from where, with numbers and status, in order, and why it stopped."""
+    entry = rows.where("status <> 'capped'").groupBy("root_id", "depth", "parent_id", "offset_", "type_", "status").agg(
+        F.count_if(F.col("kind") == "file").alias("files"), F.count_if(F.col("kind") == "symlink").alias("symlinks"), F.sum(F.coalesce(F.octet_length("content"), F.lit(0)).cast("long")).alias("bytes")
+    )
+    entries = entry.groupBy("root_id").agg(F.array_sort(F.collect_list(F.struct("depth", F.col("offset_").alias("offset"), F.col("type_").alias("type"), "parent_id", "status", "files", "symlinks", "bytes"))).alias("entries"))
+    capped = rows.groupBy("root_id").agg(F.min("capped").alias("cap_reason"), F.count_if(F.col("status") == "skipped:executable").alias("skipped_nested_executables"))
+    doc = F.struct(F.col("root_id").alias("source"), F.col("cap_reason").isNotNull().alias("capped"), "cap_reason", "skipped_nested_executables", F.transform(F.coalesce("entries", F.array().cast(entries.schema["entries"].dataType)), lambda e: e.dropFields("parent_id")).alias("entries"))
+    return capped.join(entries, "root_id", "left").select(F.col("root_id").alias("blob_id"), F.to_json(doc).alias("json"))

@@ -25,6 +25,8 @@ class Image:
     blocks: int = 0
     data_offset: int = 0
     names: dict[int, str] = field(default_factory=dict)
+    #: volume -> (blocks reserved for it, whether it is static)
+    kinds: dict[int, tuple[int, bool]] = field(default_factory=dict)
     #: erase block -> (volume, logical block)
     held: dict[int, tuple[int, int]] = field(default_factory=dict)
 
@@ -32,10 +34,25 @@ class Image:
     def end(self) -> int:
         return self.start + self.blocks * self.peb
 
-    def volume_at(self, offset: int) -> str | None:
-        """JOI-5: the volume that the byte belongs to."""
+    def volume_of(self, offset: int) -> int | None:
+        """JOI-5: the number of the volume that the byte belongs to."""
         held = self.held.get((offset - self.start) // self.peb) if self.start <= offset < self.end else None
-        return self.names.get(held[0]) if held else None
+        return held[0] if held else None
+
+    def volume_at(self, offset: int) -> str | None:
+        """The name of the volume that the byte belongs to."""
+        return self.names.get(self.volume_of(offset))
+
+    def room(self, volume: int) -> int:
+        """The bytes reserved for a volume."""
+        return self.kinds.get(volume, (0, False))[0] * (self.peb - self.data_offset)
+
+    def note(self, data: bytes, volume: int) -> str:
+        """What a volume's first block begins like, or else its kind."""
+        at = next((self.start + k * self.peb + self.data_offset for k, key in self.held.items() if key == (volume, 0)), None)
+        head = data[at : at + 4] if at is not None else b""
+        known = {b"hsqs": "squashfs", b"sqsh": "squashfs", b"\x31\x18\x10\x06": "ubifs", b"\x27\x05\x19\x56": "uimage", b"\xd0\x0d\xfe\xed": "dtb"}  # Fixed values: first bytes of what volumes hold
+        return known.get(head) or ("static" if self.kinds.get(volume, (0, False))[1] else "dynamic")
 
 
 def parse(data: bytes, start: int = 0) -> Image:
@@ -71,7 +88,8 @@ def parse(data: bytes, start: int = 0) -> Image:
         record = table[k * RECORD : (k + 1) * RECORD]
         if checksums.crc32_ubi(record[:168]) == int.from_bytes(record[168:], "big") and any(record[:4]):
             n = int.from_bytes(record[14:16], "big")
-            image.names[k] = record[16 : 16 + n].decode("latin-1")
+            image.names[k] = "".join(chr(c) if 0x20 <= c < 0x7F else "." for c in record[16 : 16 + n])
+            image.kinds[k] = (int.from_bytes(record[:4], "big"), record[12] == 2)
     return image
 
 

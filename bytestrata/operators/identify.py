@@ -7,9 +7,11 @@ operators and aggregations of this library.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
-from functools import partial
+from functools import lru_cache, partial
+from itertools import groupby
 
 import ahocorasick
 import pyarrow as pa
@@ -40,9 +42,10 @@ class Finding:
     compression: str = ""
     coalesce: bool = False
     coalesced: int = 1
-    members: list[tuple[str, int, int]] = field(default_factory=list)  # name, offset, size
-    diagnostics: list[tuple[str, str]] = field(default_factory=list)  # severity, code
+    members: list[validators.Member] = field(default_factory=list)
+    diagnostics: list[tuple[str, ...]] = field(default_factory=list)  # severity, code, message
     also: list[Finding] = field(default_factory=list)
+    signature: Signature | None = None  # what the finding is documented by
 
     def order(self) -> tuple:
         return (self.offset, -self.confidence, self.size, self.type.encode(), self.endian != "little")
@@ -52,8 +55,15 @@ class Matcher:
     """MAT-1, MAT-2: all overlapping matches of all patterns, by their end, longer patterns first."""
 
     def __init__(self, signatures: list[Signature]):
+        from . import embedded  # noqa: F401  adds validators, and needs this module
+
         usable = [s for s in signatures if not s.validator or s.validator in validators.KNOWN]
-        self.anchored = [(s, raw, endian) for s in usable if s.short for raw, endian in s.magics]
+        anchored = [(s, raw, endian) for s in usable if s.short for raw, endian in s.magics]
+        #: (place, length) -> bytes -> what has them there: a lookup each instead of a comparison a signature
+        self.anchored: dict[tuple[int, int], dict[bytes, list[tuple[int, Signature, str]]]] = {}
+        for i, (s, raw, endian) in enumerate(anchored):
+            self.anchored.setdefault((s.magic_offset, len(raw)), {}).setdefault(raw, []).append((i, s, endian))
+        self.n_anchored = len(anchored)
         self.anywhere = [(s, raw, endian) for s in usable if not s.short for raw, endian in s.magics]
         by_raw: dict[str, list[int]] = {}
         for i, (_, raw, _) in enumerate(self.anywhere):
@@ -68,12 +78,12 @@ class Matcher:
     def hits(self, data: bytes) -> list[tuple[int, int, int, Signature, str]]:
         """(end, minus length, place in the set, signature, endian)"""
         found = []
-        for i, (s, raw, endian) in enumerate(self.anchored):  # MAT-4: no scan for what stands at one place
-            if data.startswith(raw, s.magic_offset):
-                found.append((s.magic_offset + len(raw), -len(raw), i, s, endian))
+        for (place, size), known in self.anchored.items():  # MAT-4: no scan for what stands at one place
+            for i, s, endian in known.get(data[place : place + size], ()):
+                found.append((place + size, -size, i, s, endian))
         if not self.empty:
             for last, (size, ids) in self.automaton.iter(data.decode("latin-1")):
-                found += [(last + 1, -size, len(self.anchored) + i, self.anywhere[i][0], self.anywhere[i][2]) for i in ids]
+                found += [(last + 1, -size, self.n_anchored + i, self.anywhere[i][0], self.anywhere[i][2]) for i in ids]
         return sorted(found, key=lambda h: h[:3])
 
 
@@ -88,7 +98,7 @@ def candidate(data: bytes, base: int, s: Signature, endian: str) -> Finding | No
     fields |= {"_avail": avail, "_offset": base}
     if not all(rule(fields) for rule in s.constraints):
         return None
-    f = Finding(base, 0, s.name, s.category, s.tier, endian, _TIER_TEXT[s.tier] if s.tier else "", coalesce=s.coalesce)
+    f = Finding(base, 0, s.name, s.category, s.tier, endian, _TIER_TEXT[s.tier] if s.tier else "", coalesce=s.coalesce, signature=s)
     if not all(rule(fields) for rule in s.soft):
         return replace(f, confidence=25, evidence=s.soft_evidence)
     if s.size:
@@ -123,7 +133,7 @@ def scan(data: bytes, matcher: Matcher) -> list[Finding]:
             continue
         found.append(f)
         if f.members and f.type in ("gpt", "mbr", "esp32_partition_table"):
-            starts += [o for _, o, _ in f.members]
+            starts += [m.offset for m in f.members]
         if f.confidence >= OWNER and f.size > 0:
             stop = f.offset + f.size
             ahead = [x for x in starts if x > f.offset]
@@ -133,7 +143,7 @@ def scan(data: bytes, matcher: Matcher) -> list[Finding]:
 
 def resolve(found: list[Finding], length: int) -> list[Finding]:
     """INT-1 to INT-6."""
-    starts = {o for f in found for _, o, _ in f.members if f.type in ("gpt", "mbr", "esp32_partition_table")}
+    starts = {m.offset for f in found for m in f.members if f.type in ("gpt", "mbr", "esp32_partition_table")}
     kept: list[Finding] = []
     owner, end = None, -1
     for f in sorted(found, key=Finding.order):
@@ -164,36 +174,98 @@ def resolve(found: list[Finding], length: int) -> list[Finding]:
 
 
 def suppress(found: list[Finding]) -> list[Finding]:
-    """JOI-2 within one blob."""
-    boxes = [(g.offset, g.offset + g.size) for g in found if g.category in ENCLOSING and g.size > 0]
-    return [f for f in found if not any(a <= f.offset and f.offset + max(f.size, 1) <= b and (a, b) != (f.offset, f.offset + max(f.size, 1)) for a, b in boxes)]
+    """JOI-2 within one blob: what lies, as a proper part, inside a sized container goes; two running maxima."""
+    out: list[Finding] = []
+    earlier = -1  # how far containers that begin before this offset reach
+    for _, group in groupby(found, key=lambda f: f.offset):
+        here = list(group)
+        ends = [f.offset + f.size for f in here if f.category in ENCLOSING and f.size > 0]
+        beside = max(ends, default=-1)
+        for f in here:
+            end = f.offset + max(f.size, 1)
+            if earlier < end and beside <= end:
+                out.append(f)
+        earlier = max(earlier, beside)
+    return out
+
+
+def enrich(data: bytes, found: list[Finding]) -> list[Finding]:
+    """INT-9, JOI-4, JOI-5: one finding for each UBI image, with its volumes as members.
+
+    Keys and certificates inside belong to the volume whose block holds them; those in free blocks stay findings, which
+    the suppression of what lies inside containers then drops. All else inside is what the volumes hold, and goes. Of several images that overlap the first counts.
+    """
+    from . import flash  # it registers extractors, which need this module
+
+    images: list[flash.Image] = []
+    for f in found:
+        if f.type == "ubi" and not any(x.start <= f.offset < x.end for x in images):
+            try:
+                image = flash.parse(data, f.offset)
+            except (flash.Stop, struct.error, IndexError, ValueError):
+                continue
+            if image.names:
+                images.append(image)
+    if not images:
+        return found
+    boxes, volumes, out = [], [], []
+    for x in images:
+        n = len(x.names)
+        box = Finding(x.start, x.end - x.start, "ubi", "filesystem", 99, "big", f"volume table with {n} volume{'s' * (n != 1)}")
+        members = {k: validators.Member(name, None, x.room(k), x.note(data, k)) for k, name in sorted(x.names.items())}
+        box.members = list(members.values())
+        boxes.append(box)
+        volumes.append(members)
+    for f in found:
+        k = next((k for k, x in enumerate(images) if x.start <= f.offset < x.end), None)
+        if k is None:
+            out.append(f)
+        elif f.category == "crypto":
+            member = volumes[k].get(images[k].volume_of(f.offset))
+            (member.children if member else out).append(f)
+    return sorted([*out, *boxes], key=lambda f: f.offset)
 
 
+_SCHEMA = pa.schema([
+    ("blob_id", pa.int64()), ("offset_", pa.int64()), ("size_", pa.int64()), ("type_", pa.string()), ("category", pa.string()), ("confidence", pa.int32()), ("tier", pa.string()), ("evidence", pa.string()), ("endian", pa.string()),
+    ("version", pa.string()), ("label", pa.string()), ("compression", pa.string()), ("description", pa.string()), ("vendor", pa.string()), ("references", pa.list_(pa.struct([("title", pa.string()), ("url", pa.string())]))), ("limitations", pa.list_(pa.string())),
+    ("coalesced_count", pa.int32()), ("members", pa.list_(pa.struct([("name", pa.string()), ("offset", pa.int64()), ("size", pa.int64()), ("note", pa.string()), ("children", pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64()), ("type", pa.string()), ("category", pa.string()), ("confidence", pa.int32())])))]))),
+    ("diagnostics", pa.list_(pa.struct([("severity", pa.string()), ("code", pa.string()), ("message", pa.string())]))), ("also_matched", pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64()), ("type", pa.string()), ("confidence", pa.int32())]))),
+])
 SCHEMA = (
     "blob_id long, offset_ long, size_ long, type_ string, category string, confidence int, tier string, evidence string, endian string, version string, label string, compression string, "
-    "coalesced_count int, members array<struct<name:string,offset:long,size:long>>, diagnostics array<struct<severity:string,code:string>>, also_matched array<struct<offset:long,size:long,type:string,confidence:int>>"
+    "description string, vendor string, references array<struct<title:string,url:string>>, limitations array<string>, coalesced_count int, "
+    "members array<struct<name:string,offset:long,size:long,note:string,children:array<struct<offset:long,size:long,type:string,category:string,confidence:int>>>>, "
+    "diagnostics array<struct<severity:string,code:string,message:string>>, also_matched array<struct<offset:long,size:long,type:string,confidence:int>>"
 )
 
 
-def _rows(batches: Iterator[pa.RecordBatch], signatures: list[Signature], all_: bool) -> Iterator[pa.RecordBatch]:
-    matcher = Matcher(signatures)
-    schema = pa.schema([
-        ("blob_id", pa.int64()), ("offset_", pa.int64()), ("size_", pa.int64()), ("type_", pa.string()), ("category", pa.string()), ("confidence", pa.int32()), ("tier", pa.string()), ("evidence", pa.string()), ("endian", pa.string()),
-        ("version", pa.string()), ("label", pa.string()), ("compression", pa.string()), ("coalesced_count", pa.int32()), ("members", pa.list_(pa.struct([("name", pa.string()), ("offset", pa.int64()), ("size", pa.int64())]))),
-        ("diagnostics", pa.list_(pa.struct([("severity", pa.string()), ("code", pa.string())]))), ("also_matched", pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64()), ("type", pa.string()), ("confidence", pa.int32())]))),
-    ])
+def _place(f: Finding) -> dict:
+    return {"offset": f.offset, "size": f.size, "type": f.type, "category": f.category, "confidence": f.confidence}
+
+
+def _row(blob: int, f: Finding) -> tuple:
+    """A finding in the order of the schema."""
+    s = f.signature
+    return (
+        blob, f.offset, f.size, f.type, f.category, f.confidence, _TIER_NAMES[f.confidence], f.evidence, f.endian, f.version, f.label, f.compression,
+        s.description if s else "", s.vendor if s else "", [{"title": a, "url": b} for a, b in s.references] if s else [], s.limitations if s else [], f.coalesced,
+        [{"name": m.name, "offset": m.offset, "size": m.size, "note": m.note, "children": [_place(c) for c in m.children]} for m in f.members],
+        [{"severity": d[0], "code": d[1], "message": d[2] if len(d) > 2 else ""} for d in f.diagnostics], [_place(g) for g in f.also],
+    )
+
+
+def findings(data: bytes, matcher: Matcher, all_: bool = False) -> list[Finding]:
+    """A blob's findings; with all_, also those inside others."""
+    found = resolve(scan(data, matcher), len(data))
+    return found if all_ else suppress(enrich(data, found))
+
+
+def _rows(batches: Iterator[pa.RecordBatch], matcher: Matcher, all_: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for blob, content in zip(batch.column("blob_id").to_pylist(), batch.column("content"), strict=True):
-            data = content.as_py() or b""
-            found = resolve(scan(data, matcher), len(data))
-            for f in found if all_ else suppress(found):
-                rows.append({
-                    "blob_id": blob, "offset_": f.offset, "size_": f.size, "type_": f.type, "category": f.category, "confidence": f.confidence, "tier": _TIER_NAMES[f.confidence], "evidence": f.evidence, "endian": f.endian,
-                    "version": f.version, "label": f.label, "compression": f.compression, "coalesced_count": f.coalesced, "members": [{"name": n, "offset": o, "size": s} for n, o, s in f.members],
-                    "diagnostics": [{"severity": a, "code": b} for a, b in f.diagnostics], "also_matched": [{"offset": g.offset, "size": g.size, "type": g.type, "confidence": g.confidence} for g in f.also],
-                })
-        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        rows = [_row(blob, f) for blob, content in zip(batch.column("blob_id").to_pylist(), batch.column("content"), strict=True) for f in findings(content.as_py() or b"", matcher, all_)]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(_SCHEMA)
+        yield pa.RecordBatch.from_arrays([pa.array(c, field_.type) for c, field_ in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
 def identify(blobs: DataFrame, documents: list[str], all_: bool = False) -> DataFrame:
@@ -202,9 +274,14 @@ def identify(blobs: DataFrame, documents: list[str], all_: bool = False) -> Data
     return own.mapInArrow(partial(_from_text, documents=documents, all_=all_), SCHEMA)
 
 
-def _from_text(batches: Iterator[pa.RecordBatch], documents: list[str], all_: bool) -> Iterator[pa.RecordBatch]:
-    """Rules are closures, which don't travel; the signatures' texts do."""
+@lru_cache(maxsize=4)
+def matcher_of(documents: tuple[str, ...]) -> Matcher:
+    """The matcher of some documents; a worker keeps it for all its tasks."""
     from ..sources import catalog
 
-    signatures = [s for k, text in enumerate(documents) for s in catalog.load_text(text, priority=k)[0]]
-    yield from _rows(batches, catalog.without_redundant(signatures), all_)
+    return Matcher(catalog.without_redundant([s for k, text in enumerate(documents) for s in catalog.load_text(text, priority=k)[0]]))
+
+
+def _from_text(batches: Iterator[pa.RecordBatch], documents: list[str], all_: bool) -> Iterator[pa.RecordBatch]:
+    """Rules are closures, which don't travel; the signatures' texts do."""
+    yield from _rows(batches, matcher_of(tuple(documents)), all_)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .extract import Stop
+
 #: LIM-1: a longer list is cut, and says so.
 MOST_MEMBERS = 5000
 Member = tuple[str, int, str]
@@ -66,7 +69,15 @@ def _cab(data: bytes, at: int) -> Iterator[Member]:
         here = end + 1
 
 
-KNOWN: dict[str, Callable[[bytes, int], Iterator[Member]]] = {"tar": _tar, "cpio": _cpio, "zip": _zip, "cab": _cab}
+def _cfbf(data: bytes, at: int) -> Iterator[Member]:
+    """LST-5: storages and streams with their paths."""
+    from .embedded import Compound
+
+    for path, e in Compound(data[at:]).walk():
+        yield path, int.from_bytes(e[120:124], "little") if e[66] == 2 else 0, "stream" if e[66] == 2 else "storage"
+
+
+KNOWN: dict[str, Callable[[bytes, int], Iterator[Member]]] = {"tar": _tar, "cpio": _cpio, "zip": _zip, "cab": _cab, "cfbf": _cfbf}
 
 
 def members(data: bytes, type_: str, offset: int) -> tuple[list[Member], bool]:
@@ -77,7 +88,7 @@ def members(data: bytes, type_: str, offset: int) -> tuple[list[Member], bool]:
             if len(out) == MOST_MEMBERS:
                 return out, True
             out.append(m)
-    except (ValueError, IndexError):
+    except (ValueError, IndexError, Stop, struct.error):
         pass
     return out, False
 

@@ -69,11 +69,19 @@ def by_type(primary: DataFrame) -> DataFrame:
     return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("files"), "primary_type")))
 
 
+def _children(rows: DataFrame, category: str | None = None) -> Column:
+    """How many findings, of one category or any, lie in the members of a row's finding."""
+    if "members" not in rows.columns:
+        return F.lit(0)
+    inside = F.flatten(F.transform("members", lambda m: m["children"]))
+    return F.coalesce(F.size(F.filter(inside, lambda c: c["category"] == category) if category else inside), F.lit(0))
+
+
 def totals(blobs: DataFrame, rows: DataFrame) -> DataFrame:
-    """AGG-8: one row of counts over all blobs, also those without findings."""
+    """AGG-8: one row of counts over all blobs, also those without findings; findings inside members count as findings."""
     zero = F.lit(0).cast("long")
     of_blobs = blobs.select(F.lit(1).cast("long").alias("file_count"), F.coalesce("length", zero).alias("bytes"), zero.alias("finding_count"), zero.alias("crypto_count"))
-    of_rows = rows.select(zero.alias("file_count"), zero.alias("bytes"), F.lit(1).cast("long").alias("finding_count"), (F.col("category") == "crypto").cast("long").alias("crypto_count"))
+    of_rows = rows.select(zero.alias("file_count"), zero.alias("bytes"), (_children(rows) + 1).cast("long").alias("finding_count"), (F.col("category") == "crypto").cast("long").alias("crypto_count"))
     return of_blobs.unionByName(of_rows).agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in ("file_count", "bytes", "finding_count", "crypto_count")])
 
 
@@ -140,8 +148,8 @@ def assessments(blobs: DataFrame, rows: DataFrame, regions: DataFrame | None = N
     blobs: blob_id and length, and with regions the whole blob's entropy. regions: the unidentified ranges, (blob_id, size_,
     entropy), where entropies are asked for.
     """
-    types = rows.groupBy("blob_id", "type_").agg(F.min("place").alias("first"), F.sum("size_").alias("bytes"), F.sum((F.col("category") == "crypto").cast("int")).alias("keys"))
-    per = types.groupBy("blob_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "type_"))), lambda x: x["type_"]), " + ").alias("types"), F.sum("bytes").alias("covered"), F.sum("keys").alias("keys"))
+    types = rows.groupBy("blob_id", "type_").agg(F.min("place").alias("first"), F.sum("size_").alias("bytes"), F.sum((F.col("category") == "crypto").cast("int") + _children(rows, "crypto")).cast("int").alias("keys"))
+    per = types.groupBy("blob_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "type_"))), lambda x: x["type_"]), " + ").alias("types"), F.sum("bytes").alias("covered"), F.sum("keys").cast("int").alias("keys"))
     joined = blobs.join(per, "blob_id", "left")
     if regions is None:
         line = F.coalesce("types", F.lit("no known structures identified"))

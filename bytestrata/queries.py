@@ -24,13 +24,13 @@ def _query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import blob_queries  # noqa: F401  registers its own
+    from . import blob_queries, sample_queries  # noqa: F401  register their own
 
     return {k: f for k, (f, _) in _FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import blob_queries  # noqa: F401
+    from . import blob_queries, sample_queries  # noqa: F401
 
     return {k: sql for k, (_, sql) in _FOUND.items() if sql}
 

@@ -34,6 +34,9 @@ class Signature:
     tier: int = 25
     validator: str = ""
     description: str = ""
+    vendor: str = ""
+    references: list[tuple[str, str]] = field(default_factory=list)  # title, address
+    limitations: list[str] = field(default_factory=list)
     priority: int = 0
 
 
@@ -61,9 +64,10 @@ def signature(doc: dict, priority: int = 0) -> Signature:
     if tier not in TIERS:
         raise ValueError(f"no tier: {tier}")
     size = _rules([doc["size"]], known)[0] if doc.get("size") else None
+    about = doc.get("doc", {})
     return Signature(
         doc["name"], doc.get("category", "generic"), magics, int(doc.get("magic_offset", 0)), bool(doc.get("short")), header, constraints, _rules(doc.get("soft_constraints", ()), known),
-        doc.get("soft_evidence", ""), size, bool(doc.get("size_clamp")), bool(doc.get("coalesce")), TIERS[tier], doc.get("validator", ""), doc.get("doc", {}).get("description", ""), priority,
+        doc.get("soft_evidence", ""), size, bool(doc.get("size_clamp")), bool(doc.get("coalesce")), TIERS[tier], doc.get("validator", ""), about.get("description", ""), about.get("vendor", ""), [(r.get("title", ""), r.get("url", "")) for r in about.get("reference", ())], list(about.get("limitations", ())), priority,
     )
 
 
