@@ -42,7 +42,7 @@ def human_size(size: Column) -> Column:
     """FN-17: bytes in the largest binary unit that leaves one or more, with one decimal above bytes."""
     out = F.concat(size.cast("string"), F.lit(" B"))
     for unit, bits in (("KiB", 10), ("MiB", 20), ("GiB", 30)):
-        out = F.when(size >= 1 << bits, F.concat(F.format_number(F.round(size / (1 << bits), 1), "0.0"), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(size >= 1 << bits, F.concat(F.format_string("%.1f", size / (1 << bits)), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .blob_queries import _packaged
 from .functions import checksums, ciphers, expr, layout, lzari, lzo
-from .operators import containers, embedded, extract, identify, listing, sinks, summaries
+from .functions.texts import human_size
+from .operators import containers, embedded, extract, identify, listing, reports, sinks, summaries
 from .queries import _query
 from .samples import images, stores
 from .sources import catalog, tables
@@ -366,3 +367,58 @@ def path_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sensitive_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-20."""
     return _vectors(spark, [(k,) for k in ("sta.pswd", "ap.authmode", "API_TOKEN", "hostname", "priv_data", "keyboard")], "name string", lambda r: str(embedded.is_sensitive(r["name"])).lower())
+
+
+@_query("""SELECT * FROM (VALUES ('a', '[warn: sensitive-key ×3] [info: crc] [err: bad]'), ('b', '[info: other-note]')) AS t(name, tags)""")
+def diagnostic_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-16: equal tags with their number, without their type before them."""
+    d = lambda severity, code: (severity, code, "m")
+    many = [d("warning", "nvs-sensitive-key"), d("info", "nvs-crc"), d("warning", "nvs-sensitive-key"), d("error", "bad"), d("warning", "nvs-sensitive-key")]
+    rows = [(1, 0, "nvs", many), (2, 0, "tar", [d("info", "other-note")])]
+    found = spark.createDataFrame(rows, "blob_id long, offset_ long, type_ string, diagnostics array<struct<severity:string,code:string,message:string>>")
+    return reports.tags(found).select(F.when(F.col("blob_id") == 1, "a").otherwise("b").alias("name"), "tags")
+
+
+@_query("""SELECT * FROM (VALUES ('image.sxv', 0, '0x00000000  4.0 KiB  sxverity  consistent'), ('image.sxv', 1, '0x00001000  448 B  romfs  consistent'), ('kernel.uimage', 0, '0x00000000  93 B  uimage  verified  "Linux"  [info: payload-endian-unknown]')) AS t(sample, nth, line)""")
+def findings_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-3."""
+    blobs = _samples(spark, "image.sxv", "kernel.uimage")
+    first = F.row_number().over(reports.Window.partitionBy("blob_id").orderBy("nth")) - 1
+    return reports.tree(identify.identify(blobs, _packaged())).withColumn("nth", first).join(blobs.select("blob_id", "sample"), "blob_id").select("sample", "nth", "line")
+
+
+@_query(f"""WITH n AS (SELECT l_orderkey AS path, l_linenumber AS offset_, l_shipmode AS type_ FROM (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, 't' || l_partkey % 7 AS l_shipmode FROM lineitem WHERE l_suppkey % 6 IN (0, 1, 3, 5)) x),
+    p AS (SELECT printf('%09d', path) AS path, offset_, type_ FROM n)
+    SELECT * FROM (SELECT * FROM p ORDER BY path, offset_, type_ LIMIT {reports.SHOWN}) UNION ALL SELECT NULL, NULL, '… and ' || (SELECT count(*) - {reports.SHOWN} FROM p) || ' more'""")
+def notable_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LIM-2 over an order's lines, as paths by number."""
+    rows = tables.read(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS blob_id", "CAST(l_linenumber AS BIGINT) AS offset_", "concat('t', l_partkey % 7) AS type_", "CASE WHEN l_suppkey % 6 IN (0, 1, 3, 5) THEN 'crypto' ELSE 'image' END AS category")
+    blobs = tables.read(spark, sf_dir, "orders").selectExpr("o_orderkey AS blob_id", "lpad(CAST(o_orderkey AS STRING), 9, '0') AS path")
+    return reports.notable(blobs, rows)
+
+
+@_query("""SELECT * FROM (VALUES ('schema_version', '1'), ('root', 'samples'), ('file_count', '4'), ('files', '4'), ('assessment', '4 files: 1 gzip, 1 private_key, 1 tar; 1 key/cert'), ('by_type', 'gzip=1 private_key=1 tar=1 unknown=1'), ('notable', 'id_ed25519:private_key')) AS t(name, result)""")
+def tree_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-2: the whole document, put together and read back."""
+    blobs = _samples(spark, "archive.tar", "blob.gz", "id_ed25519", "config.txt").withColumnRenamed("sample", "path")
+    rows = reports.tree_json(blobs, identify.identify(blobs, _packaged()), "samples")
+    text = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "path", "json"))), lambda x: x["json"]), "\n").alias("json"))
+    d = F.from_json("json", "struct<schema_version:string,root:string,files:array<struct<path:string>>,file_count:string,assessment:string,by_type:map<string,long>,notable:array<struct<path:string,type:string>>>")
+    types = F.array_join(F.transform(F.array_sort(F.map_entries(d["by_type"])), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), " ")
+    noted = F.array_join(F.transform(d["notable"], lambda e: F.concat(e["path"], F.lit(":"), e["type"])), " ")
+    found = {"schema_version": d["schema_version"], "root": d["root"], "file_count": d["file_count"], "files": F.size(d["files"]).cast("string"), "assessment": d["assessment"], "by_type": types, "notable": noted}
+    return text.select(F.explode(F.create_map(*[x for k, v in found.items() for x in (F.lit(k), v)])).alias("name", "result"))
+
+
+@_query("""SELECT * FROM (VALUES (1, 1, '0x00000000-uimage: 1 files, 10.0 KiB'), (1, 2, '  0x00000000-tar: 2 files, 308 B'), (3, 1, '0x00000000-gzip: 1 files, 424 B'), (3, 2, '  0x00000000-elf: skipped:executable')) AS t(root_id, depth, line)""")
+def extraction_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-4."""
+    rows = reports.extraction_tree(extract.extract(_nested(spark).where("blob_id in (1, 3)"), _packaged()))
+    return rows.select(F.col("root_id").cast("int").alias("root_id"), "depth", "line")
+
+
+@_query("""SELECT * FROM (VALUES (0, '0 B'), (1023, '1023 B'), (1024, '1.0 KiB'), (1600, '1.6 KiB'), (1048576, '1.0 MiB'), (3758096384, '3.5 GiB')) AS t(size, human)""")
+def human_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-17."""
+    rows = spark.createDataFrame([(n,) for n in (0, 1023, 1024, 1600, 1 << 20, 7 << 29)], "size long")
+    return rows.select("size", human_size(F.col("size")).alias("human"))

@@ -6,6 +6,7 @@ message and never stops the others.
 
 from __future__ import annotations
 
+import os
 import tomllib
 from collections.abc import Iterable
 from dataclasses import dataclass, field
@@ -106,3 +107,10 @@ def default(folder: str | Path | None = None) -> list[Signature]:
     first = load_dir(folder)[0] if folder else load_text((HERE / "curated.toml").read_text())[0]
     second = load_text((HERE / "vendor.toml").read_text(), priority=1)[0]
     return without_redundant(first + second)
+
+
+def find_root(named: str | None = None, name: str = "bytestrata/signatures") -> Path | None:
+    """SRC-9: the first folder of signatures: one that is named, the environment's, the user's, the system's; none if there is none."""
+    user = Path(os.environ.get("XDG_DATA_HOME") or Path.home() / ".local/share")
+    places = [named, os.environ.get("BYTESTRATA_SIGNATURES"), user / name, Path("/usr/local/share") / name, Path("/usr/share") / name]
+    return next((Path(p) for p in places if p and Path(p).is_dir()), None)
