@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -158,6 +159,35 @@ def _nest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int32()), pa.array(types, pa.string())], [*batch.schema.names, "parent_place", "parent_type"])
 
 
+def first_extents(rows: DataFrame, extents: DataFrame) -> DataFrame:
+    """JOI-4: blob_id, place and extent: for each row that lies in one, the extent of the least place that holds its offset.
+
+    extents: blob_id, start, end_ and place. A sweep over both in the order of offsets, which keeps the extents that are open.
+    """
+    begin = extents.select("blob_id", F.col("start").cast("long").alias("at"), F.lit(0).alias("kind"), F.col("end_").cast("long").alias("end_"), F.col("place").cast("int").alias("place"))
+    ask = rows.select("blob_id", F.col("offset_").cast("long").alias("at"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("end_"), F.col("place").cast("int").alias("place"))
+    in_order = begin.unionByName(ask).repartition("blob_id").sortWithinPartitions("blob_id", "at", "kind", "place")
+    return in_order.mapInArrow(_hold, "blob_id long, place int, extent int")
+
+
+def _hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    blob, open_ = None, []  # (place, end) of extents, a heap: those that have ended go when they come up
+    for batch in batches:
+        out: list[tuple[int, int, int]] = []
+        for b, at, kind, end, place in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            if b != blob:
+                blob, open_ = b, []
+            if kind == 0:
+                heappush(open_, (place, end))
+                continue
+            while open_ and open_[0][1] <= at:
+                heappop(open_)
+            if open_:
+                out.append((b, place, open_[0][0]))
+        columns = list(zip(*out, strict=True)) if out else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["blob_id", "place", "extent"])
+
+
 def keep_expanded(type_: Column, category: Column) -> Column:
     """FIL-10: what never folds into a summary: private keys, and what holds or runs other things."""
     return (type_ == "private_key") | category.isin("container", "filesystem", "bootloader", "executable")

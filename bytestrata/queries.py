@@ -281,8 +281,7 @@ def next_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"""WITH {_C}, e AS (SELECT blob_id, offset_ AS start, offset_ + size_ AS end_, place FROM o WHERE category = 'filesystem' OR (category = 'container' AND size_ > 0))
     SELECT o.blob_id, o.place, min(e.place) AS extent FROM o JOIN e ON e.blob_id = o.blob_id AND e.start <= o.offset_ AND o.offset_ < e.end_ GROUP BY 1, 2""")
 def extent_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOI-4: each row with the first extent that holds its offset; an equi-join by blob with a range condition."""
+    """JOI-4: each row with the first extent that holds its offset."""
     rows = _placed(spark, sf_dir)
-    extents = rows.where("category = 'filesystem' or (category = 'container' and size_ > 0)").select(F.col("blob_id").alias("e_blob"), F.col("offset_").alias("start"), (F.col("offset_") + F.col("size_")).alias("end_"), F.col("place").alias("e_place"))
-    inside = (F.col("e_blob") == F.col("blob_id")) & (F.col("start") <= F.col("offset_")) & (F.col("offset_") < F.col("end_"))
-    return rows.join(extents, inside).groupBy("blob_id", "place").agg(F.min("e_place").alias("extent"))
+    extents = rows.where("category = 'filesystem' or (category = 'container' and size_ > 0)").select("blob_id", F.col("offset_").alias("start"), (F.col("offset_") + F.col("size_")).alias("end_"), "place")
+    return intervals.first_extents(rows, extents)
