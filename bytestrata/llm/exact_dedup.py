@@ -106,9 +106,12 @@ def _members_by_text(keyed: DataFrame) -> DataFrame:
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with docs' own columns."""
-    kept = annotate(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_sha"))
+    every = cut_lineage(annotate(docs, id_col, text_col).select(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_sha"), "kept"))
+    kept = every.where("kept").drop("kept")
     own = docs.withColumns({"__id": F.col(f"`{id_col}`").cast("long"), "__sha": F.sha2(F.regexp_replace(text_or_empty(text_col), SPACE + "+", ""), 256), "__cp": F.char_length(text_or_empty(text_col))})
     hit = own.join(kept, (F.col("__id").eqNullSafe(F.col("__kept_id"))) & (F.col("__sha") == F.col("__kept_sha")), "left_semi")
-    # rows that repeat a doc_id with an equal text: the longest of them, and one only
-    first = F.row_number().over(Window.partitionBy("__id", "__sha").orderBy(F.desc("__cp")))
-    return hit.withColumn("__nth", first).where("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    if every.groupBy("__kept_id", "__kept_sha").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")).where("kept and n > 1").limit(1).count():
+        # rows that repeat a doc_id with an equal text: the longest of them, and one only
+        first = F.row_number().over(Window.partitionBy("__id", "__sha").orderBy(F.desc("__cp")))
+        hit = hit.withColumn("__nth", first).where("__nth = 1")
+    return hit.select(*[F.col(f"`{c}`") for c in docs.columns])
