@@ -724,27 +724,19 @@ def vbf(data, f, fields):
             break
         if at - f.offset > 1 << 20:
             return False
-    blocks, good = 0, True
+    blocks, good, head = 0, True, at
     while at + 10 <= len(data):
         size = _u(data, at + 4, 4, "big")
-        if at + 10 + size > len(data):
+        if not size or at + 10 + size > len(data):
             break
         good &= checksums.crc16_ccitt(data[at + 8 : at + 8 + size]) == _u(data, at + 8 + size, 2, "big")
         blocks, at = blocks + 1, at + 10 + size
-    return _set(f, VERIFIED if blocks and good else CONSISTENT if blocks else STRUCTURAL, at - f.offset if blocks else None)
-
-
-@_validator
-def upx(data, f, fields):
-    """VAL-39: the pack header's own checksum."""
-    version, kind, method = data[f.offset + 4], data[f.offset + 5], data[f.offset + 6]
-    if not 1 <= version <= 14 or not kind or not 2 <= method <= 15:
-        return False
-    if version >= 10 and kind not in (1, 2, 3, 7):
-        head = data[f.offset : f.offset + 32]
-        if len(head) == 32 and sum(head[4:31]) % 251 == head[31]:
-            return _set(f, VERIFIED, 32, version=str(version))
-    return _set(f, MAGIC, version=str(version))
+    said = lambda key: (re.search(key + rb"\s*=\s*\"?([^\";]*)", data[f.offset : head]) or (b"", b""))[1].decode("latin-1")
+    f.version, f.label = said(rb"vbf_version").strip(), said(rb"sw_part_number").strip()
+    kind = said(rb"data_format_identifier").strip()
+    packed = bool(re.fullmatch("0x[0-9A-Fa-f]{1,2}", kind)) and int(kind, 16) >> 4 != 0
+    f.compression = "lzss" if packed else "none"
+    return _set(f, VERIFIED if blocks and good and not packed else CONSISTENT if blocks else STRUCTURAL, (at if blocks else head) - f.offset)
 
 
 @_validator

@@ -193,22 +193,3 @@ def _uboot_env(data: bytes) -> Iterator[File]:
             yield "environment.txt", "file", b"".join(e + b"\n" for e in entries)
             return
     raise Stop("error:no-entries")
-
-
-@_extractor("vbf")
-def _vbf(data: bytes) -> Iterator[File]:
-    """The header's text and each block whose CRC is right, by address."""
-    depth, at = 0, data.index(b"{")
-    while True:
-        depth += (data[at] == ord("{")) - (data[at] == ord("}"))
-        at += 1
-        if not depth:
-            break
-    yield "header.txt", "file", data[:at]
-    while at + 10 <= len(data):
-        place, size = struct.unpack_from(">II", data, at)
-        body = data[at + 8 : at + 8 + size]
-        if len(body) < size or checksums.crc16_ccitt(body) != int.from_bytes(data[at + 8 + size : at + 10 + size], "big"):
-            raise Stop("error:crc")
-        yield f"0x{place:08x}.bin", "file", body
-        at += 10 + size

@@ -294,7 +294,7 @@ KNOWN.update({name: _scheme(name) for name in schemes.SCHEMES})
 
 
 def _register() -> None:
-    from . import containers, embedded, filesystems, flash  # noqa: F401  add their extractors
+    from . import containers, embedded, filesystems, flash, packed  # noqa: F401  add their extractors
 
 
 def unpack(data: bytes, type_: str) -> tuple[list[File], str]:
@@ -353,7 +353,7 @@ def unpacked(data: bytes, found: list[ident.Finding], depth: int = 1, unpack_exe
             yield found[0], [], "skipped:executable"
         return
     for f in found:
-        if f.type not in KNOWN or (depth > 1 and f.confidence < ident.OWNER):
+        if (f.type not in KNOWN and f.type != "upx") or (depth > 1 and f.confidence < ident.OWNER):
             continue
         if (f.type != "android_sparse" and f.offset < sparse_end) or (f.type not in STREAMS and f.offset < stream_end):
             continue
@@ -365,6 +365,9 @@ def unpacked(data: bytes, found: list[ident.Finding], depth: int = 1, unpack_exe
         if depth > 1 and not unpack_executables and f.type == "cfbf":
             yield f, [], "skipped:executable"
             continue
+        if f.type == "upx":
+            yield f, *_program(data, f.offset)
+            continue
         rest = data[f.offset :]
         if f.type in STREAMS:
             try:
@@ -382,6 +385,19 @@ def unpacked(data: bytes, found: list[ident.Finding], depth: int = 1, unpack_exe
             yield f, files, status
 
 
+def _program(data: bytes, trailer: int) -> tuple[list[File], str]:
+    """What a packed program unpacks to; its header stands behind it."""
+    from . import packed
+
+    base = packed.upx_base(data, trailer)
+    if base is None:
+        return [], "error:no-stub"
+    try:
+        return [("unpacked.elf", "file", packed.upx_unpacked(data[base:]))], "ok"
+    except Stop as e:
+        return [], str(e)
+
+
 #: Results of more bytes than the first that are more than the second times their finding's size aren't looked into.
 BOMB_BYTES, BOMB_RATIO = 10 << 20, 1000
 

@@ -55,7 +55,7 @@ class Matcher:
     """MAT-1, MAT-2: all overlapping matches of all patterns, by their end, longer patterns first."""
 
     def __init__(self, signatures: list[Signature]):
-        from . import embedded  # noqa: F401  adds validators, and needs this module
+        from . import embedded, packed  # noqa: F401  add validators, and need this module
 
         usable = [s for s in signatures if not s.validator or s.validator in validators.KNOWN]
         anchored = [(s, raw, endian) for s in usable if s.short for raw, endian in s.magics]

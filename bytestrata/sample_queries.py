@@ -12,17 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blob_queries import _packaged
-from .functions import checksums, ciphers, expr, layout, lzari, lzo
+from .functions import checksums, ciphers, codecs, expr, layout, lzari, lzo
 from .functions.texts import human_size
 from .operators import containers, embedded, extract, identify, listing, reports, sinks, summaries
 from .queries import _query
-from .samples import images, stores
+from .samples import images, packs, stores
 from .sources import catalog, tables
 
 
 @cache
 def _images() -> dict[str, bytes]:
-    return {name: build() for name, build in {**images.SAMPLES, **stores.SAMPLES}.items()}
+    return {name: build() for name, build in {**images.SAMPLES, **stores.SAMPLES, **packs.SAMPLES}.items()}
 
 
 def _samples(spark: SparkSession, *names: str) -> DataFrame:
@@ -58,7 +58,8 @@ _IDENTIFIED = """(VALUES
     ('rootfs.yaffs2', 'yaffs2', 'filesystem', 0, 19008, 'structural'), ('rootfs_be.yaffs2', 'yaffs2', 'filesystem', 0, 19008, 'structural'), ('exfat_tree.bin', 'exfat', 'filesystem', 0, 36864, 'consistent'), ('installer.msi', 'cfbf', 'container', 0, 7680, 'verified'),
     ('fw.rfp', 'rae_rfp', 'firmware', 0, 127, 'verified'), ('fw.shrs', 'dlink_shrs', 'encrypted', 0, 1852, 'verified'), ('fw.encrpted_img', 'dlink_encrpted_img', 'encrypted', 0, 16400, 'verified'), ('fw.salted', 'openssl_salted', 'encrypted', 0, 2080, 'verified'),
     ('fw_unknown.salted', 'openssl_salted', 'encrypted', 0, 2080, 'structural'), ('fw.mh01', 'dlink_mh01', 'encrypted', 0, 145, 'verified'), ('fw.dlk', 'dlink_dlk', 'encrypted', 0, 752, 'verified'), ('fw.tlv', 'dlink_tlv', 'encrypted', 0, 324, 'verified'),
-    ('fw.engenius', 'engenius', 'encrypted', 0, 212, 'verified'), ('fw.dlink_ota', 'dlink_ota', 'encrypted', 0, 104, 'verified')
+    ('fw.engenius', 'engenius', 'encrypted', 0, 212, 'verified'), ('fw.dlink_ota', 'dlink_ota', 'encrypted', 0, 104, 'verified'),
+    ('blob.jzlzma', 'jzlzma', 'compression', 0, 34, 'verified'), ('fw_packed.vbf', 'vbf', 'firmware', 0, 123, 'consistent'), ('fw.otra', 'otra', 'firmware', 0, 926, 'verified'), ('prog_packed.upx', 'elf', 'executable', 0, 120, 'consistent'), ('prog_packed.upx', 'upx', 'compression', 380, 32, 'verified')
 ) AS t(sample, type_, category, offset_, size_, tier)"""
 
 
@@ -70,11 +71,11 @@ def identify_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("""SELECT * FROM (VALUES ('squashfs.bin', '4.0', 'gzip', ''), ('squashfs_be.bin', '4.0', 'xz', ''), ('kernel.uimage', '', 'gzip', 'Linux'), ('luks1.bin', '1', '', 'aes-xts-plain64, sha256, 512-bit'), ('luks2.bin', '2', '', 'aes-xts-plain64'),
     ('install.cab', '1.3', 'mszip', '1 folders, 2 files'), ('blob.lzma', '', '', '10240 bytes, dict 65536 B'), ('installer.msi', '3.62', '', '1 storages, 3 streams'), ('spiffs.bin', '', '', 'page 256/block 4096'), ('lk.mtk', '', '', 'lk'), ('hashtree.verity', '', '', 'sha256'),
-    ('littlefs_tree.bin', '2.1', '', ''), ('firmware.fv', '', '', '03020100-0504-0706-0809-0a0b0c0d0e0f'), ('fw.rfp', '1', 'lzari', 'IniFile'), ('fw.salted', '', 'AES-256-CBC', 'tar'), ('prog.upx', '13', '', '')) AS t(sample, version, compression, label)""")
+    ('littlefs_tree.bin', '2.1', '', ''), ('firmware.fv', '', '', '03020100-0504-0706-0809-0a0b0c0d0e0f'), ('fw.rfp', '1', 'lzari', 'IniFile'), ('fw.salted', '', 'AES-256-CBC', 'tar'), ('prog.upx', '13', 'NRV2E', 'UPX-packed ELF amd64'), ('prog_packed.upx', '3.96', 'NRV2E', 'UPX-packed ELF amd64'), ('fw.otra', '1.02.03', 'lzo1x', ''), ('fw_packed.vbf', '2.5', 'lzss', 'P-7'), ('blob.jzlzma', '', '', '300 bytes, dict 64 KiB')) AS t(sample, version, compression, label)""")
 def describe_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What validators read out of headers."""
-    named = ("squashfs.bin", "squashfs_be.bin", "kernel.uimage", "luks1.bin", "luks2.bin", "install.cab", "blob.lzma", "installer.msi", "spiffs.bin", "lk.mtk", "hashtree.verity", "littlefs_tree.bin", "firmware.fv", "fw.rfp", "fw.salted", "prog.upx")
-    return _findings(spark, *named).select("sample", "version", "compression", "label")
+    named = ("squashfs.bin", "squashfs_be.bin", "kernel.uimage", "luks1.bin", "luks2.bin", "install.cab", "blob.lzma", "installer.msi", "spiffs.bin", "lk.mtk", "hashtree.verity", "littlefs_tree.bin", "firmware.fv", "fw.rfp", "fw.salted", "prog.upx", "prog_packed.upx", "fw.otra", "fw_packed.vbf", "blob.jzlzma")
+    return _findings(spark, *named).where("not (sample = 'prog_packed.upx' and type_ = 'elf')").select("sample", "version", "compression", "label")
 
 
 _CONF, _README, _LARGE = "repeat('a = 1\n', 20)", "repeat('hello ', 30)", "unhex(repeat(h, 50))"
@@ -104,7 +105,11 @@ _UNPACKED = f"""h256 AS (SELECT string_agg(printf('%02x', i), '' ORDER BY i) AS
             ('fw.rfp', 'IniFile', 'file', encode('[info]\nversion = 1\n' || repeat('=', 100))), ('fw.rfp', 'BinFile', 'file', encode('raw bytes')),
             ('esp32_nvs.bin', 'nvs-values.txt', 'file', encode('# sensitive keys: wifi:ssid\nwifi:channel = 11 ; uint32_t\nwifi:ssid = "my network" ; string\n')),
             ('fw.mh01', 'descrambled.bin', 'file', encode('MH01' || repeat('inner', 9))), ('fw.tlv', 'descrambled.bin', 'file', unhex('1f8b') || encode(repeat('stream', 30))), ('fw.engenius', 'descrambled.bin', 'file', encode('hsqs') || unhex(repeat('00', 60)) || encode('rest')),
-            ('fw.dlink_ota', 'descrambled.bin', 'file', encode('81958711' || repeat('firmware', 8)))
+            ('fw.dlink_ota', 'descrambled.bin', 'file', encode('81958711' || repeat('firmware', 8))), ('blob.jzlzma', 'data', 'file', encode({_CONF} || {_README})),
+            ('fw_packed.vbf', 'header.txt', 'file', encode('vbf_version = 2.5;\nheader {{ sw_part_number = "P-7"; data_format_identifier = 0x10; }}')), ('fw_packed.vbf', '0x00000100.bin', 'file', encode({_README})),
+            ('fw.otra', '00_boot.bin', 'file', encode('boot code')), ('fw.otra', '01_root_fs.bin', 'file', encode(repeat('root ', 20) || 'more root')),
+            ('prog_packed.upx', 'unpacked.elf', 'file', unhex('7f454c46020101' || repeat('00', 9) || '02003e0001000000' || repeat('00', 8) || '4000000000000000' || repeat('00', 12) || '4000380001004000' || repeat('00', 4)
+                || '0100000005000000' || repeat('00', 24) || '2c01000000000000' || '2c01000000000000' || '0010000000000000' || repeat('90', 40) || 'e8ecffffff' || repeat('90', 30) || (SELECT string_agg(printf('%02x', i), '' ORDER BY i) FROM range(100) t(i)) || repeat('cc', 5)) || encode('behind the loaded part'))
         ) AS t
     )"""
 
@@ -275,6 +280,9 @@ def rule_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("kept"), F.sum("bytes").alias("bytes"))
 
 
+_BANANA = b"banana " + b"n" * 50
+
+
 def _codec(row: dict) -> str:
     name, data = row["name"], bytes(row["data"])
     if name.startswith("lzo"):
@@ -283,16 +291,29 @@ def _codec(row: dict) -> str:
         return lzari.decompress(data, 1 << 16).hex()
     if name.startswith("lz4"):
         return extract.lz4_block(data).hex()
+    if name.startswith("nrv"):
+        return codecs.nrv(int(name[3:]), data, 57).hex()
+    if name == "jzlzma":
+        return codecs.jzlzma(data, 57).hex()
+    if name == "lzss":
+        return codecs.lzss(data, 999).hex()
+    if name.startswith("filter"):
+        return codecs.unfilter(data, int(name[7:], 16), 0x77).hex()
     return containers.rtime(data, 7).hex()
 
 
-@_query("""SELECT name, hex FROM (SELECT name, lower(hex(encode(body))) AS hex FROM (VALUES ('lzo literals', 'abc'), ('lzo match', 'abcdefghabcd'), ('lz4 overlap', 'abcabcabcaz'), ('rtime', 'abababa'), ('lzari', 'banana ' || repeat('n', 50))) t(name, body))""".replace("name, hex FROM", "name, hex AS result FROM"))
+@_query("""SELECT name, hex FROM (SELECT name, lower(hex(encode(body))) AS hex FROM (VALUES ('lzo literals', 'abc'), ('lzo match', 'abcdefghabcd'), ('lz4 overlap', 'abcabcabcaz'), ('rtime', 'abababa'), ('lzari', 'banana ' || repeat('n', 50)), ('jzlzma', 'banana ' || repeat('n', 50)), ('lzss', 'banana ' || repeat('n', 50)),
+    ('nrv2', 'banana ' || repeat('n', 50)), ('nrv3', 'banana ' || repeat('n', 50)), ('nrv4', 'banana ' || repeat('n', 50)), ('nrv5', 'banana ' || repeat('n', 50)), ('nrv6', 'banana ' || repeat('n', 50)), ('nrv7', 'banana ' || repeat('n', 50)),
+    ('nrv8', 'banana ' || repeat('n', 50)), ('nrv9', 'banana ' || repeat('n', 50)), ('nrv10', 'banana ' || repeat('n', 50))) t(name, body)
+    UNION ALL SELECT * FROM (VALUES ('filter 26', '9090e81000000090909090909090'), ('filter 50', '000000eb000000eb0100000000000000'), ('filter 52', '0000009400000094000000000000000000'), ('filter 00', 'e877000000')) t(name, hex))""".replace("name, hex FROM (SELECT", "name, hex AS result FROM (SELECT"))
 def codec_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """COD-5, COD-10, COD-11, COD-17 on hand-made streams."""
+    """COD-5, COD-10 to COD-13, COD-15 to COD-17 on hand-made streams."""
     end = b"\x11\0\0"
     rows = [
         ("lzo literals", b"\x14abc" + end), ("lzo match", bytes([17 + 8]) + b"abcdefgh" + bytes([0b01111100, 0]) + end), ("lz4 overlap", bytes([0x33]) + b"abc" + bytes([3, 0]) + bytes([0x10]) + b"z"),
-        ("rtime", bytes([97, 0, 98, 0, 97, 4])), ("lzari", stores.lzari_pack(b"banana " + b"n" * 50)),
+        ("rtime", bytes([97, 0, 98, 0, 97, 4])), ("lzari", stores.lzari_pack(_BANANA)), ("jzlzma", packs.jzlzma_pack(_BANANA)), ("lzss", packs.lzss_pack(_BANANA)),
+        *((f"nrv{k}", packs.nrv_pack(k, _BANANA)) for k in range(2, 11)),
+        ("filter 26", bytes.fromhex("9090e87700001390909090909090")), ("filter 50", bytes.fromhex("000000eb010000eb0100000000000000")), ("filter 52", bytes.fromhex("0000009401000094000000000000000000")), ("filter 00", bytes.fromhex("e877000000")),
     ]
     return _vectors(spark, [(k, bytearray(v)) for k, v in rows], "name string, data binary", _codec)
 
