@@ -53,3 +53,22 @@ def delete_folder(spark: SparkSession, folder: str) -> None:
     """Delete a folder of what was written between steps."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A key of more than 1/HOT_KEYS of all rows (and of LEAST_HOT) is hot.
+HOT_KEYS, LEAST_HOT = 1024, 1000
+
+
+def meet(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right (inner or left_semi) on keys that are unique in right, whose n says how many rows of left have them.
+
+    Rows of hot keys don't meet in one task: their rows of right, fewer than HOT_KEYS, are broadcast. right should be written
+    out, as it is read several times.
+    """
+    total = right.agg(F.sum("n")).first()[0] or 0
+    hot = right.where(F.col("n") > max(LEAST_HOT, total // HOT_KEYS))
+    if not hot.limit(1).count():
+        return left.join(right.drop("n"), keys, how)
+    rest = right.where(F.col("n") <= max(LEAST_HOT, total // HOT_KEYS)).drop("n")
+    others = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return left.join(F.broadcast(hot.drop("n")), keys, how).unionByName(others.join(rest, keys, how))

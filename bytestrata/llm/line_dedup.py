@@ -18,7 +18,8 @@ Every line of every run of NOISE words or more that stands at an earlier place g
 lies in a window inside the run, forward from it or, near the run's end, back from there; lines next to each other share
 one. A line's first place in the corpus is in no later copy, so one copy of every line stays.
 
-Texts are shuffled once, to meet their deletions. Only DataFrame functions run.
+Texts are shuffled once, to meet their deletions; a fingerprint or window that very many places share meets its places by
+broadcast, so no task gets them all. Only DataFrame functions run.
 
 Defined results: a null text is empty; rows without doc_id neither lose lines nor cost others any; rows that share doc_id
 and text are one document, returned as often as it stands; a copy of a whole document of NOISE words or more is left with
@@ -30,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import SPACE, SPACE_CHARS, cut_lineage, text_or_empty
+from ._common import SPACE, SPACE_CHARS, cut_lineage, meet, text_or_empty
 
 #: Words that a window has at least; shorter repeated runs stay.
 NOISE = 25
@@ -80,10 +81,11 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """doc_id, th and spans, an array of (start, end) line numbers, both included, of documents that lose lines."""
     rows = cut_lineage(hashed(docs, id_col, text_col))
     places = rows.select(F.explode(F.array_distinct(F.transform("marks", lambda m: F.struct(m["f"].alias("f"), m["p"].alias("p"))))).alias("at"))
-    shared = cut_lineage(places.groupBy("at.f").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f"))
-    marks = cut_lineage(rows.select("doc_id", "th", F.explode("marks").alias("m")).select("doc_id", "th", "m.*").drop("p").join(shared, "f", "left_semi"))
-    first = marks.groupBy("u").agg(F.min(F.struct("doc_id", "th", "s")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1").select("u", "at")
-    later = marks.join(first, "u").where("not (doc_id = at.doc_id and th = at.th and s = at.s)").groupBy("doc_id", "th", "s").agg(F.max("e").alias("e"))
+    shared = cut_lineage(places.groupBy("at.f").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f", "n"))
+    every = rows.select("doc_id", "th", F.explode("marks").alias("m")).select("doc_id", "th", "m.*").drop("p")
+    marks = cut_lineage(meet(every, shared, ["f"], "left_semi"))
+    first = cut_lineage(marks.groupBy("u").agg(F.min(F.struct("doc_id", "th", "s")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    later = meet(marks, first, ["u"]).where("not (doc_id = at.doc_id and th = at.th and s = at.s)").groupBy("doc_id", "th", "s").agg(F.max("e").alias("e"))
     text = Window.partitionBy("doc_id", "th").orderBy("s")
     before = F.max("e").over(text.rowsBetween(Window.unboundedPreceding, -1))
     later = later.withColumn("new", F.when(F.col("s") <= before, 0).otherwise(1)).withColumn("span", F.sum("new").over(text.rowsBetween(Window.unboundedPreceding, 0)))

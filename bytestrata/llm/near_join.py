@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE, SPACE_CHARS, cut_lineage, text_or_empty, words_of
+from ._common import SPACE, SPACE_CHARS, cut_lineage, meet, text_or_empty, words_of
 from .components import connected
 
 WORDS = 5
@@ -200,15 +200,15 @@ def _prefix(d: int, depth: int) -> Column:
 def forest(named: DataFrame, shortest: int, depth: int) -> DataFrame:
     """node, tree and label below each prefix of the shortest length that nodes share, sorted by tree and label."""
     below = named.select("node", F.posexplode("labels").alias("tree", "label")).withColumn("prefix", _prefix(shortest, depth))
-    shared = below.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tree", "prefix")
-    return cut_lineage(below.join(shared, ["tree", "prefix"], "left_semi").select("node", "tree", "label").sortWithinPartitions("tree", "label", "node"))
+    shared = cut_lineage(below.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return cut_lineage(meet(below, shared, ["tree", "prefix"], "left_semi").select("node", "tree", "label").sortWithinPartitions("tree", "label", "node"))
 
 
 def _clusters(trie: DataFrame, d: int, depth: int) -> DataFrame:
     """node and cluster of each node that shares a prefix of d bytes with another."""
     at = trie.select("node", "tree", _prefix(d, depth))
-    heads = at.groupBy("tree", "prefix").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("tree", "prefix", "head")
-    tied = connected(at.join(heads, ["tree", "prefix"]).where("node > head").select(F.col("node").alias("u"), F.col("head").alias("v")))
+    heads = cut_lineage(at.groupBy("tree", "prefix").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    tied = connected(meet(at, heads, ["tree", "prefix"]).where("node > head").select(F.col("node").alias("u"), F.col("head").alias("v")))
     roots = tied.select(F.col("root").alias("node"), F.col("root").alias("cluster")).distinct()
     return tied.select("node", F.col("root").alias("cluster")).unionByName(roots)
 
@@ -293,9 +293,9 @@ def _annotate(docs: DataFrame, id_col: str, text_col: str, similarity: Fraction,
         known = known.join(names, "root").withColumn("root", F.col("head.doc_id")).withColumn("stands", F.col("rep") == F.col("head"))
     else:
         known = known.withColumn("stands", F.col("node") == F.col("root"))
-    found = known.select("digest", F.col("root").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", F.when(F.col("stands"), F.col("rep")).alias("rep"))
+    found = cut_lineage(known.select("digest", F.col("root").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", F.col("n_copies").alias("n"), F.when(F.col("stands"), F.col("rep")).alias("rep")))
     this = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")
-    return labelled.select("doc_id", "th", "digest").join(found, "digest").withColumn("stays", F.coalesce(this.eqNullSafe(F.col("rep")), F.lit(False)))
+    return meet(labelled.select("doc_id", "th", "digest"), found, ["digest"]).withColumn("stays", F.coalesce(this.eqNullSafe(F.col("rep")), F.lit(False)))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

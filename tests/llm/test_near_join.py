@@ -95,3 +95,52 @@ def test_similarity_is_exact(spark):
     texts = [" ".join(w), " ".join([*w[:13], "other"]), " ".join([*w[:12], "an", "other"])]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(tuple(r) for r in near_join.annotate(df, similarity=Fraction(4, 5)).collect()) == brute(df.collect())
+
+
+def _pair(similarity, rng):
+    """Two texts whose shingle sets have about this similarity: each cut of a word changes five shingles."""
+    w = words(400, rng).split()
+    other, n = list(w), 396
+    cuts = max(1, round((1 - similarity) / (1 + similarity) * n / 5))
+    for k in range(cuts):
+        other[5 + k * (390 // cuts)] = words(1, rng)
+    return " ".join(w), " ".join(other)
+
+
+def test_forest_recall(spark):
+    """Measured: the share of linked pairs at several similarities that the forest finds, at least 0.99 of each."""
+    rng = random.Random(21)
+    texts, kind = [], []
+    for s in (0.81, 0.85, 0.9):
+        for _ in range(100):
+            texts += _pair(s, rng)
+            kind += [s]
+    got = {r.doc_id: r for r in near_join.annotate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for s in (0.81, 0.85, 0.9):
+        linked = [k for k in range(len(kind)) if kind[k] == s and 5 * len(shingle_set(texts[2 * k]) & shingle_set(texts[2 * k + 1])) >= 4 * len(shingle_set(texts[2 * k]) | shingle_set(texts[2 * k + 1]))]
+        assert len(linked) > 50
+        assert sum(got[2 * k + 1].class_id == 2 * k for k in linked) / len(linked) >= 0.99
+
+
+def test_prefixes_are_shortened_until_the_recall(spark, monkeypatch):
+    """Weak pairs ask for shorter prefixes than near copies; each level looks up one length."""
+    rng, asked = random.Random(22), []
+    clusters = near_join._clusters
+    monkeypatch.setattr(near_join, "_clusters", lambda trie, d, depth: asked.append(d) or clusters(trie, d, depth))
+    strong = [t for _ in range(30) for t in _pair(0.97, rng)]
+    near_join.annotate(spark.createDataFrame(list(enumerate(strong)), "doc_id long, text string")).count()
+    assert asked == [near_join.DEPTH]
+    asked.clear()
+    weak = [t for _ in range(60) for t in _pair(0.8, rng)]
+    near_join.annotate(spark.createDataFrame(list(enumerate(weak)), "doc_id long, text string")).count()
+    assert asked == [near_join.DEPTH, near_join.prefix_length(0.8)]
+
+
+def test_survivors_of_shared_ids(spark):
+    """Rows that share a doc_id and differ in words are documents of their own; null ids are compared like any."""
+    rng = random.Random(23)
+    a, u = words(60, rng), words(60, rng)
+    near = a.replace(a.split()[30], "other")
+    df = spark.createDataFrame([(1, a), (9, a), (9, u), (None, near), (None, u + " more"), (None, words(50, random.Random(1))), (9, u)], "doc_id long, text string")
+    kept = sorted((str(r.doc_id), r.text[:20]) for r in near_join.survivors(df).collect())
+    assert kept == sorted([("1", a[:20]), ("9", u[:20]), ("None", words(50, random.Random(1))[:20])])

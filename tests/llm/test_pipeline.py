@@ -42,3 +42,21 @@ def test_run_and_empty(spark, tmp_path):
     for _, stage in p.STAGES:
         out = stage(spark, empty, d)
         assert out.count() == 0
+
+
+def test_stages_on_odd_rows(spark, odd_docs):
+    """Nulls, empty and long texts, repeated rows, clashing column names: no stage loses a text that has no like."""
+    d = "/root/testdata/sf0.001"
+    texts = {r.text for r in odd_docs.collect() if r.text and r.text.strip()}
+    for name, stage in p.STAGES:
+        out = stage(spark, odd_docs, d)
+        rows = out.collect()
+        if name != "bpe":
+            assert tuple(out.columns) == p.COLUMNS
+            assert {r.text for r in rows if r.text and r.text.strip()} <= texts
+        else:
+            assert len(rows) == odd_docs.count()
+        if name == "exact dedup":
+            assert len(rows) == len({"".join((r.text or "").split()) for r in odd_docs.collect()})
+        elif name == "n-gram jaccard join":
+            assert len({r.doc_id for r in rows} & {1, 7, 9, 10, 11}) == 5
