@@ -294,7 +294,7 @@ KNOWN.update({name: _scheme(name) for name in schemes.SCHEMES})
 
 
 def _register() -> None:
-    from . import containers, embedded, filesystems, flash, packed  # noqa: F401  add their extractors
+    from . import containers, disks, embedded, filesystems, flash, packed  # noqa: F401  add their extractors
 
 
 def unpack(data: bytes, type_: str) -> tuple[list[File], str]:

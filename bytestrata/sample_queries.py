@@ -16,13 +16,13 @@ from .functions import checksums, ciphers, codecs, expr, layout, lzari, lzo
 from .functions.texts import human_size
 from .operators import containers, embedded, extract, identify, listing, reports, sinks, summaries
 from .queries import _query
-from .samples import images, packs, stores
+from .samples import images, packs, stores, volumes
 from .sources import catalog, tables
 
 
 @cache
 def _images() -> dict[str, bytes]:
-    return {name: build() for name, build in {**images.SAMPLES, **stores.SAMPLES, **packs.SAMPLES}.items()}
+    return {name: build() for name, build in {**images.SAMPLES, **stores.SAMPLES, **packs.SAMPLES, **volumes.SAMPLES}.items()}
 
 
 def _samples(spark: SparkSession, *names: str) -> DataFrame:
@@ -59,7 +59,8 @@ _IDENTIFIED = """(VALUES
     ('fw.rfp', 'rae_rfp', 'firmware', 0, 127, 'verified'), ('fw.shrs', 'dlink_shrs', 'encrypted', 0, 1852, 'verified'), ('fw.encrpted_img', 'dlink_encrpted_img', 'encrypted', 0, 16400, 'verified'), ('fw.salted', 'openssl_salted', 'encrypted', 0, 2080, 'verified'),
     ('fw_unknown.salted', 'openssl_salted', 'encrypted', 0, 2080, 'structural'), ('fw.mh01', 'dlink_mh01', 'encrypted', 0, 145, 'verified'), ('fw.dlk', 'dlink_dlk', 'encrypted', 0, 752, 'verified'), ('fw.tlv', 'dlink_tlv', 'encrypted', 0, 324, 'verified'),
     ('fw.engenius', 'engenius', 'encrypted', 0, 212, 'verified'), ('fw.dlink_ota', 'dlink_ota', 'encrypted', 0, 104, 'verified'),
-    ('blob.jzlzma', 'jzlzma', 'compression', 0, 34, 'verified'), ('fw_packed.vbf', 'vbf', 'firmware', 0, 123, 'consistent'), ('fw.otra', 'otra', 'firmware', 0, 926, 'verified'), ('prog_packed.upx', 'elf', 'executable', 0, 120, 'consistent'), ('prog_packed.upx', 'upx', 'compression', 380, 32, 'verified')
+    ('blob.jzlzma', 'jzlzma', 'compression', 0, 34, 'verified'), ('fw_packed.vbf', 'vbf', 'firmware', 0, 123, 'consistent'), ('fw.otra', 'otra', 'firmware', 0, 926, 'verified'), ('prog_packed.upx', 'elf', 'executable', 0, 120, 'consistent'), ('prog_packed.upx', 'upx', 'compression', 380, 32, 'verified'),
+    ('tree.hfsplus', 'hfsplus', 'filesystem', 0, 51200, 'consistent'), ('tree.xfs', 'xfs', 'filesystem', 0, 32768, 'consistent'), ('tree.erofs', 'erofs', 'filesystem', 0, 16384, 'consistent'), ('tree.btrfs', 'btrfs', 'filesystem', 0, 262144, 'consistent')
 ) AS t(sample, type_, category, offset_, size_, tier)"""
 
 
@@ -91,6 +92,10 @@ _UNPACKED = f"""h256 AS (SELECT string_agg(printf('%02x', i), '' ORDER BY i) AS
         UNION ALL SELECT 'littlefs_tree.bin', 'large', 'file', unhex(repeat(h, 5)) FROM h256 UNION ALL SELECT 'spiffs.bin', 'config.txt', 'file', unhex(h) || encode(repeat('tail', 20)) FROM h256
         UNION ALL SELECT 'fat16.bin', 'DATA.BIN', 'file', unhex(repeat(h240, 5)) FROM h256 UNION ALL SELECT 'exfat_tree.bin', 'a rather long name.bin', 'file', unhex(repeat(h250, 4)) FROM h256
         UNION ALL SELECT 'installer.msi', 'large', 'file', unhex(repeat(h, 17)) FROM h256
+        UNION ALL SELECT s, 'etc/conf', 'file', encode({_CONF}) FROM (VALUES ('tree.hfsplus'), ('tree.xfs'), ('tree.erofs'), ('tree.btrfs')) v(s) UNION ALL SELECT s, 'link', 'symlink', encode('etc/conf') FROM (VALUES ('tree.hfsplus'), ('tree.xfs'), ('tree.erofs'), ('tree.btrfs')) v(s)
+        UNION ALL SELECT s, 'large', 'file', unhex(repeat(h, 40)) FROM h256, (VALUES ('tree.hfsplus'), ('tree.xfs')) v(s) UNION ALL SELECT 'tree.hfsplus', 'many', 'file', unhex(repeat(h, 20)) FROM h256
+        UNION ALL SELECT 'tree.xfs', 'tree', 'file', unhex(repeat(h, 4) || repeat('00', 512) || repeat(h, 2)) FROM h256 UNION ALL SELECT 'tree.erofs', 'large', 'file', unhex(repeat(h, 5) || left(h, 40)) FROM h256
+        UNION ALL SELECT 'tree.btrfs', 'large', 'file', unhex(repeat(h, 40) || repeat('00', 2048) || repeat('72', 4096)) FROM h256
         UNION ALL SELECT * FROM (VALUES
             ('archive.tar', 'link', 'symlink', encode('etc/conf')), ('initramfs.cpio', 'link', 'symlink', encode('readme')), ('blob.lz4', 'data', 'file', encode('abcabcabcazraw')), ('blob.lz4l', 'data', 'file', encode(repeat('a', 276))),
             ('ext.bin', 'etc/conf', 'file', encode({_CONF})), ('ext.bin', 'link', 'symlink', encode('etc/conf')), ('iso9660.bin', 'readme.txt', 'file', encode('hello')), ('iso9660.bin', 'SUB/A.BIN', 'file', encode('hel')), ('iso9660.bin', 'link', 'symlink', encode('etc')),
