@@ -1,4 +1,4 @@
-"""Unpacking of HFS+, XFS, EROFS and Btrfs volumes. Importing this module registers its extractors."""
+"""Unpacking of HFS+, XFS, EROFS, Btrfs and F2FS volumes. Importing this module registers its extractors."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import zstandard
 
-from ..functions import lzo
+from ..functions import checksums, lzo
 from .extract import MOST_BYTES, File, Stop, _extractor, safe_path
 
 #: Records and blocks that one file or tree is followed over; images of sane size have fewer.
@@ -394,3 +394,122 @@ class Btrfs:
 @_extractor("btrfs")
 def _btrfs(data: bytes) -> Iterator[File]:
     yield from Btrfs(data).files()
+
+
+class F2fs:
+    """EXT-13: blocks of 4 KiB; a table says where each node is, and a bitmap and a journal which of its copies counts."""
+
+    SIZE, SEED = 4096, 0xF2F52010
+    #: Places in an inode where its blocks begin, how many it has, and how many a node below has.
+    FIRST, OWN, BELOW = 360, 923, 1018
+
+    def __init__(self, data: bytes):
+        self.data, sb = data, 1024
+        if self._le(data, sb + 16, 4) != 12:
+            raise Stop("error:block-size")
+        self.segment = 1 << self._le(data, sb + 20, 4)
+        first, self.nat, self.root = self._le(data, sb + 76, 4), self._le(data, sb + 84, 4), self._le(data, sb + 96, 4)
+        packs = []
+        for at in (first, first + self.segment):
+            raw = self._block(at)
+            if len(raw) == self.SIZE:
+                end = self._le(raw, 164, 4)
+                if 192 <= end <= self.SIZE - 4 and checksums.crc32_raw(raw[:end], self.SEED) == self._le(raw, end, 4):
+                    packs.append((self._le(raw, 0, 8), at, raw))
+        if not packs:
+            raise Stop("error:no-checkpoint")
+        _, at, raw = max(packs)
+        skip, n = self._le(raw, 156, 4), self._le(raw, 160, 4)
+        self.second = raw[192 + skip : 192 + skip + n]
+        log = self._block(at + self._le(raw, 140, 4))
+        begin = 0 if self._le(raw, 132, 4) & 4 else self.SIZE - 5 - 507  # compact summaries begin with the journal
+        n = self._le(log, begin, 2)
+        self.moved = {self._le(log, begin + 2 + 13 * k, 4): self._le(log, begin + 2 + 13 * k + 9, 4) for k in range(n)} if n <= 38 else {}
+
+    @staticmethod
+    def _le(raw: bytes, at: int, n: int) -> int:
+        return _u(raw, at, n, "little")
+
+    def _block(self, k: int) -> bytes:
+        return self.data[k * self.SIZE : (k + 1) * self.SIZE]
+
+    def node(self, number: int) -> bytes:
+        place = self.moved.get(number)
+        if place is None:
+            k, slot = divmod(number, self.SIZE // 9)
+            group, within = divmod(k, self.segment)
+            copy = k // 8 < len(self.second) and self.second[k // 8] >> (7 - k % 8) & 1
+            place = self._le(self._block(self.nat + (2 * group + copy) * self.segment + within), 9 * slot + 5, 4)
+        raw = self._block(place)
+        if not place or len(raw) < self.SIZE:
+            raise Stop("error:node")
+        return raw
+
+    def _extra(self, raw: bytes) -> int:
+        return self._le(raw, self.FIRST, 2) if raw[3] & 0x20 else 0
+
+    def blocks(self, raw: bytes) -> Iterator[int]:
+        """The places of a file's blocks in order: in the inode, then in nodes up to three levels below; 0 for a hole."""
+        extra = self._extra(raw)
+        n = self.OWN - extra // 4 - (50 if raw[3] & 1 else 0)  # attributes may take the end
+        yield from struct.unpack_from(f"<{n}I", raw, self.FIRST + extra)
+
+        def below(number: int, level: int) -> Iterator[int]:
+            for x in struct.unpack_from(f"<{self.BELOW}I", self.node(number)) if number else [0] * self.BELOW:
+                if level:
+                    yield from below(x, level - 1)
+                else:
+                    yield x
+
+        for k, level in enumerate((0, 0, 1, 1, 2)):
+            yield from below(self._le(raw, self.FIRST + 4 * self.OWN + 4 * k, 4), level)
+
+    def content(self, raw: bytes) -> bytes:
+        size = self._le(raw, 16, 8)
+        if size > MOST_BYTES:
+            raise Stop("error:too-large")
+        if raw[3] & 2:  # inside the inode, behind a word that is kept free
+            at = self.FIRST + self._extra(raw) + 4
+            return raw[at : at + size]
+        return b"".join(self._block(p) if 0 < p < 0xFFFFFFFF else bytes(self.SIZE) for _, p in zip(range(-(-size // self.SIZE)), self.blocks(raw)))[:size]
+
+    def entries(self, raw: bytes) -> Iterator[tuple[str, int]]:
+        """Slots of eight bytes of names, a bit for each that is used, and a record for each that a name begins in."""
+        if raw[3] & 4:
+            extra = self._extra(raw)
+            room = 4 * (self.OWN - 50 - 1) - extra
+            n = room * 8 // (19 * 8 + 1)
+            yield from self._slots(raw[self.FIRST + extra + 4 :][:room], n, room - 19 * n)
+            return
+        for p in self.blocks(raw):
+            if p in (0, 0xFFFFFFFF):
+                return
+            yield from self._slots(self._block(p), 214, 30)
+
+    def _slots(self, page: bytes, n: int, table: int) -> Iterator[tuple[str, int]]:
+        k = 0
+        while k < n:
+            if not page[k // 8] >> k % 8 & 1:
+                k += 1
+                continue
+            number, size = self._le(page, table + 11 * k + 4, 4), self._le(page, table + 11 * k + 8, 2)
+            at = table + 11 * n + 8 * k
+            yield page[at : at + size].decode("utf-8", "surrogateescape"), number
+            k += max(1, -(-size // 8))
+
+    def files(self) -> Iterator[File]:
+        todo, seen = [("", self.root)], set()
+        while todo:
+            path, number = todo.pop()
+            raw = self.node(number)
+            kind = self._le(raw, 0, 2) >> 12
+            if kind == 4 and number not in seen:
+                seen.add(number)
+                todo += [(f"{path}/{name}".lstrip("/"), k) for name, k in reversed(list(self.entries(raw))) if name not in ("", ".", "..") and "/" not in name]
+            elif kind in (8, 10) and path:
+                yield safe_path(path), "file" if kind == 8 else "symlink", self.content(raw)
+
+
+@_extractor("f2fs")
+def _f2fs(data: bytes) -> Iterator[File]:
+    yield from F2fs(data).files()

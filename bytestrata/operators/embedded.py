@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -676,3 +677,57 @@ def _yaffs2(data: bytes) -> Iterator[File]:
             raise Stop("error:too-large")
         out = b"".join(chunks.get((id_, k), b"").ljust(how.page, b"\0") for k in range(1, -(-size // how.page) + 1))
         yield safe_path(where), "file", out[:size]
+
+
+# Types of registry values, and the bounds of a record.
+_REGISTRY = {1: "REG_SZ", 2: "REG_EXPAND_SZ", 3: "REG_BINARY", 4: "REG_DWORD", 5: "REG_DWORD_BE", 7: "REG_MULTI_SZ", 11: "REG_QWORD"}
+_HIVE_START, _HIVE_NAME, _HIVE_DATA = 64, 64, 0x4000
+_HIVE_CHARS = re.compile(r"[A-Za-z0-9_\-. :\\/#@()\[\]{}$%+*?!,']+")
+
+
+def registry_values(data: bytes, most: int) -> Iterator[tuple[int, str, str, str]]:
+    """(place, name, type, text) of what looks like a record at any even place: type, length of data, of name, name, data.
+
+    Cells aren't walked, so values have no path; a place that only looks like a record hides none behind it.
+    """
+    for at in range(_HIVE_START, len(data) - 5, 2):
+        kind, size, n = struct.unpack_from("<HHH", data, at)
+        if kind not in _REGISTRY or not 0 < n <= _HIVE_NAME or not 0 < size <= _HIVE_DATA or {4: 4, 5: 4, 11: 8}.get(kind, size) != size:
+            continue
+        raw, body = data[at + 6 : at + 6 + 2 * n], data[at + 6 + 2 * n : at + 6 + 2 * n + size]
+        if len(body) < size:
+            continue
+        name = raw.decode("utf-16-le", "replace")
+        if not _HIVE_CHARS.fullmatch(name):
+            continue
+        if kind in (1, 2, 7):
+            text = body[: size // 2 * 2].decode("utf-16-le", "replace").replace("\0", "|").rstrip("|")
+        elif kind in (4, 11):
+            text = str(int.from_bytes(body, "little"))
+        else:
+            text = body.hex()
+        yield at, name, _REGISTRY[kind], text
+        most -= 1
+        if not most:
+            return
+
+
+def _hive_valid(data: bytes, f, fields: dict) -> bool:
+    """VAL-43: at least eight values; the hive is the rest of the blob."""
+    n = sum(1 for _ in registry_values(data[f.offset :], 4096))
+    return n >= 8 and validators._set(f, validators.CONSISTENT, len(data) - f.offset, label=f"{n}{'+' * (n == 4096)} values")
+
+
+validators.KNOWN["wince_hive"] = _hive_valid
+
+
+@_extractor("wince_hive")
+def _wince_hive(data: bytes) -> Iterator[File]:
+    """EXT-30: a line a value: place, name, type and text."""
+    lines = [f"0x{at:08x}  {name}  {kind}  {text.translate(_ONE_LINE)}\n" for at, name, kind, text in registry_values(data, 1 << 20)]
+    if not lines:
+        raise Stop("error:no-values")
+    yield "registry-values.txt", "file", "".join(lines).encode("utf-8", "replace")
+
+
+_ONE_LINE = {**dict.fromkeys([*range(0x20), 0x7F], "."), 9: "\\t", 10: "\\n", 13: "\\r"}

@@ -60,7 +60,7 @@ _IDENTIFIED = """(VALUES
     ('fw_unknown.salted', 'openssl_salted', 'encrypted', 0, 2080, 'structural'), ('fw.mh01', 'dlink_mh01', 'encrypted', 0, 145, 'verified'), ('fw.dlk', 'dlink_dlk', 'encrypted', 0, 752, 'verified'), ('fw.tlv', 'dlink_tlv', 'encrypted', 0, 324, 'verified'),
     ('fw.engenius', 'engenius', 'encrypted', 0, 212, 'verified'), ('fw.dlink_ota', 'dlink_ota', 'encrypted', 0, 104, 'verified'),
     ('blob.jzlzma', 'jzlzma', 'compression', 0, 34, 'verified'), ('fw_packed.vbf', 'vbf', 'firmware', 0, 123, 'consistent'), ('fw.otra', 'otra', 'firmware', 0, 926, 'verified'), ('prog_packed.upx', 'elf', 'executable', 0, 120, 'consistent'), ('prog_packed.upx', 'upx', 'compression', 380, 32, 'verified'),
-    ('tree.hfsplus', 'hfsplus', 'filesystem', 0, 51200, 'consistent'), ('tree.xfs', 'xfs', 'filesystem', 0, 32768, 'consistent'), ('tree.erofs', 'erofs', 'filesystem', 0, 16384, 'consistent'), ('tree.btrfs', 'btrfs', 'filesystem', 0, 262144, 'consistent')
+    ('tree.hfsplus', 'hfsplus', 'filesystem', 0, 51200, 'consistent'), ('tree.xfs', 'xfs', 'filesystem', 0, 32768, 'consistent'), ('tree.erofs', 'erofs', 'filesystem', 0, 16384, 'consistent'), ('tree.btrfs', 'btrfs', 'filesystem', 0, 262144, 'consistent'), ('tree.f2fs', 'f2fs', 'filesystem', 0, 163840, 'consistent'), ('default.hv', 'wince_hive', 'container', 0, 1024, 'consistent')
 ) AS t(sample, type_, category, offset_, size_, tier)"""
 
 
@@ -92,9 +92,10 @@ _UNPACKED = f"""h256 AS (SELECT string_agg(printf('%02x', i), '' ORDER BY i) AS
         UNION ALL SELECT 'littlefs_tree.bin', 'large', 'file', unhex(repeat(h, 5)) FROM h256 UNION ALL SELECT 'spiffs.bin', 'config.txt', 'file', unhex(h) || encode(repeat('tail', 20)) FROM h256
         UNION ALL SELECT 'fat16.bin', 'DATA.BIN', 'file', unhex(repeat(h240, 5)) FROM h256 UNION ALL SELECT 'exfat_tree.bin', 'a rather long name.bin', 'file', unhex(repeat(h250, 4)) FROM h256
         UNION ALL SELECT 'installer.msi', 'large', 'file', unhex(repeat(h, 17)) FROM h256
-        UNION ALL SELECT s, 'etc/conf', 'file', encode({_CONF}) FROM (VALUES ('tree.hfsplus'), ('tree.xfs'), ('tree.erofs'), ('tree.btrfs')) v(s) UNION ALL SELECT s, 'link', 'symlink', encode('etc/conf') FROM (VALUES ('tree.hfsplus'), ('tree.xfs'), ('tree.erofs'), ('tree.btrfs')) v(s)
+        UNION ALL SELECT s, 'etc/conf', 'file', encode({_CONF}) FROM (VALUES ('tree.hfsplus'), ('tree.xfs'), ('tree.erofs'), ('tree.btrfs'), ('tree.f2fs')) v(s) UNION ALL SELECT s, 'link', 'symlink', encode('etc/conf') FROM (VALUES ('tree.hfsplus'), ('tree.xfs'), ('tree.erofs'), ('tree.btrfs'), ('tree.f2fs')) v(s)
         UNION ALL SELECT s, 'large', 'file', unhex(repeat(h, 40)) FROM h256, (VALUES ('tree.hfsplus'), ('tree.xfs')) v(s) UNION ALL SELECT 'tree.hfsplus', 'many', 'file', unhex(repeat(h, 20)) FROM h256
         UNION ALL SELECT 'tree.xfs', 'tree', 'file', unhex(repeat(h, 4) || repeat('00', 512) || repeat(h, 2)) FROM h256 UNION ALL SELECT 'tree.erofs', 'large', 'file', unhex(repeat(h, 5) || left(h, 40)) FROM h256
+        UNION ALL SELECT 'tree.f2fs', 'a name of many slots', 'file', unhex(repeat(h, 16) || repeat('00', 873 * 4096) || repeat(h, 16)) FROM h256
         UNION ALL SELECT 'tree.btrfs', 'large', 'file', unhex(repeat(h, 40) || repeat('00', 2048) || repeat('72', 4096)) FROM h256
         UNION ALL SELECT * FROM (VALUES
             ('archive.tar', 'link', 'symlink', encode('etc/conf')), ('initramfs.cpio', 'link', 'symlink', encode('readme')), ('blob.lz4', 'data', 'file', encode('abcabcabcazraw')), ('blob.lz4l', 'data', 'file', encode(repeat('a', 276))),
@@ -110,7 +111,16 @@ _UNPACKED = f"""h256 AS (SELECT string_agg(printf('%02x', i), '' ORDER BY i) AS
             ('fw.rfp', 'IniFile', 'file', encode('[info]\nversion = 1\n' || repeat('=', 100))), ('fw.rfp', 'BinFile', 'file', encode('raw bytes')),
             ('esp32_nvs.bin', 'nvs-values.txt', 'file', encode('# sensitive keys: wifi:ssid\nwifi:channel = 11 ; uint32_t\nwifi:ssid = "my network" ; string\n')),
             ('fw.mh01', 'descrambled.bin', 'file', encode('MH01' || repeat('inner', 9))), ('fw.tlv', 'descrambled.bin', 'file', unhex('1f8b') || encode(repeat('stream', 30))), ('fw.engenius', 'descrambled.bin', 'file', encode('hsqs') || unhex(repeat('00', 60)) || encode('rest')),
-            ('fw.dlink_ota', 'descrambled.bin', 'file', encode('81958711' || repeat('firmware', 8))), ('blob.jzlzma', 'data', 'file', encode({_CONF} || {_README})),
+            ('fw.dlink_ota', 'descrambled.bin', 'file', encode('81958711' || repeat('firmware', 8))), ('default.hv', 'registry-values.txt', 'file', encode('0x00000048  Name0  REG_SZ  value 0
+0x0000006c  Name1  REG_DWORD  1001
+0x00000086  Name2  REG_SZ  value 2
+0x000000aa  Name3  REG_DWORD  1003
+0x000000c4  Name4  REG_SZ  value 4
+0x000000e8  Name5  REG_DWORD  1005
+0x00000102  Name6  REG_SZ  value 6
+0x00000126  Name7  REG_DWORD  1007
+0x00000140  Raw  REG_BINARY  00ff10
+')), ('blob.jzlzma', 'data', 'file', encode({_CONF} || {_README})),
             ('fw_packed.vbf', 'header.txt', 'file', encode('vbf_version = 2.5;\nheader {{ sw_part_number = "P-7"; data_format_identifier = 0x10; }}')), ('fw_packed.vbf', '0x00000100.bin', 'file', encode({_README})),
             ('fw.otra', '00_boot.bin', 'file', encode('boot code')), ('fw.otra', '01_root_fs.bin', 'file', encode(repeat('root ', 20) || 'more root')),
             ('prog_packed.upx', 'unpacked.elf', 'file', unhex('7f454c46020101' || repeat('00', 9) || '02003e0001000000' || repeat('00', 8) || '4000000000000000' || repeat('00', 12) || '4000380001004000' || repeat('00', 4)

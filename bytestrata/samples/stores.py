@@ -164,6 +164,20 @@ def rae_rfp() -> bytes:
     return b"RAE Systems Inc." + struct.pack("<HI", 1, 77) + b"RAE" + bytes(range(16)) + section(b"IniFile", 1, len(plain), packed) + section(b"BinFile", 0, 9, b"raw bytes")
 
 
+def wince_hive() -> bytes:
+    """Texts and numbers in turn, and raw bytes, as records at even places."""
+
+    def record(kind: int, name: str, body: bytes) -> bytes:
+        raw = struct.pack("<HHH", kind, len(body), len(name)) + name.encode("utf-16-le") + body
+        return raw.ljust((len(raw) + 1) // 2 * 2, b"\0") + b"\xff\xff" * (2 if kind == 1 else 3)
+
+    out = b""
+    for k in range(8):
+        out += record(4, f"Name{k}", struct.pack("<I", 1000 + k)) if k % 2 else record(1, f"Name{k}", f"value {k}\0".encode("utf-16-le"))
+    out += record(3, "Raw", b"\0\xff\x10")
+    return put(1024, {0: struct.pack("<II", 4096, 0) + b"EKIM", 0x48: out})
+
+
 # Scrambled images
 
 
@@ -219,6 +233,6 @@ def dlink_ota() -> bytes:
 
 
 SAMPLES = {
-    "littlefs_tree.bin": littlefs_tree, "spiffs.bin": spiffs, "rootfs.yaffs2": yaffs2, "rootfs_be.yaffs2": lambda: yaffs2("big"), "exfat_tree.bin": exfat, "installer.msi": cfbf, "fw.rfp": rae_rfp, "fw.shrs": shrs, "fw.encrpted_img": encrpted_img,
+    "littlefs_tree.bin": littlefs_tree, "spiffs.bin": spiffs, "rootfs.yaffs2": yaffs2, "rootfs_be.yaffs2": lambda: yaffs2("big"), "exfat_tree.bin": exfat, "installer.msi": cfbf, "fw.rfp": rae_rfp, "default.hv": wince_hive, "fw.shrs": shrs, "fw.encrpted_img": encrpted_img,
     "fw.salted": openssl_salted, "fw_unknown.salted": lambda: openssl_salted("some other password"), "fw.mh01": mh01, "fw.dlk": dlk, "fw.tlv": tlv, "fw.engenius": engenius, "fw.dlink_ota": dlink_ota, "dlk_magic.bin": lambda: b"DLK" + bytes(200),
 }

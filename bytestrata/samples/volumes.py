@@ -1,10 +1,11 @@
-"""Builders of HFS+, XFS, EROFS and Btrfs volumes."""
+"""Builders of HFS+, XFS, EROFS, Btrfs and F2FS volumes."""
 
 from __future__ import annotations
 
 import struct
 import zlib
 
+from ..functions import checksums
 from .images import FILES, put
 
 LARGE = bytes(range(256)) * 40
@@ -160,4 +161,52 @@ def btrfs() -> bytes:
     return put(262144, {0x10000: sb, **parts})
 
 
-SAMPLES = {"tree.hfsplus": hfsplus, "tree.xfs": xfs, "tree.erofs": erofs, "tree.btrfs": btrfs}
+def f2fs() -> bytes:
+    """Segments of 4 blocks: an inline directory and file, a directory of a block, a file with a node below, one node moved by the journal."""
+    size, parts = 4096, {}
+    nat: dict[int, int] = {}
+
+    def write(number: int, place: int, mode: int, inline: int, length: int, body: bytes, moved: bool = False, nodes: tuple[int, ...] = ()) -> None:
+        raw = struct.pack("<HBBIIIQ", mode, 0, inline, 0, 0, 1, length).ljust(360, b"\0") + body
+        raw = raw.ljust(360 + 4 * 923, b"\0") + struct.pack(f"<{len(nodes)}I", *nodes)
+        parts[place * size] = raw.ljust(size, b"\0")
+        nat[number] = 99 if moved else place
+
+    def slots(n: int, table: int, room: int, entries: list[tuple[bytes, int]]) -> bytes:
+        bits, heads, names, k = bytearray((n + 7) // 8), bytearray(11 * n), bytearray(8 * n), 0
+        for name, number in entries:
+            heads[11 * k : 11 * k + 11] = struct.pack("<IIHB", 0, number, len(name), 1)
+            names[8 * k : 8 * k + len(name)] = name
+            for _ in range(-(-len(name) // 8)):
+                bits[k // 8] |= 1 << k % 8
+                k += 1
+        return (bytes(bits).ljust(table, b"\0") + bytes(heads) + bytes(names)).ljust(room, b"\0")
+
+    room = 4 * (923 - 50 - 1)
+    n = room * 8 // 153
+    write(3, 20, 0o040755, 1 | 4, size, bytes(4) + slots(n, room - 19 * n, room, [(b".", 3), (b"..", 3), (b"etc", 4), (b"a name of many slots", 6), (b"link", 7)]))
+    write(4, 21, 0o040755, 1, size, struct.pack("<I", 24))
+    parts[24 * size] = slots(214, 30, size, [(b".", 4), (b"..", 3), (b"conf", 5)])
+    write(5, 22, 0o100644, 1 | 2, 120, bytes(4) + FILES["etc/conf"], moved=True)
+    own = 923 - 50
+    direct = [30 if k == 0 else 0 for k in range(own)]  # what is between is a hole
+    write(6, 23, 0o100644, 1, (own + 2) * size, struct.pack(f"<{own}I", *direct), nodes=(8,))
+    parts[30 * size], parts[32 * size] = LARGE[:size], LARGE[size : 2 * size]
+    parts[25 * size] = struct.pack("<II", 0, 32)
+    nat[8] = 25
+    write(7, 26, 0o120777, 1 | 2, 8, bytes(4) + b"etc/conf")
+    table = b"".join(struct.pack("<BII", 0, k, nat.get(k, 0)) for k in range(455))
+    parts[12 * size + 4 * size] = table  # the second copy, as the bitmap says
+    journal = struct.pack("<HIBII", 1, 5, 0, 5, 22)
+    pack = bytearray(size)
+    struct.pack_into("<Q", pack, 0, 7)
+    struct.pack_into("<III", pack, 132, 4, 2, 1)
+    struct.pack_into("<III", pack, 156, 1, 1, 4092)
+    pack[192:194] = b"\0\x80"
+    struct.pack_into("<I", pack, 4092, checksums.crc32_raw(bytes(pack[:4092]), 0xF2F52010))
+    parts[4 * size], parts[5 * size] = bytes(pack), journal
+    sb = put(512, {0: b"\x10\x20\xf5\xf2", 16: struct.pack("<II", 12, 2), 48: struct.pack("<I", 10), 76: struct.pack("<III", 4, 8, 12), 96: struct.pack("<I", 3)})
+    return put(40 * size, {1024: sb, **parts})
+
+
+SAMPLES = {"tree.hfsplus": hfsplus, "tree.xfs": xfs, "tree.erofs": erofs, "tree.btrfs": btrfs, "tree.f2fs": f2fs}
