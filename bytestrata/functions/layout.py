@@ -59,9 +59,11 @@ def _parts(source: str) -> Iterator[str]:
     return filter(None, (re.sub(r"\s+", " ", p).strip() for p in source.split(";")))
 
 
-def column(content: Column, at: int, width: int, endian: str) -> Column:
-    """PRJ-2: the unsigned integer at a place of a binary column; null past its end."""
+def column(content: Column, at: int, width: int, endian: str, signed: bool = False) -> Column:
+    """PRJ-2, PRJ-3: the integer at a place of a binary column; null past its end. Eight unsigned bytes are a decimal."""
     part = F.substring(content, at + 1, width)
     ordered = F.reverse(part) if endian == "little" else part
     number = F.conv(F.hex(ordered), 16, 10).cast("decimal(20,0)")
-    return F.when(F.octet_length(content) >= at + width, number if width == 8 else number.cast("long"))
+    if signed:
+        number = F.when(number >= 1 << 8 * width - 1, number - (1 << 8 * width)).otherwise(number).cast("long")
+    return F.when(F.octet_length(content) >= at + width, number if width == 8 and not signed else number.cast("long"))

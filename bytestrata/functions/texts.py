@@ -54,3 +54,18 @@ def safe_label(text: Column) -> Column:
 def blob_name(offset: Column, type_: Column) -> Column:
     """SNK-6: the name of a carved range."""
     return F.concat(hex_offset(offset), F.lit("-"), safe_label(type_), F.lit(".bin"))
+
+
+def json_escape(text: Column) -> Column:
+    """FN-11: a text whose characters stand for bytes, as it stands in a JSON document: quotes, backslashes, what is below
+    U+0020 and what is above U+007E are escaped."""
+    short = {'"': '\\"', "\\": "\\\\", "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+
+    def one(c: Column) -> Column:
+        code = F.ascii(c)
+        out = F.when((code < 0x20) | (code > 0x7E), F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(code)), 4, "0"))).otherwise(c)
+        for raw, escaped in short.items():
+            out = F.when(c == raw, escaped).otherwise(out)
+        return out
+
+    return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), one), "")

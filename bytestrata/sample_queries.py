@@ -5,6 +5,8 @@ The SQL's contents are spelled out, their digests computed there; nothing in it
 
 from __future__ import annotations
 
+import struct
+import zlib
 from functools import cache, partial
 
 import pyarrow as pa
@@ -12,12 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blob_queries import _packaged
-from .functions import checksums, ciphers, codecs, expr, layout, lzari, lzo
-from .functions.texts import human_size
+from .functions import checksums, ciphers, codecs, expr, layout, lzari, lzo, validators
+from .functions.texts import human_size, json_escape
 from .operators import containers, embedded, extract, identify, listing, reports, sinks, summaries
 from .queries import _query
 from .samples import images, packs, stores, volumes
-from .sources import catalog, tables
+from .sources import blobs, catalog, tables
 
 
 @cache
@@ -458,3 +460,74 @@ def human_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-17."""
     rows = spark.createDataFrame([(n,) for n in (0, 1023, 1024, 1600, 1 << 20, 7 << 29)], "size long")
     return rows.select("size", human_size(F.col("size")).alias("human"))
+
+
+def _field(row: dict) -> str:
+    name, data = row["name"], bytes(row["data"])
+    try:
+        if name.startswith("octal"):
+            return str(validators._octal(data))
+        if name.startswith("pow2"):
+            return str(validators._pow2(int(data))).lower()
+        f = identify.Finding(0, 0, "x", "c", 60, "little")
+        fields = {"header_length": 56} if name == "guid" else {}
+        validators.KNOWN["uefi_fv" if name == "guid" else "mtk_lk"](data, f, fields | {"size": 1})
+        return f.label
+    except ValueError:
+        return "none"
+
+
+@_query("""SELECT * FROM (VALUES ('octal', '420'), ('octal spaces', '8'), ('octal empty', 'none'), ('octal nine', 'none'), ('pow2 4096', 'true'), ('pow2 0', 'false'), ('pow2 12', 'false'), ('guid', '03020100-0504-0706-0809-0a0b0c0d0e0f'), ('ends with zero', 'lk')) AS t(name, result)""")
+def field_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-12 to FN-15: octal fields, powers of two, identifiers of mixed byte order, texts that end with a zero."""
+    rows = [("octal", b"0000644\0"), ("octal spaces", b"    10 \0"), ("octal empty", b"\0" * 8), ("octal nine", b"0000649\0"), ("pow2 4096", b"4096"), ("pow2 0", b"0"), ("pow2 12", b"12"), ("guid", images.uefi_fv()), ("ends with zero", images.mtk_lk())]
+    return _vectors(spark, [(k, bytearray(v)) for k, v in rows], "name string, data binary", _field)
+
+
+@_query("""SELECT * FROM (VALUES ('plain', 'abc'), ('quotes', 'a\\"b\\\\c'), ('control', '\\n\\t\\u0001\\u001f'), ('latin', 'caf\\u00e9\\u00ff\\u007f')) AS t(name, result)""")
+def json_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-11."""
+    rows = [("plain", "abc"), ("quotes", 'a"b\\c'), ("control", "\n\t\x01\x1f"), ("latin", "caf\xe9\xff\x7f")]
+    return spark.createDataFrame(rows, "name string, text string").select("name", json_escape(F.col("text")).alias("result"))
+
+
+@_query("""SELECT o_orderkey AS blob_id, CAST(CASE WHEN o_custkey % 256 > 127 THEN o_custkey % 256 - 256 ELSE o_custkey % 256 END AS BIGINT) AS low_byte,
+    CAST(CASE WHEN o_orderkey % 65536 > 32767 THEN o_orderkey % 65536 - 65536 ELSE o_orderkey % 65536 END AS BIGINT) AS low_half FROM orders""")
+def layout_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-3: signed integers out of packed headers."""
+    c = F.col("content")
+    return blobs.packed_orders(spark, sf_dir).select("blob_id", layout.column(c, 11, 1, "big", True).alias("low_byte"), layout.column(c, 18, 2, "big", True).alias("low_half"))
+
+
+def _rescue() -> tuple[bytes, bytes]:
+    """A disk with a stale file system over a partition that begins with another one, without and with the partition table."""
+    size = 1 << 20
+    ext = lambda: struct.pack("<II", 64, 256).ljust(20, b"\0") + struct.pack("<II", 1, 0) + bytes(28) + b"\x53\xef\1\0"
+    plain = {0x8000 + 1024: ext(), 0x40000 + 1024: ext()}
+    table = bytearray(128 * 128)
+    for k, (first, last) in enumerate(((0x10000, 0x3FFFF), (0x40000, 0x7FFFF))):
+        table[128 * k : 128 * k + 48] = bytes(range(1, 33)) + struct.pack("<QQ", first // 512, last // 512)
+    head = b"EFI PART" + struct.pack("<IIIIQQQQ16sQIII", 0x10000, 92, 0, 0, 1, size // 512 - 1, 34, size // 512 - 34, bytes(16), 2, 128, 128, zlib.crc32(bytes(table)))
+    head = head[:16] + struct.pack("<I", zlib.crc32(head)) + head[20:]
+    return images.put(size, plain), images.put(size, plain | {512: head, 1024: bytes(table)})
+
+
+@_query("""SELECT * FROM (VALUES ('stale', 'ext', 32768), ('table', 'gpt', 512), ('table', 'ext', 32768), ('table', 'ext', 262144), ('inside', 'uimage', 100), ('inside', 'gzip', 300)) AS t(name, type_, offset_)""")
+def scan_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MAT-3, MAT-6, JOI-7: blobs of three bytes have no findings, matches inside a sure finding aren't looked at, but for those at a partition's start."""
+    stale, table = _rescue()
+    inside = bytes(100) + images.uimage() + bytes(107) + images.gzip_()
+    rows = [(1, "stale", stale), (2, "table", table), (3, "inside", inside), (4, "short", b"\x1f\x8b\x08")]
+    made = spark.createDataFrame([(k, n, bytearray(d)) for k, n, d in rows], "blob_id long, name string, content binary")
+    found = identify.identify(made, _packaged(), all_=True).join(made.select("blob_id", "name"), "blob_id")
+    return found.select("name", "type_", F.col("offset_").cast("int").alias("offset_"))
+
+
+@_query("""SELECT * FROM (VALUES ('same place', 'b', 'a'), ('inside', 'outer', 'inner')) AS t(name, type_, also)""")
+def also_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """INT-4: who lost to whom, by type."""
+    f = lambda offset, size, confidence, type_: identify.Finding(offset, size, type_, "c", confidence, "little")
+    rows = []
+    for name, found in (("same place", [f(0, 100, 60, "a"), f(0, 100, 99, "b")]), ("inside", [f(0, 100, 85, "outer"), f(50, 10, 60, "inner")])):
+        rows += [(name, x.type, ",".join(g.type for g in x.also)) for x in identify.resolve(found, 1000)]
+    return spark.createDataFrame(rows, "name string, type_ string, also string")
