@@ -220,3 +220,134 @@ def unfilter(code: bytes, kind: int, mark: int) -> bytes:
     out = bytearray(code)
     FILTERS[kind](out, kind, mark)
     return bytes(out)
+
+
+# places' slots by the size of the window, and the bytes of a frame.
+LZX_SLOTS = {15: 30, 16: 32, 17: 34, 18: 36, 19: 38, 20: 42, 21: 50}
+LZX_FRAME = 1 << 15
+
+
+class _Code:
+    """A canonical prefix code: symbols of each length get the next codes in order."""
+
+    def __init__(self, lengths: list[int]):
+        self.symbols: dict[tuple[int, int], int] = {}
+        code = 0
+        for n in range(1, max(lengths, default=0) + 1):
+            for symbol, own in enumerate(lengths):
+                if own == n:
+                    self.symbols[n, code] = symbol
+                    code += 1
+            code <<= 1
+
+    def read(self, bits: Bits) -> int:
+        code = 0
+        for n in range(1, 17):
+            code = code << 1 | bits.bit()
+            if (found := self.symbols.get((n, code))) is not None:
+                return found
+        raise Corrupt("code")
+
+
+def _lengths(bits: Bits, before: list[int], first: int, end: int) -> None:
+    """Lengths of a code's symbols, as changes from those of the block before, under a small code of their own."""
+    small, k = _Code([bits.number(4) for _ in range(20)]), first
+    while k < end:
+        z = small.read(bits)
+        n, value = 1, 0
+        if z == 17:
+            n = 4 + bits.number(4)
+        elif z == 18:
+            n = 20 + bits.number(5)
+        elif z == 19:
+            n = 4 + bits.number(1)
+            value = (before[k] - small.read(bits)) % 17
+        else:
+            value = (before[k] - z) % 17
+        for _ in range(min(n, end - k)):
+            before[k] = value
+            k += 1
+
+
+def lzx(data: bytes, window: int, size: int) -> bytes:
+    """COD-14: the bytes of a cabinet's folder. data: its blocks one behind the other; window: the power of two."""
+    if window not in LZX_SLOTS:
+        raise Corrupt("window")
+    slots = LZX_SLOTS[window]
+    extra = [min(max(0, (k >> 1) - 1), 17) for k in range(slots)]
+    base = [0]
+    for n in extra:
+        base.append(base[-1] + (1 << n))
+    bits, out, recent = Bits(data, 2, patience=4), bytearray(), [1, 1, 1]
+    main, tail, left, kind, frame = [0] * (256 + 8 * slots), [0] * 249, 0, 0, LZX_FRAME
+    translated = bits.number(32) if bits.bit() else 0
+    symbols = lengths = aligned = None
+    while len(out) < size:
+        if not left:
+            kind, left = bits.number(3), bits.number(24)
+            if kind == 2:
+                aligned = _Code([bits.number(3) for _ in range(8)])
+            if kind in (1, 2):
+                _lengths(bits, main, 0, 256)
+                _lengths(bits, main, 256, len(main))
+                symbols = _Code(main)
+                _lengths(bits, tail, 0, 249)
+                lengths = _Code(tail)
+            elif kind == 3:
+                if not bits.left:
+                    bits.bit()
+                bits.left = 0
+                recent = [int.from_bytes(data[bits.at + 4 * k : bits.at + 4 * k + 4], "little") for k in range(3)]
+                bits.at += 12
+            else:
+                raise Corrupt("block")
+            odd = left & 1
+        stop = min(size, len(out) + left, frame)
+        begun = len(out)
+        if kind == 3:
+            n = stop - begun
+            if bits.at + n > len(data):
+                raise Corrupt("truncated")
+            out += data[bits.at : bits.at + n]
+            bits.at += n
+        else:
+            while len(out) < stop:
+                symbol = symbols.read(bits)
+                if symbol < 256:
+                    out.append(symbol)
+                    continue
+                slot, n = divmod(symbol - 256, 8)
+                if n == 7:
+                    n += lengths.read(bits)
+                if slot < 3:
+                    recent[0], recent[slot] = recent[slot], recent[0]
+                else:
+                    own = extra[slot]
+                    if kind == 2 and own >= 3:
+                        low = (bits.number(own - 3) << 3) + aligned.read(bits)
+                    else:
+                        low = bits.number(own)
+                    recent = [base[slot] + low - 2, *recent[:2]]
+                _copy(out, recent[0], n + 2)
+            if len(out) > stop:
+                raise Corrupt("overrun")
+        left -= len(out) - begun
+        if not left and kind == 3:
+            bits.at += odd
+        if len(out) == frame:
+            frame += LZX_FRAME
+            if kind != 3 or left == 0:
+                bits.left = 0  # frames begin with a word
+    return _calls(out, translated) if translated else bytes(out)
+
+
+def _calls(out: bytearray, size: int) -> bytes:
+    """Calls hold places in the whole; make them distances again, frame by frame but for each one's last ten bytes."""
+    for start in range(0, min(len(out), LZX_FRAME << 15), LZX_FRAME):
+        end, at = min(start + LZX_FRAME, len(out)) - 10, start
+        while 0 <= (at := out.find(b"\xe8", at)) < end:
+            place = int.from_bytes(out[at + 1 : at + 5], "little", signed=True)
+            if -at <= place < size:
+                out[at + 1 : at + 5] = ((place - at if place >= 0 else place + size) & 0xFFFFFFFF).to_bytes(4, "little")
+            at += 5
+    return bytes(out)

@@ -8,7 +8,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from ..functions import checksums, lzari, validators
+from ..functions import checksums, codecs, lzari, validators
 from .extract import MOST_BYTES, File, Stop, _extractor, safe_path
 
 
@@ -356,7 +356,7 @@ def _exfat(data: bytes) -> Iterator[File]:
 
 @_extractor("cab")
 def _cab(data: bytes) -> Iterator[File]:
-    """EXT-2, COD-9: each folder's blocks give one run of bytes, of which the files are parts; MSZIP blocks see the 32 KiB before."""
+    """EXT-2, COD-9: each folder's blocks give one run of bytes, of which the files are parts; MSZIP blocks see the 32 KiB before, LZX is one stream."""
     folders, files, reserve, _ = validators.cab_tables(data, 0)
     opened: dict[int, bytes] = {}
     failed = ""
@@ -365,27 +365,10 @@ def _cab(data: bytes) -> Iterator[File]:
             failed = "error:spanned"
             continue
         if number not in opened:
-            first, blocks, codec = folders[number]
-            out, at = bytearray(), first
             try:
-                for _ in range(blocks):
-                    check, packed, plain = struct.unpack_from("<IHH", data, at)
-                    raw = data[at + 8 + reserve : at + 8 + reserve + packed]
-                    at += 8 + reserve + packed
-                    if check and check != cab_checksum(raw, struct.pack("<HH", packed, plain)):
-                        raise Stop("error:checksum")
-                    if codec & 15 == 0:
-                        out += raw
-                    elif codec & 15 == 1 and raw[:2] == b"CK":
-                        part = zlib.decompressobj(-15, zdict=bytes(out[-32768:])) if out else zlib.decompressobj(-15)
-                        out += part.decompress(raw[2:], plain)
-                    else:
-                        raise Stop(f"unsupported:{('none', 'mszip', 'quantum', 'lzx')[codec & 3]}")
-                    if len(out) > MOST_BYTES:
-                        raise Stop("error:too-large")
+                opened[number] = _folder(data, *folders[number], reserve)
             except Stop as e:
-                failed, out = str(e), bytearray()
-            opened[number] = bytes(out)
+                failed, opened[number] = str(e), b""
         body = opened[number][place : place + size]
         if len(body) == size:
             yield safe_path(name), "file", body
@@ -393,6 +376,37 @@ def _cab(data: bytes) -> Iterator[File]:
         raise Stop(failed)
 
 
+def _folder(data: bytes, first: int, blocks: int, codec: int, reserve: int) -> bytes:
+    """The bytes of a folder: its blocks as they are, inflated one by one, or as one stream."""
+    out, at, stored, total = bytearray(), first, [], 0
+    for _ in range(blocks):
+        check, packed, plain = struct.unpack_from("<IHH", data, at)
+        raw = data[at + 8 + reserve : at + 8 + reserve + packed]
+        at += 8 + reserve + packed
+        total += plain
+        if len(raw) < packed or (check and check != cab_checksum(raw, struct.pack("<HH", packed, plain))):
+            raise Stop("error:checksum")
+        if total > MOST_BYTES:
+            raise Stop("error:too-large")
+        if codec & 15 == 0:
+            out += raw
+        elif codec & 15 == 1:
+            if raw[:2] != b"CK":
+                raise Stop("error:corrupt")
+            part = zlib.decompressobj(-15, zdict=bytes(out[-32768:])) if out else zlib.decompressobj(-15)
+            out += part.decompress(raw[2:], plain)
+        elif codec & 15 == 3:
+            stored.append(raw)
+        else:
+            raise Stop("unsupported:quantum")
+    if stored:
+        try:
+            return codecs.lzx(b"".join(stored), codec >> 8 & 31, total)
+        except codecs.Corrupt as e:
+            raise Stop("error:corrupt") from e
+    return bytes(out)
+
+
 def cab_checksum(body: bytes, head: bytes) -> int:
     """All words of a block combined by exclusive or, the last bytes from the top down, and its two sizes."""
     out = 0

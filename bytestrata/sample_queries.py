@@ -61,7 +61,7 @@ _IDENTIFIED = """(VALUES
     ('fw.rfp', 'rae_rfp', 'firmware', 0, 127, 'verified'), ('fw.shrs', 'dlink_shrs', 'encrypted', 0, 1852, 'verified'), ('fw.encrpted_img', 'dlink_encrpted_img', 'encrypted', 0, 16400, 'verified'), ('fw.salted', 'openssl_salted', 'encrypted', 0, 2080, 'verified'),
     ('fw_unknown.salted', 'openssl_salted', 'encrypted', 0, 2080, 'structural'), ('fw.mh01', 'dlink_mh01', 'encrypted', 0, 145, 'verified'), ('fw.dlk', 'dlink_dlk', 'encrypted', 0, 752, 'verified'), ('fw.tlv', 'dlink_tlv', 'encrypted', 0, 324, 'verified'),
     ('fw.engenius', 'engenius', 'encrypted', 0, 212, 'verified'), ('fw.dlink_ota', 'dlink_ota', 'encrypted', 0, 104, 'verified'),
-    ('blob.jzlzma', 'jzlzma', 'compression', 0, 34, 'verified'), ('fw_packed.vbf', 'vbf', 'firmware', 0, 123, 'consistent'), ('fw.otra', 'otra', 'firmware', 0, 926, 'verified'), ('prog_packed.upx', 'elf', 'executable', 0, 120, 'consistent'), ('prog_packed.upx', 'upx', 'compression', 380, 32, 'verified'),
+    ('install_lzx.cab', 'cab', 'archive', 0, 393, 'verified'), ('blob.jzlzma', 'jzlzma', 'compression', 0, 34, 'verified'), ('fw_packed.vbf', 'vbf', 'firmware', 0, 123, 'consistent'), ('fw.otra', 'otra', 'firmware', 0, 926, 'verified'), ('prog_packed.upx', 'elf', 'executable', 0, 120, 'consistent'), ('prog_packed.upx', 'upx', 'compression', 380, 32, 'verified'),
     ('tree.hfsplus', 'hfsplus', 'filesystem', 0, 51200, 'consistent'), ('tree.xfs', 'xfs', 'filesystem', 0, 32768, 'consistent'), ('tree.erofs', 'erofs', 'filesystem', 0, 16384, 'consistent'), ('tree.btrfs', 'btrfs', 'filesystem', 0, 262144, 'consistent'), ('tree.f2fs', 'f2fs', 'filesystem', 0, 163840, 'consistent'), ('default.hv', 'wince_hive', 'container', 0, 1024, 'consistent')
 ) AS t(sample, type_, category, offset_, size_, tier)"""
 
@@ -122,7 +122,7 @@ _UNPACKED = f"""h256 AS (SELECT string_agg(printf('%02x', i), '' ORDER BY i) AS
 0x00000102  Name6  REG_SZ  value 6
 0x00000126  Name7  REG_DWORD  1007
 0x00000140  Raw  REG_BINARY  00ff10
-')), ('blob.jzlzma', 'data', 'file', encode({_CONF} || {_README})),
+')), ('install_lzx.cab', 'etc/conf', 'file', encode({_CONF})), ('install_lzx.cab', 'rest', 'file', encode(repeat('=', 100) || 'stored as it is')), ('blob.jzlzma', 'data', 'file', encode({_CONF} || {_README})),
             ('fw_packed.vbf', 'header.txt', 'file', encode('vbf_version = 2.5;\nheader {{ sw_part_number = "P-7"; data_format_identifier = 0x10; }}')), ('fw_packed.vbf', '0x00000100.bin', 'file', encode({_README})),
             ('fw.otra', '00_boot.bin', 'file', encode('boot code')), ('fw.otra', '01_root_fs.bin', 'file', encode(repeat('root ', 20) || 'more root')),
             ('prog_packed.upx', 'unpacked.elf', 'file', unhex('7f454c46020101' || repeat('00', 9) || '02003e0001000000' || repeat('00', 8) || '4000000000000000' || repeat('00', 12) || '4000380001004000' || repeat('00', 4)

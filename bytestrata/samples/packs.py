@@ -139,6 +139,44 @@ def lzss_pack(body: bytes) -> bytes:
     return bytes(out.data)
 
 
+def lzx_pack(body: bytes) -> bytes:
+    """One verbatim block, then one of raw bytes: all bytes but the last and a run of seven like the byte before have codes of eight bits."""
+    out, raw = _Out(2), b"stored as it is"
+    out.bits(0)
+    out.bits(1, 3)
+    out.bits(len(body), 24)
+    small = [1 if k in (0, 9) else 0 for k in range(20)]  # change by nothing, or from 0 to 8
+    lengths = [8] * 255 + [0] + [8 if k == 5 else 0 for k in range(240)]
+    for part in (lengths[:256], lengths[256:], [0] * 249):
+        for n in small:
+            out.bits(n, 4)
+        for n in part:
+            out.bits(n == 8)
+    at = 0
+    while at < len(body):
+        if at and body[at : at + 7] == bytes([body[at - 1]]) * 7:
+            out.bits(255, 8)
+            at += 7
+        else:
+            out.bits(body[at], 8)
+            at += 1
+    out.bits(3, 3)
+    out.bits(len(raw), 24)
+    if not out.left:
+        out.bits(0)
+    out.left = 0
+    return bytes(out.data) + struct.pack("<III", 1, 1, 1) + raw
+
+
+def cab_lzx() -> bytes:
+    body = FILES["etc/conf"] + b"=" * 100
+    raw = lzx_pack(body)
+    rows = struct.pack("<IIHHHH", 120, 0, 0, 0, 0, 32) + b"etc\\conf\0" + struct.pack("<IIHHHH", 115, 120, 0, 0, 0, 32) + b"rest\0"
+    total = 44 + len(rows) + 8 + len(raw)
+    head = struct.pack("<4sIIIIIBBHHHHH", b"MSCF", 0, total, 0, 44, 0, 3, 1, 1, 2, 0, 1, 0) + struct.pack("<IHH", 44 + len(rows), 1, 15 << 8 | 3)
+    return head + rows + struct.pack("<IHH", 0, len(raw), len(body) + 15) + raw
+
+
 def jzlzma() -> bytes:
     body = FILES["etc/conf"] + FILES["readme"]
     packed = jzlzma_pack(body)
@@ -202,4 +240,4 @@ def upx() -> bytes:
     return body + b"$Id: UPX 3.96 Copyright" + bytes(head)
 
 
-SAMPLES = {"blob.jzlzma": jzlzma, "fw_packed.vbf": vbf_packed, "fw.otra": otra, "prog_packed.upx": upx}
+SAMPLES = {"install_lzx.cab": cab_lzx, "blob.jzlzma": jzlzma, "fw_packed.vbf": vbf_packed, "fw.otra": otra, "prog_packed.upx": upx}
