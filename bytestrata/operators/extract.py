@@ -244,7 +244,9 @@ def _sparse(data: bytes) -> Iterator[File]:
     word = lambda at, n=4: int.from_bytes(data[at : at + n], "little")
     out, at, block = [], 28, word(12)
     for _ in range(word(20)):
-        kind, blocks, total = word(at, 2), word(at + 4), word(at + 8)
+        if at + 12 > len(data):
+            raise Stop("error:truncated")
+        kind, blocks, total = word(at, 2), word(at + 4), max(12, word(at + 8))
         size = blocks * block
         if sum(map(len, out)) + size > MOST_BYTES:
             raise Stop("error:too-large")
