@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut_lineage as cut_lineage
+from ..operators.lineage import shared_folder as shared_folder
 from ..sources.tables import read as read
 
 #: The white space that separates words: U+0020 and U+0009 to U+000D, and nothing else.
@@ -27,28 +27,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.regexp_replace(text, r"[\x09-\x0D]", " "), " "), "")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for what is written between steps: the session's spark.checkpoint.dir.
-
-    Only a local session may go without that setting; it gets a folder of its own.
-    """
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(folder)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def delete_folder(spark: SparkSession, folder: str) -> None:
     """Delete a folder of what was written between steps."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
